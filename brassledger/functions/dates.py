@@ -16,10 +16,13 @@ TIMED = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "dd
 def parse_date(text: Column, day_first: Column) -> Column:
     """The date, or null. ``day_first`` decides the order of formats per row."""
     s = F.trim(text)
-    try_all = lambda formats: F.coalesce(*(F.try_to_timestamp(s, F.lit(f)).cast("date") for f in formats))
-    first = try_all((*SHARED, *DAY_FIRST, *MONTH_FIRST, *NAMED, *TIMED))
-    second = try_all((*SHARED, *MONTH_FIRST, *DAY_FIRST, *NAMED, *TIMED))
-    return F.when(F.length(s) >= 6, F.when(day_first, first).otherwise(second))
+    read = lambda formats: [F.try_to_timestamp(s, F.lit(f)).cast("date") for f in formats]
+    day, month = F.coalesce(*read(DAY_FIRST)), F.coalesce(*read(MONTH_FIRST))
+    numeric = F.when(day_first, F.coalesce(day, month)).otherwise(F.coalesce(month, day))
+    # Digits alone cannot be a named month, and only a colon makes a time.
+    named = F.when(s.rlike("[A-Za-z]{3}"), F.coalesce(*read(NAMED)))
+    timed = F.when(F.contains(s, F.lit(":")), F.coalesce(*read(TIMED)))
+    return F.when(F.length(s) >= 6, F.coalesce(*read(SHARED), numeric, named, timed))
 
 
 def month_periods(extents: DataFrame) -> DataFrame:

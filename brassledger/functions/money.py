@@ -15,24 +15,20 @@ def parse_amount(text: Column) -> Column:
     the decimal mark.
     """
     s = F.trim(text)
-    negative = s.rlike(r"^\(.*\)$") | s.rlike(r"-\s*$") | s.rlike(r"^[^0-9]*-")
-    body = F.regexp_replace(s, r"[^0-9.,]", "")
-    dots = F.length(body) - F.length(F.regexp_replace(body, r"\.", ""))
-    commas = F.length(body) - F.length(F.regexp_replace(body, ",", ""))
-    plain = (
-        F.when(
-            (dots > 0) & (commas > 0),
-            F.when(
-                F.locate(".", F.reverse(body)) < F.locate(",", F.reverse(body)), F.regexp_replace(body, ",", "")
-            ).otherwise(F.regexp_replace(F.regexp_replace(body, r"\.", ""), ",", ".")),
-        )
-        .when((commas == 1) & body.rlike(r",\d{1,2}$"), F.regexp_replace(body, ",", "."))
-        .when(commas > 0, F.regexp_replace(body, ",", ""))
-        .when(dots > 1, F.regexp_replace(body, r"\.", ""))
-        .otherwise(body)
+    negative = s.rlike(r"^\(.*\)$|-\s*$|^[^0-9]*-")
+    # ';' stands for the decimal mark once it is known; each step is one replacement.
+    steps = (
+        (r"[^0-9.,]", ""),
+        (r"^(.*\..*),(\d*)$", "$1;$2"),
+        (r",(?=.*\.)|[.,](?=.*;)", ""),
+        (r"^([^,;]*),(\d{1,2})$", "$1;$2"),
+        (r",", ""),
+        (r"\.(?=.*\.)|(?<=\.[^.]{0,18})\.", ""),
+        (r";", "."),
     )
-    value = plain.try_cast("decimal(18,6)")
-    return F.when(negative, -value).otherwise(value)
+    for pattern, new in steps:
+        s = F.regexp_replace(s, F.lit(pattern), F.lit(new))
+    return s.try_cast("decimal(18,6)") * F.when(negative, -1).otherwise(1).cast("decimal(1,0)")
 
 
 def to_cents(amount: Column) -> Column:
