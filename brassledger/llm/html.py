@@ -171,9 +171,10 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
     """Open blocks take the label of the nearest decided block on either side.
 
     An article element is a region of its own: its blocks ask only decided ones
-    of the same article, and if there is none they follow the article's markup.
+    of the same article, furniture in it aside, and if there is none they follow
+    the article's markup.
     Where the sides differ a middling block is kept, and a short one follows the
-    nearer side (a heading the one below, a tie the good one).
+    nearer side (a heading the one below; a tie goes to the article if there is one).
     """
     n = len(blocks)
 
@@ -182,7 +183,7 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
         for i in range(n)[::step]:
             region = blocks[i].article
             found[i] = last.get(region, (0, None))
-            if labels[i] in (GOOD, BAD):
+            if labels[i] in (GOOD, BAD) and not (region and blocks[i].furniture):
                 last[region] = (i, labels[i])
         return found
 
@@ -206,7 +207,8 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
             out.append(b == GOOD)
         else:
             near, far = ((a, b), (b, a))[i - x > y - i]
-            out.append(near == GOOD or (i - x == y - i and far == GOOD))
+            tie = inside and i - x == y - i
+            out.append(near == GOOD and (inside or i - x != y - i) or (tie and far == GOOD))
     return out
 
 
