@@ -178,14 +178,18 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     key = F.crc32(F.col(id_col).cast("string"))
     usable = docs.where((key % 3 != 1) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    known = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"))
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
+    spot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
+    known = usable.select(F.col(lang_col).alias("lang"), spot.alias("h"))
+    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    # About twice the wanted rows pass the first filter, however many there are;
+    # only those are ranked.
+    near = known.join(F.broadcast(top), "lang").where(F.col("h") <= 2.0 * docs_per_lang / F.col("count") * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = known.join(F.broadcast(top), "lang").withColumn("r", rank).where(F.col("r") <= docs_per_lang)
+    last = near.withColumn("r", rank).where(F.col("r") <= docs_per_lang)
     last = last.groupBy("lang").agg(F.max("h").alias("last")).collect()  # one row a language
     pick = F.lit(False)
     for r in last:
-        pick = pick | ((F.col(lang_col) == r["lang"]) & (F.xxhash64(F.col(id_col)) <= r["last"]))
+        pick = pick | ((F.col(lang_col) == r["lang"]) & (spot <= r["last"]))
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
