@@ -103,3 +103,16 @@ def enrich(ledger: DataFrame, receipts: DataFrame) -> DataFrame:
     return ledger.join(r, "id", "left").withColumn("category", F.coalesce("category", "_c")).withColumn(
         "merchant_norm", F.when(missing & F.col("_m").isNotNull(), F.col("_m")).otherwise(F.col("merchant_norm"))
     ).drop("_m", "_c")
+
+
+def correct_receipts(receipts: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Corrected fields (nulls leave the old value) make a receipt certain and
+    unmatched, so that it is linked again."""
+    fields = [c for c in corrections.columns if c != "receipt_id"]
+    c = corrections.select("receipt_id", *(F.col(f).alias(f"_{f}") for f in fields), F.lit(True).alias("_changed"))
+    j = receipts.join(c, "receipt_id", "left")
+    for f in fields:
+        j = j.withColumn(f, F.coalesce(f"_{f}", f))
+    j = j.withColumn("link_status", F.when(F.col("_changed"), "unmatched").otherwise(F.col("link_status")))
+    j = j.withColumn("confidence", F.when(F.col("_changed"), 1.0).otherwise(F.col("confidence")))
+    return j.drop("_changed", *(f"_{f}" for f in fields))

@@ -227,3 +227,13 @@ def cash_reclassified(ledger: DataFrame, revealed: DataFrame) -> DataFrame:
     plus = r.select("account_id", "category", F.col("moved").alias("cents"))
     minus = r.groupBy("account_id").agg((-F.sum("moved")).alias("cents")).select("account_id", F.lit("Cash Withdrawals").alias("category"), "cents")
     return c.unionByName(plus).unionByName(minus).groupBy("account_id", "category").agg(F.sum("cents").alias("cents")).where("NOT (category = 'Cash Withdrawals' AND cents <= 0)")
+
+
+def report_json(breakdown: DataFrame, reconciled: DataFrame) -> DataFrame:
+    """(account_id, report): each account's reconciliation row with its category
+    lines, largest first, as one JSON text; amounts stay in cents."""
+    line = F.struct(F.negate("cents").alias("_order"), "category", "kind", "cents", "n", "share")
+    lines = breakdown.groupBy("account_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))  # some 40 categories
+    lines = lines.withColumn("categories", F.transform("lines", lambda x: x.dropFields("_order"))).drop("lines")
+    j = reconciled.join(lines, "account_id", "left")
+    return j.select("account_id", F.to_json(F.struct(*reconciled.columns, "categories")).alias("report"))

@@ -72,6 +72,11 @@ def reconciliation(s, d):
     return report.reconciliation(L(s, d))
 
 
+@query()
+def account_reports(s, d):
+    return report.report_json(report.category_breakdown(L(s, d)), report.reconciliation(L(s, d)))
+
+
 @query(f"""{sql_views('ledger')}, {EXTENT}, p AS (
  SELECT account_id, 'this-month' AS period, date_trunc('month', b)::DATE AS s, last_day(b) AS e FROM ext UNION ALL
  SELECT account_id, 'last-days', b - 6, b FROM ext UNION ALL SELECT account_id, 'year-to-date', date_trunc('year', b)::DATE, b FROM ext UNION ALL

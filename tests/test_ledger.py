@@ -164,3 +164,18 @@ def test_stream_import_is_idempotent(spark, tmp_path):
     jobs.import_new(spark, rows, l.schema, ledger, str(tmp_path / "c1")).awaitTermination()
     jobs.import_new(spark, rows, l.schema, ledger, str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(ledger).count() == 9
+
+
+def test_corrected_receipt_is_linked_again(spark):
+    r = spark.createDataFrame([(1, "a", 100, "matched", 0.5), (2, "b", 200, "matched", 0.5)], "receipt_id long, merchant_norm string, total_cents long, link_status string, confidence double")
+    c = spark.createDataFrame([(1, None, 150)], "receipt_id long, merchant_norm string, total_cents long")
+    got = {x.receipt_id: (x.merchant_norm, x.total_cents, x.link_status, x.confidence) for x in mutate.correct_receipts(r, c).collect()}
+    assert got == {1: ("a", 150, "unmatched", 1.0), 2: ("b", 200, "matched", 0.5)}
+
+
+def test_json_report_sums_to_the_ledger(spark):
+    import json
+
+    l = march(spark)
+    one = json.loads(report.report_json(report.category_breakdown(l), report.reconciliation(l)).first().report)
+    assert sum(x["cents"] for x in one["categories"]) == one["outflow_cents"] and one["categories"][0]["category"] == "Housing"
