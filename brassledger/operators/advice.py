@@ -20,14 +20,19 @@ def _any_of(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def frivolity(ledger: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Outflows whose score reaches the threshold, with the reasons."""
+def frivolity(ledger: DataFrame, threshold: float = 0.6, flagged: DataFrame | None = None) -> DataFrame:
+    """Outflows whose score reaches the threshold, with the reasons. ``flagged``
+    holds the merchants that people marked as such."""
     o = with_category_facts(outflows(ledger).withColumn("category", category())).withColumn("merchant", merchant())
     days = F.datediff(F.max("txn_date").over(Window.partitionBy("account_id")), F.min("txn_date").over(Window.partitionBy("account_id"))) + 1
     visits = F.count("*").over(Window.partitionBy("account_id", "merchant"))
     o = o.withColumn("per_month", visits / (days / 30.44)).withColumn("cents", -F.col("amount_cents"))
     base = F.when(F.col("kind").isin("excluded", "income"), 0.0).otherwise(F.col("frivolity") / 3 * F.when(F.col("kind") == "essential", 0.45).otherwise(1.0))
     hint = _any_of(F.lower("merchant"), HINT_WORDS)
+    if flagged is not None:
+        marks = flagged.select("merchant").distinct().withColumn("_flag", F.lit(True))
+        o = o.join(marks, "merchant", "left")
+        hint = hint | F.coalesce("_flag", F.lit(False))
     habit = (F.col("per_month") >= 6) & (F.col("cents") <= 15000)
     s = F.when(hint, F.greatest(base, F.lit(0.9))).otherwise(base) + F.when(habit, 0.15).otherwise(0.0)
     s = F.when(F.col("kind").isin("excluded", "income"), 0.0).otherwise(F.least(F.lit(1.0), s))

@@ -72,3 +72,16 @@ def classify(rows: DataFrame, rules: DataFrame, merchants: DataFrame | None = No
         m.alias("b"), F.col("a.description_raw").eqNullSafe(F.col("b.description_raw")) & (F.col("a.inflow") == F.col("b.inflow"))
     )
     return joined.select("a.*", "b.merchant", "b.category", "b.txn_type", "b.category_source").drop("inflow")
+
+
+def reclassified(ledger: DataFrame, rules: DataFrame, all_but_user: bool = False, merchants: DataFrame | None = None) -> DataFrame:
+    """The ledger with rows classified again that no rule has classified, or all
+    that no user has. The old type stays where the new one says nothing."""
+    old = ["merchant", "category", "txn_type", "category_source"]
+    source = F.coalesce("category_source", F.lit("default"))
+    open_ = source != "user" if all_but_user else source == "default"
+    kept = ledger.where(~open_)
+    again = ledger.where(open_).withColumnRenamed("txn_type", "_old_type").drop(*(c for c in old if c != "txn_type"))
+    again = classify(again, rules, merchants)
+    again = again.withColumn("txn_type", F.when(F.col("txn_type") == "other", F.coalesce("_old_type", "txn_type")).otherwise(F.col("txn_type"))).drop("_old_type")
+    return kept.unionByName(again)

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 KEEP, HOLD = 0.55, 0.90
 
 
-def fingerprinted(rows: DataFrame, *file_key: str) -> DataFrame:
+def fingerprinted(rows: DataFrame, *file_key: str, name: str = "merchant_norm", order: str = "id") -> DataFrame:
     """Adds occurrence and fingerprint. Equal rows of one file differ by their
     occurrence, unless a running balance tells them apart."""
-    soft = F.concat_ws("|", F.date_format("txn_date", "yyyy-MM-dd"), "amount_cents", F.regexp_replace(F.lower("merchant_norm"), "[^a-z0-9]", ""))
+    soft = F.concat_ws("|", F.date_format("txn_date", "yyyy-MM-dd"), "amount_cents", F.regexp_replace(F.lower(name), "[^a-z0-9]", ""))
     rows = rows.withColumn("soft_key", soft)
-    nth = F.row_number().over(Window.partitionBy("account_id", *file_key, "soft_key").orderBy("id")) - 1
+    nth = F.row_number().over(Window.partitionBy("account_id", *file_key, "soft_key").orderBy(order)) - 1
     tail = F.when(F.col("balance_cents").isNotNull(), F.concat(F.lit("b"), "balance_cents")).otherwise(F.concat(F.lit("o"), "occurrence"))
     return rows.withColumn("occurrence", nth).withColumn("fingerprint", F.sha1(F.concat_ws("|", "soft_key", tail)))
 

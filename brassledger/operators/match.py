@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,77 +11,139 @@ from ..functions.text import similarity
 ACCEPT = 0.62
 
 
-def card_candidates(receipts: DataFrame, ledger: DataFrame, window: int = 4, tolerance: int = 200) -> DataFrame:
-    """Scored (receipt, row) edges. Both sides meet on (account, week), a
-    receipt in each week that its window touches, so that busy accounts split."""
-    l = ledger.where("status = 'active' AND amount_cents < 0 AND is_cash_withdrawal = 0").select(
-        "account_id", F.col("id").alias("txn_id"), "txn_date", F.col("merchant_norm").alias("l_name"), (-F.col("amount_cents")).alias("cents"),
-        F.floor(F.unix_date("txn_date") / 7).alias("week"),
-    )
-    first, last = F.unix_date(F.date_sub("receipt_date", 2)), F.unix_date(F.date_add("receipt_date", window))
-    r = receipts.withColumn("week", F.explode(F.sequence(F.floor(first / 7), F.floor(last / 7))))
-    e = r.join(l, ["account_id", "week"])
+#: Outflows of one bucket or its neighbours hold all that the amount tolerance
+#: (5 %, at least 200 cents) lets through: ln(c + 4000) then moves by under 0.06.
+_STEP, _SHIFT = 0.06, 4000
+
+
+def card_candidates(receipts: DataFrame, ledger: DataFrame, window: int = 4, tolerance: int = 200, claimed: DataFrame | None = None) -> DataFrame:
+    """Scored (receipt, row) edges. Both sides meet on account and week, a receipt
+    in each week that its window touches, or on account and amount bucket where
+    the receipt has no date, so that busy accounts split. Receipts without a
+    total have none. Rows that other receipts hold (``claimed``: txn_id) are left out.
+    A card number on both sides that is the same adds to the score."""
+    l = ledger.where("status = 'active' AND amount_cents < 0 AND is_cash_withdrawal = 0")
+    if claimed is not None:
+        l = l.join(claimed.where("txn_id IS NOT NULL").select(F.col("txn_id").alias("id")), "id", "left_anti")
+    card = lambda df: F.col("card_last4") if "card_last4" in df.columns else F.lit(None).cast("string")
+    l = l.select("account_id", F.col("id").alias("txn_id"), "txn_date", F.col("merchant_norm").alias("l_name"), (-F.col("amount_cents")).alias("cents"), card(ledger).alias("l_card"))
+    r = receipts.where("total_cents > 0").select("account_id", "receipt_id", "receipt_date", "tender_type", "total_cents", "merchant_norm", card(receipts).alias("r_card"))
+    week = lambda c: F.floor(F.unix_date(c) / 7)
+    weeks = F.sequence(week(F.date_sub("receipt_date", 2)), week(F.date_add("receipt_date", window)))
+    bucket = lambda c: F.floor(F.ln(F.col(c) + _SHIFT) / _STEP)
+    buckets = F.sequence(bucket("total_cents") - 1, bucket("total_cents") + 1)
+    dated = r.where("receipt_date IS NOT NULL").withColumn("at", F.explode(weeks)).join(l.withColumn("at", week("txn_date")), ["account_id", "at"])
+    undated = r.where("receipt_date IS NULL").withColumn("at", F.explode(buckets)).join(l.withColumn("at", bucket("cents")), ["account_id", "at"])
     gap = F.datediff("txn_date", "receipt_date")
     off = F.abs(F.col("cents") - F.col("total_cents"))
     amount = F.when(off == 0, 0.55).when(off <= 100, 0.45).when(off <= F.greatest(F.lit(tolerance), 0.05 * F.col("total_cents")), 0.30)
-    date = F.when(gap == 0, 0.30).when(gap.between(1, window), 0.24 - 0.03 * gap).when(gap.between(-2, -1), 0.12)
-    name = similarity(F.col("merchant_norm"), F.col("l_name"))
-    e = e.select("account_id", "receipt_id", "receipt_date", "tender_type", "txn_id", amount.alias("a"), date.alias("d"), name.alias("s"))
-    e = e.where("a IS NOT NULL AND d IS NOT NULL AND s >= 0.25")
-    return e.select(
-        "account_id", "receipt_id", "receipt_date", "tender_type", "txn_id", F.round(F.least(F.lit(1.0), F.col("a") + F.col("d") + 0.3 * F.col("s")), 6).alias("score")
-    ).where(F.col("score") >= ACCEPT)
+    date = F.when(gap.isNull(), 0.05).when(gap == 0, 0.30).when(gap.between(1, window), 0.24 - 0.03 * gap).when(gap.between(-2, -1), 0.12)
+    named = (F.coalesce("merchant_norm", F.lit("")) != "") & (F.coalesce("l_name", F.lit("")) != "")
+    same_card = F.when(F.col("r_card") == F.col("l_card"), 0.15).otherwise(0.0)
+    e = dated.unionByName(undated).withColumn("a", amount).withColumn("d", date).where("a IS NOT NULL AND d IS NOT NULL")
+    e = e.withColumn("s", similarity(F.col("merchant_norm"), F.col("l_name"))).where(~named | (F.col("s") >= 0.25))
+    score = F.round(F.least(F.lit(1.0), F.col("a") + F.col("d") + 0.3 * F.col("s") + same_card), 6)
+    return e.select("account_id", "receipt_id", "receipt_date", "tender_type", "txn_id", score.alias("score")).where(F.col("score") >= ACCEPT)
 
 
 def cash_candidates(receipts: DataFrame, ledger: DataFrame, look_back: int = 21) -> DataFrame:
+    """(receipt, withdrawal) edges: withdrawals of the days before a receipt. The
+    sides meet on account and week, as the busiest account may have many of both."""
+    week = lambda c: F.floor(F.unix_date(c) / 7)
     w = ledger.where("status = 'active' AND is_cash_withdrawal = 1 AND amount_cents < 0").select(
-        "account_id", F.col("id").alias("withdrawal_id"), "txn_date", (-F.col("amount_cents")).alias("withdrawn")
+        "account_id", F.col("id").alias("withdrawal_id"), "txn_date", (-F.col("amount_cents")).alias("withdrawn"), week("txn_date").alias("week")
     )
-    e = receipts.join(w, "account_id").where(F.col("txn_date").between(F.date_sub("receipt_date", look_back), F.col("receipt_date")))
+    r = receipts.select("account_id", "receipt_id", "receipt_date", "total_cents")
+    r = r.withColumn("week", F.explode(F.sequence(week(F.date_sub("receipt_date", look_back)), week(F.col("receipt_date")))))
+    e = r.join(w, ["account_id", "week"]).where(F.col("txn_date").between(F.date_sub("receipt_date", look_back), F.col("receipt_date")))
     return e.select("account_id", "receipt_id", "receipt_date", "total_cents", "withdrawal_id", "withdrawn", F.datediff("receipt_date", "txn_date").alias("days_before"))
 
 
-def assign_cards(edges: DataFrame) -> DataFrame:
-    """Best free row for each receipt, receipts by (date, id): greedy, so each
-    account's few accepted edges are walked in order."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, done, out = set(), set(), []
-        for e in pdf.sort_values(["receipt_date", "receipt_id", "score", "txn_id"], ascending=[True, True, False, True]).itertuples():
-            if e.receipt_id not in done and e.txn_id not in taken:
-                done.add(e.receipt_id)
-                taken.add(e.txn_id)
-                out.append((e.account_id, e.receipt_id, e.txn_id, e.score))
-        return pd.DataFrame(out, columns=["account_id", "receipt_id", "txn_id", "score"])
-
-    return edges.groupBy("account_id").applyInPandas(walk, "account_id long, receipt_id long, txn_id long, score double")
-
-
-def allocate_cash(edges: DataFrame) -> DataFrame:
-    """Slips drawn from prior withdrawals, nearest first, never beyond what was
-    withdrawn; receipts by (date, id)."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = dict(zip(pdf.withdrawal_id, pdf.withdrawn, strict=True))
-        need = dict(zip(pdf.receipt_id, pdf.total_cents, strict=True))
-        out = []
-        for e in pdf.sort_values(["receipt_date", "receipt_id", "days_before", "withdrawal_id"]).itertuples():
-            n = min(left[e.withdrawal_id], need[e.receipt_id])
-            if n > 0:
-                left[e.withdrawal_id] -= n
-                need[e.receipt_id] -= n
-                out.append((e.account_id, e.receipt_id, e.withdrawal_id, n))
-        return pd.DataFrame(out, columns=["account_id", "receipt_id", "withdrawal_id", "amount_cents"])
-
-    return edges.groupBy("account_id").applyInPandas(walk, "account_id long, receipt_id long, withdrawal_id long, amount_cents long")
-
-
-def link_receipts(receipts: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+_LINKS = "account_id long, receipt_id long, txn_id long, withdrawal_id long, score double, amount_cents long"
+
+
+def assign(cards: DataFrame, cash: DataFrame, tenders: DataFrame) -> DataFrame:
+    """Ledger rows and withdrawals for receipts, taken by (date, id), null dates first.
+
+    A cash receipt draws on earlier withdrawals, nearest first, and looks for a
+    card row if there is nothing to draw; one of unknown or voucher tender does
+    it the other way round; all others take card rows only. A row is taken once
+    and a withdrawal never beyond its amount, so each account's scored edges are
+    walked in order; only edges reach this step, no ledger rows.
+    """
+
+    def walk(key: tuple, card: pd.DataFrame, draw: pd.DataFrame) -> pd.DataFrame:
+        draw = draw.rename(columns=lambda c: c.removeprefix("c_"))
+        rows, slips, who, left, out = {}, {}, {}, {}, []
+        when = lambda e: "" if pd.isna(e.receipt_date) else str(e.receipt_date)
+        for e in card.sort_values(["receipt_id", "score", "txn_id"], ascending=[True, False, True]).itertuples():
+            rows.setdefault(e.receipt_id, []).append((e.txn_id, e.score))
+            who[e.receipt_id] = (when(e), e.tender_type)
+        for e in draw.sort_values(["receipt_id", "days_before", "withdrawal_id"]).itertuples():
+            slips.setdefault(e.receipt_id, []).append((e.withdrawal_id, e.total_cents))
+            left[e.withdrawal_id] = e.withdrawn
+            who[e.receipt_id] = (when(e), e.tender_type)
+        taken = set()
+
+        def by_card(r: int) -> bool:
+            for txn, score in rows.get(r, ()):
+                if txn not in taken:
+                    taken.add(txn)
+                    out.append((key[0], r, txn, None, score, None))
+                    return True
+            return False
+
+        def by_cash(r: int) -> bool:
+            need, before = slips.get(r, [(0, 0)])[0][1], len(out)
+            for withdrawal, _ in slips.get(r, ()):
+                n = min(left[withdrawal], need)
+                if n > 0:
+                    left[withdrawal] -= n
+                    need -= n
+                    out.append((key[0], r, None, withdrawal, None, n))
+            return len(out) > before
+
+        for r in sorted(who, key=lambda r: (who[r][0], r)):
+            tender = who[r][1]
+            if tender == "cash":
+                by_cash(r) or by_card(r)
+            else:
+                by_card(r) or (tender in ("unknown", "voucher") and by_cash(r))
+        found = pd.DataFrame(out, columns=["account_id", "receipt_id", "txn_id", "withdrawal_id", "score", "amount_cents"])
+        return found.astype({"txn_id": "Int64", "withdrawal_id": "Int64", "amount_cents": "Int64", "score": "float64"})
+
+    draws = cash.join(tenders.select("receipt_id", "tender_type"), "receipt_id")
+    draws = draws.select(*(F.col(c).alias(f"c_{c}") for c in draws.columns))
+    return cards.groupBy("account_id").cogroup(draws.groupBy("c_account_id")).applyInPandas(walk, _LINKS)
+
+
+def link_receipts(receipts: DataFrame, ledger: DataFrame, claimed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(receipts with link_status, match_score and txn_id; cash allocations)."""
-    cards = assign_cards(card_candidates(receipts.where("tender_type <> 'cash'"), ledger))
-    cash = allocate_cash(cash_candidates(receipts.where("tender_type = 'cash'"), ledger))
-    drawn = cash.groupBy("receipt_id").agg(F.sum("amount_cents").alias("drawn"))
-    r = receipts.join(cards.select("receipt_id", "txn_id", "score"), "receipt_id", "left").join(drawn, "receipt_id", "left")
+    tender = F.coalesce("tender_type", F.lit("unknown"))
+    receipts = receipts.withColumn("tender_type", tender)
+    found = assign(card_candidates(receipts, ledger, claimed=claimed), cash_candidates(receipts.where("total_cents > 0 AND tender_type IN ('cash', 'unknown', 'voucher')"), ledger), receipts)
+    links = found.groupBy("receipt_id").agg(F.max("txn_id").alias("txn_id"), F.max("score").alias("score"), F.sum("amount_cents").alias("drawn"))
+    r = receipts.join(links, "receipt_id", "left")
     status = F.when(F.col("txn_id").isNotNull(), "matched").when(F.col("drawn") > 0, "cash_allocated").otherwise("unmatched")
     score = F.coalesce("score", F.when(F.col("drawn") >= F.col("total_cents"), 0.8), F.when(F.col("drawn") > 0, 0.5))
-    return r.select("account_id", "receipt_id", "receipt_date", "merchant_norm", "total_cents", "tender_type", status.alias("link_status"), "txn_id", score.alias("match_score")), cash
+    linked = r.select("account_id", "receipt_id", "receipt_date", "merchant_norm", "total_cents", "tender_type", status.alias("link_status"), "txn_id", score.alias("match_score"))
+    return linked, found.where("amount_cents IS NOT NULL").select("account_id", "receipt_id", "withdrawal_id", "amount_cents")
+
+
+def rematch(linked: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Links again what is not matched to a row; matched receipts keep their rows
+    and ignored ones stay as they are."""
+    again = linked.where("link_status IN ('unmatched', 'cash_allocated')")
+    kept = linked.where("link_status NOT IN ('unmatched', 'cash_allocated')")
+    new, _ = link_receipts(again.select("account_id", "receipt_id", "receipt_date", "merchant_norm", "total_cents", "tender_type"), ledger, kept)
+    return kept.unionByName(new)
+
+
+def same_slips(receipts: DataFrame, least: float = 0.6) -> DataFrame:
+    """Pairs of an account's receipts of one date and total with similar names:
+    one slip that was stored twice. Ignored receipts do not count."""
+    r = receipts.where("link_status <> 'ignored'") if "link_status" in receipts.columns else receipts
+    a = r.select("account_id", "receipt_date", "total_cents", F.col("receipt_id").alias("first_id"), F.col("merchant_norm").alias("_a"))
+    b = r.select("account_id", "receipt_date", "total_cents", F.col("receipt_id").alias("second_id"), F.col("merchant_norm").alias("_b"))
+    p = a.join(b, ["account_id", "receipt_date", "total_cents"]).where("first_id < second_id")
+    return p.where(similarity(F.col("_a"), F.col("_b")) >= least).drop("_a", "_b")

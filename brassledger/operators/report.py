@@ -208,14 +208,64 @@ def uncategorised_merchants(ledger: DataFrame) -> DataFrame:
     )
 
 
-def search(ledger: DataFrame, text: str = "", status: str = "active", direction: str = "out", limit: int = 250) -> DataFrame:
+def search(
+    ledger: DataFrame, text: str = "", status: str = "active", direction: str = "out", limit: int = 250,
+    category_is: str | None = None, merchant_is: str | None = None, start=None, end=None,
+) -> DataFrame:
     """The newest rows that match, as a page of a ledger shows them."""
-    l = ledger.where((F.col("status") == status) & (F.col("amount_cents") < 0 if direction == "out" else F.col("amount_cents") > 0))
+    l = ledger.where(F.col("status") == status)
+    if direction in ("out", "in"):
+        l = l.where(F.col("amount_cents") < 0 if direction == "out" else F.col("amount_cents") > 0)
     if text:
-        l = l.where(F.col("merchant_norm").ilike(f"%{text}%"))
+        names = [c for c in ("merchant_norm", "description_raw") if c in ledger.columns]
+        hits = [F.contains(F.lower(c), F.lit(text.lower())) for c in names]
+        l = l.where(F.greatest(*(F.coalesce(h, F.lit(False)) for h in hits)) if len(hits) > 1 else hits[0])
+    if category_is is not None:
+        l = l.where(category() == category_is)
+    if merchant_is is not None:
+        l = l.where(merchant() == merchant_is)
+    if start is not None:
+        l = l.where(F.col("txn_date").between(start, end))
     return l.orderBy(F.desc("txn_date"), F.desc("id")).limit(limit)
 
 
+def default_period(ledger: DataFrame, requested: DataFrame) -> DataFrame:
+    """The requested period (account_id, start, end) where it has rows, else the data's extent."""
+    used = in_periods(ledger, requested).select("account_id").distinct().withColumn("_used", F.lit(True))
+    extent = ledger.groupBy("account_id").agg(F.min("txn_date").alias("first"), F.max("txn_date").alias("last"))
+    j = extent.join(requested, "account_id", "left").join(used, "account_id", "left")
+    return j.select("account_id", F.when(F.col("_used"), F.col("start")).otherwise(F.col("first")).alias("start"), F.when(F.col("_used"), F.col("end")).otherwise(F.col("last")).alias("end"))
+
+
+def drill_down(ledger: DataFrame, name: str, receipts: DataFrame) -> DataFrame:
+    """All outflows of one merchant, with how many receipts (txn_id) each has."""
+    n = receipts.where("txn_id IS NOT NULL").groupBy(F.col("txn_id").alias("id")).agg(F.count("*").alias("n_receipts"))
+    return outflows(ledger).where(merchant() == name).join(n, "id", "left").fillna(0, ["n_receipts"])
+
+
+def completeness(ledger: DataFrame, statements: DataFrame, receipts: DataFrame, allocations: DataFrame, pending: DataFrame) -> DataFrame:
+    """One row per account: does the ledger reconcile, do balances agree, which
+    days are covered, what of the cash and the receipts is explained, and the
+    codes of everything that is not. ``receipts`` are linked ones, ``pending``
+    are duplicate candidates that nobody has decided on."""
+    r = reconciliation(ledger, allocations).select("account_id", "residual_cents", "cash_cents", "unexplained_cash_cents", "explained_share", F.col("warnings").alias("base"))
+    extent = ledger.groupBy("account_id").agg(F.min("txn_date").alias("start"), F.max("txn_date").alias("end"))
+    days = coverage(statements, extent).select("account_id", "covered_days", "total_days", "n_gaps")
+    of = lambda s: F.count_if(F.col("link_status") == s)
+    slips = receipts.groupBy("account_id").agg(of("matched").alias("n_matched"), of("cash_allocated").alias("n_cash"), of("unmatched").alias("n_unmatched"))
+    held = pending.groupBy("account_id").agg(F.count("*").alias("n_pending"))
+    t = r.join(balance_check(ledger).select("account_id", "agrees"), "account_id", "left").join(days, "account_id", "left")
+    t = t.join(slips, "account_id", "left").join(held, "account_id", "left").fillna(0, ["covered_days", "n_gaps", "n_matched", "n_cash", "n_unmatched", "n_pending"])
+    codes = F.concat_ws(
+        ",", F.nullif(F.col("base"), F.lit("")), F.when((F.col("n_gaps") > 0) | F.col("total_days").isNull(), "coverage_gaps"), F.when(~F.col("agrees"), "balances"),
+        F.when(F.col("n_pending") > 0, "pending_duplicates"), F.when(F.col("n_unmatched") > 0, "unmatched_receipts"),
+    )
+    return t.select(
+        "account_id", (F.col("residual_cents") == 0).alias("reconciles"), F.col("agrees").alias("balances_agree"), "covered_days", "total_days", "cash_cents",
+        (F.col("cash_cents") - F.col("unexplained_cash_cents")).alias("cash_explained_cents"), "n_matched", "n_cash", "n_unmatched", "n_pending", "explained_share", codes.alias("warnings"),
+    )
+
+
 def cash_reclassified(ledger: DataFrame, revealed: DataFrame) -> DataFrame:
     """Category totals after cash slips (account_id, category, cents) move their
     part out of Cash Withdrawals; an account's total does not change."""

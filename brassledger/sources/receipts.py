@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.money import parse_amount, to_cents
+from ..functions.text import canonical_key
+from ..operators.match import same_slips
 
 PAYLOAD = (
     "merchant string, date string, time string, total string, vat string, tender_type string, card_last4 string, confidence string, "
@@ -86,3 +88,21 @@ def from_text(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.coalesce("tender_type", F.lit("unknown")).alias("tender_type"), F.coalesce("total", "largest").alias("total_cents"),
         F.when(F.col("total").isNotNull(), 0.6).when(F.col("largest").isNotNull(), 0.25).alias("confidence"),
     )
+
+
+def stored(new: DataFrame, known: DataFrame, merchants: DataFrame) -> DataFrame:
+    """Receipts of ``new`` (from_payload's columns, account_id, sha256 of the image)
+    that no receipt of ``known`` has the image of, each image once, with the
+    default category of its merchant and the codes of what looks wrong."""
+    fresh = new.join(known.select("sha256").distinct(), "sha256", "left_anti")
+    first = F.row_number().over(Window.partitionBy("sha256").orderBy("receipt_id"))
+    fresh = fresh.withColumn("_n", first).where("_n = 1 OR sha256 IS NULL").drop("_n")
+    fresh = fresh.withColumn("canonical", canonical_key(F.col("merchant"))).join(merchants.select("canonical", F.col("default_category").alias("category")), "canonical", "left")
+    shape = lambda df: df.select("account_id", "receipt_id", "receipt_date", "total_cents", F.col("merchant").alias("merchant_norm"))
+    twice = same_slips(shape(fresh).union(shape(known)))
+    twice = twice.select(F.explode(F.array("first_id", "second_id")).alias("receipt_id")).distinct().withColumn("_twice", F.lit(True))
+    codes = F.concat_ws(
+        ",", F.when(F.col("total_cents").isNull(), "no_total"), F.when(F.col("inconsistent"), "lines_differ"), F.when(F.col("confidence") < 0.5, "low_confidence"),
+        F.when(F.col("_twice"), "same_slip"),
+    )
+    return fresh.join(twice, "receipt_id", "left").withColumn("warnings", codes).drop("_twice", "canonical")

@@ -33,7 +33,11 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
     UTF-8 with or without a mark, else ISO-8859-1.
     """
-    raw = spark.read.format("binaryFile").load(path)
+    return lines_of(spark.read.format("binaryFile").load(path))
+
+
+def lines_of(raw: DataFrame) -> DataFrame:
+    """The same for files that are read already (path, content)."""
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
     lines = F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n"))
     return raw.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), lines.alias("line_no", "line"))
@@ -155,8 +159,13 @@ def typed_rows(g: DataFrame, layout: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_statements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    g = grid(scan(spark, path))
-    return typed_rows(g, layouts(g, spark))
+    return typed(scan(spark, path))
+
+
+def typed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of the lines of files, each with its own layout."""
+    g = grid(lines)
+    return typed_rows(g, layouts(g, lines.sparkSession))
 
 
 def file_report(rows: DataFrame, bad: DataFrame) -> DataFrame:
@@ -168,12 +177,14 @@ def file_report(rows: DataFrame, bad: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("amount_cents") < 0, -F.col("amount_cents")).otherwise(0)).alias("out_cents"),
         F.sum(F.when(F.col("amount_cents") > 0, F.col("amount_cents")).otherwise(0)).alias("in_cents"),
         F.count("balance_cents").alias("n_balances"), F.max("confidence").alias("confidence"),
+        F.max(F.dayofmonth("txn_date")).alias("last_day"),
     )
     a = a.join(bad.groupBy("file").agg(F.count("*").alias("n_skipped")), "file", "left").fillna(0, ["n_skipped"])
     concerns = F.array_compact(
         F.array(
             F.when(F.col("confidence") < 0.5, "layout"), F.when(F.col("out_cents") == 0, "inflow only"), F.when(F.col("n_balances") == 0, "no balance"),
             F.when(F.col("n_skipped") > 0.1 * (F.col("n_rows") + F.col("n_skipped")), "many skipped"),
+            F.when((F.datediff("period_end", "period_start") > 20) & (F.col("last_day") <= 12), "ambiguous dates"),
         )
     )
-    return a.withColumn("concerns", F.concat_ws(",", concerns))
+    return a.withColumn("concerns", F.concat_ws(",", concerns)).drop("last_day")

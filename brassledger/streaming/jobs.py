@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import imports
 from ..operators.dedupe import fingerprinted, first_of_fingerprint, new_rows
+from ..sources import statements
 
 
 def import_new(spark: SparkSession, rows_path: str, schema, ledger_path: str, checkpoint: str):
@@ -21,6 +26,27 @@ def import_new(spark: SparkSession, rows_path: str, schema, ledger_path: str, ch
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def import_files(spark: SparkSession, files_path: str, ledger_path: str, work: str, rules: DataFrame, account):
+    """Import statement files as they arrive. ``account`` gives the account of a
+    file from its path (a Column of ``file``). Files and rows that the ledger has
+    already change nothing, so a batch that runs again is harmless."""
+    files = spark.readStream.format("binaryFile").schema(FILES).load(files_path)
+
+    def step(batch: DataFrame, n: int) -> None:
+        parsed, _ = statements.typed(statements.lines_of(batch))
+        try:
+            known = spark.read.schema(imports.empty_ledger(spark).schema).parquet(ledger_path)
+        except AnalysisException:  # the first batch
+            known = imports.empty_ledger(spark)
+        tagged = imports.import_batch(parsed.withColumn("account_id", account), known, rules, f"{work}/batch-{n}-{uuid.uuid4().hex}")
+        imports.append(tagged, ledger_path)
+
+    return files.writeStream.foreachBatch(step).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+
+
 def daily_outflow(rows: DataFrame, late: str = "3 days") -> DataFrame:
     """Outflow per account, day and category; repeats of a fingerprint inside the
     watermark count once, later rows are dropped."""

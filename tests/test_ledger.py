@@ -3,7 +3,7 @@
 import datetime as dt
 
 from brassledger.functions import dates, money, text
-from brassledger.operators import advice, classify, dedupe, dims, match, mutate, recurring, report
+from brassledger.operators import advice, classify, dedupe, dims, imports, match, mutate, recurring, report
 from brassledger.sources import receipts as receipt_sources
 from brassledger.sources import statements as files
 from brassledger.streaming import jobs
@@ -105,6 +105,43 @@ def test_cash_is_never_overdrawn(spark):
     assert sum(by.values()) == report.totals(l, "account_id").first().outflow_cents
 
 
+def test_tenders_cards_and_undated_receipts(spark):
+    rows = [(1, 1, day(3, 1), "ATM", "Cash Withdrawals", 1, "active", -50000, None), (2, 1, day(3, 4), "Corner Shop", None, 0, "active", -10000, None), (3, 1, day(3, 4), "Cafe", None, 0, "active", -700, None)]
+    l = spark.createDataFrame(rows, LEDGER).withColumn("card_last4", F.lit("1234"))
+    cols = "receipt_id long, account_id long, receipt_date date, merchant_norm string, total_cents long, tender_type string, card_last4 string"
+    r = spark.createDataFrame(
+        [
+            (1, 1, day(3, 4), "Corner Shop", 10000, "unknown", None),  # the card row comes first
+            (2, 1, day(3, 5), "Kiosk", 3000, None, None),  # no row: cash
+            (3, 1, day(3, 6), "Nowhere", 4000, "card", None),  # a card slip never draws cash
+            (4, 1, None, "Cafe", 700, "card", "1234"),  # no date: amount, name and card decide
+            (5, 1, day(3, 6), "Cafe", None, "cash", None),
+        ],
+        cols,
+    )
+    got = {x.receipt_id: (x.link_status, x.txn_id) for x in match.link_receipts(r, l)[0].collect()}
+    assert got == {1: ("matched", 2), 2: ("cash_allocated", None), 3: ("unmatched", None), 4: ("matched", 3), 5: ("unmatched", None)}
+    kept = spark.createDataFrame([(2,)], "txn_id long")
+    assert {x.txn_id for x in match.link_receipts(r, l, kept)[0].collect()} == {3, None}
+
+
+def test_import_twice_and_known_files(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("Date,Description,Amount,Balance\n13/03/2025,Checkers,-350.00,650.00\n14/03/2025,ATM,-100.00,550.00\n14/03/2025,ATM,-100.00,450.00\n")
+    rows, bad = files.read_statements(spark, str(tmp_path / "one.csv"))
+    rows = rows.withColumn("account_id", F.lit(1).cast("long"))
+    tagged = imports.import_batch(rows, imports.empty_ledger(spark), dims.rules(spark), str(tmp_path / "w1"))
+    assert [r.n_imported for r in imports.counters(tagged, bad.withColumn("account_id", F.lit(1).cast("long"))).collect()] == [3]
+    ledger = imports.additions(tagged)
+    assert sum(r.is_cash_withdrawal for r in ledger.collect()) == 2
+    assert imports.import_batch(rows, ledger, dims.rules(spark), str(tmp_path / "w2")).count() == 0  # the file is known
+    again = imports.import_batch(rows, ledger, dims.rules(spark), str(tmp_path / "w3"), force=True)
+    assert {r.outcome for r in again.collect()} == {"exact"}
+    (tmp_path / "two.csv").write_text("Date,Description,Amount\n13/03/2025,Checkers,-350.00\n15/03/2025,Checkers,-350.00\n16/03/2025,Engen,-1.00\n")
+    more = files.read_statements(spark, str(tmp_path / "two.csv"))[0].withColumn("account_id", F.lit(1).cast("long"))
+    got = imports.import_batch(more, ledger, dims.rules(spark), str(tmp_path / "w4"))
+    assert [(r.outcome, r.status) for r in got.orderBy("row_ordinal").collect()] == [("held", "duplicate"), ("review", "active"), ("imported", "active")]
+
+
 def test_monthly_subscription(spark):
     rows = [(i, 1, day(m, 5), "Netflix", "Subscriptions & Streaming", 0, "active", -19900, None) for i, m in enumerate((1, 2, 3))]
     r = recurring.recurring(spark.createDataFrame(rows, LEDGER)).first()
