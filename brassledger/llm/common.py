@@ -59,6 +59,23 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
+def keep_least(docs: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:
+    """One row of ``docs`` for each root of ``rooted`` (doc_id, tie, root).
+
+    tie is the hash of the whole row. The row with the smallest (id, tie) stays;
+    null ids come last. Among rows equal in every column one stays.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("i"), F.col("tie").alias("t"))
+    best = rooted.groupBy("root").agg(F.min(rank).alias("w")).select("w.i", "w.t")
+    best = materialize(best, "kept")
+    packed = docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("own"), F.xxhash64(*cols).alias("tie"))
+    kept = packed.join(best, packed.own.eqNullSafe(best.i) & (packed.tie == best.t), "left_semi")
+    if not rooted.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["own", "tie"])
+    return kept.select("row.*")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

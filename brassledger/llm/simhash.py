@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, short_batches
+from .common import keep_least, materialize, short_batches
 from .components import connected_components
 
 BITS = 64
@@ -323,11 +323,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     slim = materialize(
         docs.select(F.col(id_col).alias("doc_id"), tie.alias("tie"), fingerprint(F.col(text_col)).alias("fp")), "simhash"
     )
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("i"), F.col("tie").alias("t"))
-    best = slim.join(components_of(slim), "fp").groupBy("root").agg(F.min(rank).alias("w")).select("w.i", "w.t")
-    best = materialize(best, "simhash-kept")
-    packed = docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("own"), tie.alias("tie"))
-    kept = packed.join(best, packed.own.eqNullSafe(best.i) & (packed.tie == best.t), "left_semi")
-    if not slim.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["own", "tie"])
-    return kept.select("row.*")
+    return keep_least(docs, slim.join(components_of(slim), "fp").select("doc_id", "tie", "root"), id_col)

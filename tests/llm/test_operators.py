@@ -9,7 +9,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
-from brassledger.llm import html, language, mixing, packing, quality, secrets, simhash, tokenfile, tokens, vectors, warc
+from brassledger.llm import html, jaccard, language, mixing, packing, quality, secrets, simhash, tokenfile, tokens, vectors, warc
 from brassledger.llm.queries import ORACLE_SQL, QUERIES
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -109,6 +109,37 @@ def test_keep_one(spark, sf_dir):
         assert kept.columns == d.columns and kept.count() == n
 
 
+def jaccard_groups(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if 5 * len(x & y) >= 4 * len(x | y) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if k == old else k for k in label]
+    return label
+
+
+def test_near_dedup_stage_equals_brute_force_jaccard(spark, sf_dir):
+    words = [f"w{i}" for i in range(300)]
+    chain = [" ".join(words[4 * k : 4 * k + 100]) for k in range(12)]  # linked only one to the next
+    copies = [" ".join(words[:i] + ["other"] + words[i + 1 :]) for i in range(20, 280, 13)]
+    common = [" ".join([f"own{k}x{i}" for i in range(30)] + words[200:230]) for k in range(60)]
+    made = spark.createDataFrame([(i, t, "en", "a", len(t), "x", 1, "y", 2, "z") for i, t in enumerate(chain + copies + common)], DOCS)
+    for d in (docs(spark, sf_dir), awkward(spark), made.repartition(3), empty(spark)):
+        rows = d.select("doc_id", "text").collect()
+        groups = {}
+        for r, k in zip(rows, jaccard_groups([r.text for r in rows]), strict=True):
+            groups.setdefault(k, []).append((r.doc_id is None, r.doc_id or 0))
+        kept = corpus_pipeline.near_dedup(spark, d, sf_dir)
+        assert kept.columns == d.columns
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(map(min, groups.values()))
+
+
 # --- 2 ---
 
 
