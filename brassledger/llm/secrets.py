@@ -40,14 +40,18 @@ CLASSES = (
 )
 #: A window holds so many digits, and so many other characters, at least.
 MIN_DIGITS = 2
-#: Candidates that are no secrets: UUIDs, words (joined or not), numbers, the
-#: usual alphabets, and example keys.
+#: Candidates that are no secrets: words (joined or not) and numbers; and parts
+#: of candidates: UUIDs, and what between two marks holds one of the usual
+#: alphabets or is an example. No window reaches into such a part.
 ALLOWED = (
-    re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"),
     re.compile(r"[A-Za-z]+([-_/+=][A-Za-z]+)*[-_/+=]*"),
     re.compile(r"[0-9_/+=-]+"),
-    re.compile(r"(?i).*(0123456789abcdef|abcdefghijklmnopqrstuvwxyz|example|placeholder|changeme).*"),
 )
+ALLOWED_PARTS = re.compile(
+    r"(?i)(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])"
+    r"|[0-9a-z]*(?:0123456789abcdef|abcdefghijklmnopqrstuvwxyz|example|placeholder|changeme)[0-9a-z]*"
+)
+_CLASS_OF = {c: k for k in reversed(range(len(CLASSES))) for c in map(chr, range(128)) if CLASSES[k][1].fullmatch(c)}
 _NLOGN = [0.0, *(n * math.log2(n) for n in range(1, 4 * WINDOW))]
 
 
@@ -70,17 +74,26 @@ def entropy_windows(run: str, width: int = WINDOW) -> list[float]:
 
 
 def entropy_spans(text: str) -> Iterable[tuple[int, int]]:
+    needs = [*(bits for _, _, bits in CLASSES), math.inf]
     for m in CANDIDATE.finditer(text):
         run = m[0]
         if any(a.fullmatch(run) for a in ALLOWED):
             continue
-        need = next(bits for _, chars, bits in CLASSES if chars.fullmatch(run))
+        kinds = [_CLASS_OF[c] for c in run]
+        for part in ALLOWED_PARTS.finditer(run):
+            kinds[part.start() : part.end()] = [len(CLASSES)] * len(part[0])
         digits = [c.isdigit() for c in run]
+        held = [0] * len(needs)  # characters of each class in the window
+        for k in kinds[: WINDOW - 1]:
+            held[k] += 1
         inside, letters, found = sum(digits[:WINDOW]), 0, None
         for i, bits in enumerate(entropy_windows(run)):
+            held[kinds[i + WINDOW - 1]] += 1
             if i:
                 inside += digits[i + WINDOW - 1] - digits[i - 1]
+                held[kinds[i - 1]] -= 1
             letters = WINDOW - inside
+            need = needs[3 if held[3] else 2 if held[2] else 1 if held[1] else 0]
             if bits >= need and inside >= MIN_DIGITS and letters >= MIN_DIGITS:
                 if found and i <= found[1]:
                     found = (found[0], i + WINDOW)

@@ -346,6 +346,18 @@ def test_entropy_windows():
         assert not list(secrets.entropy_spans(harmless))
 
 
+def test_entropy_class_is_that_of_the_window():
+    rng = np.random.default_rng(8)
+    for prefix, letters, n in (("key=", "0123456789abcdef", 28), ("sig=", "0123456789ABCDEF", 40), ("example=", "0123456789abcdef", 28), ("id_placeholder/", "0123456789ABCDEF", 40)):
+        runs = ["".join(rng.choice(list(letters), n)) for _ in range(200)]
+        bare = [r for r in runs if list(secrets.entropy_spans(f"a {r} b")) == [(2, 2 + n)]]
+        assert len(bare) >= 150
+        for r in bare:
+            assert any(a <= 2 + len(prefix) and b == 2 + len(prefix) + n for a, b in secrets.entropy_spans(f"a {prefix}{r} b"))
+    for harmless in ("id=123e4567-e89b-12d3-a456-426614174000", "key=0123456789abcdef0123456789abcdef", "AKIA1234/x7Q9rT2bPxRfiCYEXAMPLEKEY"):
+        assert not list(secrets.entropy_spans(harmless))
+
+
 def test_redaction_keeps_documents(spark, sf_dir):
     d = awkward(spark)
     got = secrets.redacted(d)
