@@ -129,15 +129,29 @@ def _expectations(psi: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.nd
     return post, pair.sum(axis=(0, 1))
 
 
+def _even(windows: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes], int]]:
+    """Windows of equal length: the short ones of a language are joined, and the
+    last of these begins again with the first words."""
+    out, short = [x for x in windows if len(x[0]) == WINDOW_WORDS], defaultdict(list)
+    for words, lang in windows:
+        if len(words) < WINDOW_WORDS:
+            short[lang] += words
+    for lang, words in sorted(short.items()):
+        for at in range(0, len(words), WINDOW_WORDS):
+            own = words[at : at + WINDOW_WORDS]
+            out.append((list(itertools.islice(itertools.chain(own, itertools.cycle(words)), WINDOW_WORDS)), lang))
+    return out
+
+
 def fit(windows: list[tuple[str, str]], epochs: int = 8, chain: int = 3, batch: int = 48, seed: int = 1) -> Model:
-    """Fit on (words, language) windows of ``WINDOW_WORDS`` words.
+    """Fit on (words, language) windows of up to ``WINDOW_WORDS`` words.
 
     Chains join windows of random languages, so that transitions are learned
     from text that switches.
     """
     langs = sorted({lang for _, lang in windows})
     windows = [(split_words(w)[:WINDOW_WORDS], langs.index(lang)) for w, lang in windows]
-    windows = [x for x in windows if len(x[0]) == WINDOW_WORDS]
+    windows = _even(windows)
     k, rng = len(langs), np.random.default_rng(seed)
     weights, trans = np.zeros((SLOTS, k)), np.zeros((k, k))
     seen, seen_t = np.full(weights.shape, 1e-2), np.full(trans.shape, 1.0)

@@ -233,6 +233,21 @@ def test_language_edges(spark):
     assert language.with_language(awkward(spark)).columns == awkward(spark).columns
 
 
+def test_language_learns_from_short_texts_only(spark):
+    stock = {
+        "en": "the house of my brother is near the old river and we walk there every morning with our small dog",
+        "fr": "la maison de mon frère est près de cette vieille rivière où nous allons chaque matin avec notre petit chien",
+        "de": "das haus meines bruders steht nahe dem alten fluss und wir gehen jeden morgen dorthin mit unserem kleinen hund",
+    }
+    rng, rows = np.random.default_rng(6), []
+    for lang, line in sorted(stock.items()):
+        rows += [(len(rows) + i, " ".join(rng.choice(line.split(), rng.integers(3, 12))), lang) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.identified(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 30 and sum(r.lang_pred == r.lang for r in got) >= 0.9 * len(got)
+    assert language.with_language(df).count() >= 0.9 * len(rows)
+
+
 def test_forward_backward_in_segments():
     rng = np.random.default_rng(0)
     e, t, counts = rng.normal(size=(700, 3)) * 3, rng.normal(size=(3, 3)), np.array([300, 0, 1, 399])
