@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,9 @@ from ..shipping import ship
 #: batch of the longest texts then still fits beside the others in a worker.
 BATCH_ROWS = 256
 
+#: Bytes of input for each part of an ordered table, and parts at most.
+PART_BYTES, MAX_PARTS = 64 << 20, 1 << 20
+
 #: ASCII white space, as the contracts define words: [^\x20\x09-\x0D]+
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -23,13 +27,15 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is
-    made instead.
+    Only where it is unset and all runs in one process, as in tests, a temporary
+    folder is made instead; a cluster without the setting is refused.
     """
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return _own_dir
@@ -39,7 +45,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs no recomputation of what
@@ -47,7 +53,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,21 +86,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ordered_parts(df: DataFrame, *order: str) -> DataFrame:
+def parts_for(df: DataFrame) -> int:
+    """So many parts that one holds about ``PART_BYTES`` of the input, by the size
+    that Spark estimates for ``df``; never fewer than the shuffle partitions."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_partitions(df.sparkSession), min(MAX_PARTS, -(-size // PART_BYTES)))
+
+
+def ordered_parts(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
     """Range-partition by ``order`` and sort each part; the part numbers ascend.
 
     The count is explicit, so adaptive execution neither merges nor splits the
-    parts and ``spark_partition_id()`` right after it is the part's rank.
+    parts and ``spark_partition_id()`` right after it is the part's rank. It
+    grows with the input (``parts_for``) unless ``parts`` is given.
     """
-    n = shuffle_partitions(df.sparkSession)
+    n = parts or parts_for(df)
     return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
 
 def part_bases(totals: DataFrame, *amounts: str) -> DataFrame:
     """(part, base_<amount>...) from (part, <amount>...), one row a part.
 
-    An exclusive running sum over the parts. There are as many rows as shuffle
-    partitions, whatever the input's size, so one task can take them.
+    An exclusive running sum over the parts. There are at most ``MAX_PARTS`` rows
+    (or shuffle partitions), whatever the input's size, so one task can take them.
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(

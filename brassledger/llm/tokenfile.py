@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, ordered_parts, part_bases, short_batches, shuffle_partitions
 from .files import Committed, store
-from .tokens import default_tokenizer, encode, id_type
+from .tokens import TOKEN_ROWS, default_tokenizer, encode_column, id_type
 
 _MANIFEST = "part int, name string, n_docs long, n_tokens long, id_type string"
 _DOCS = "part int, doc_id long, at long, n_tokens long, ids_crc32 long"
@@ -35,10 +35,9 @@ def write_tokens(
     repeat an id each are written, by a hash of their text. An empty table
     writes an empty manifest. Extra columns are ignored.
     """
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, TOKEN_ROWS)
     tokenizer = tokenizer or default_tokenizer()
     kind = id_type(tokenizer)
-    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -50,9 +49,9 @@ def write_tokens(
             if files is None:
                 files = [Committed(uri, f"{part:06d}.{x}") for x in ("bin", "idx", "doc")]
                 files[1].write(np.zeros(1, "<u8").tobytes())
-            ids = encode(batch.column(1).to_pylist(), tokenizer)
-            ends = at + np.cumsum([len(x) // width for x in ids])
-            files[0].write(b"".join(ids))
+            ids, sizes = encode_column(batch.column(1), tokenizer)
+            ends = at + np.cumsum(sizes)
+            files[0].write(ids.tobytes())
             files[1].write(ends.astype("<u8").tobytes())
             keys = np.zeros(batch.num_rows, _DOC_ID)
             keys["null"] = batch.column(0).is_null().to_numpy(zero_copy_only=False)
@@ -87,29 +86,39 @@ def _open(uri: str, name: str, kind) -> np.ndarray:
 
 def read_documents(uri: str, name: str, kind: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, offset in the part, ids) of each document of a part, in order."""
-    offsets, keys = _open(uri, f"{name}.idx", "<u8").astype(np.int64), _open(uri, f"{name}.doc", _DOC_ID)
+    offsets, keys = _open(uri, f"{name}.idx", "<u8"), _open(uri, f"{name}.doc", _DOC_ID)
     ids = _open(uri, f"{name}.bin", kind)
     for key, a, b in zip(keys, offsets[:-1], offsets[1:], strict=True):
-        yield (None if key["null"] else int(key["id"])), int(a), ids[a:b]
+        yield (None if key["null"] else int(key["id"])), int(a), ids[int(a) : int(b)]
 
 
 def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
-    short_batches(spark)
+    short_batches(spark, TOKEN_ROWS)
     manifest = spark.read.schema(_MANIFEST).parquet(f"{uri}/manifest")
 
+    def rows_of(uri: str, part: int, name: str, kind: str) -> Iterator[pa.RecordBatch]:
+        offsets, keys, ids = _open(uri, f"{name}.idx", "<u8"), _open(uri, f"{name}.doc", _DOC_ID), _open(uri, f"{name}.bin", kind)
+        for first in range(0, len(keys), TOKEN_ROWS):  # documents at a time, never a whole part
+            own, ends = keys[first : first + TOKEN_ROWS], offsets[first : first + TOKEN_ROWS + 1].astype(np.int64)
+            wide = memoryview(ids[ends[0] : ends[-1]].astype("<u4").tobytes())
+            cuts = (4 * (ends - ends[0])).tolist()
+            crc = [zlib.crc32(wide[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(own), part, np.int32)), pa.array(own["id"].astype(np.int64), mask=own["null"].astype(bool)),
+                    pa.array(ends[:-1]), pa.array(np.diff(ends)), pa.array(np.array(crc, np.int64)),
+                ],
+                ["part", "doc_id", "at", "n_tokens", "ids_crc32"],
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, name, kind in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows = [
-                    {"part": part, "doc_id": d, "at": at, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}
-                    for d, at, ids in read_documents(uri, name, kind)
-                ]
-                yield pa.RecordBatch.from_pylist(
-                    rows, pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-                )
-
-    parts = manifest.select("part", "name", "id_type").repartitionByRange(shuffle_partitions(spark), "part")
+                yield from rows_of(uri, part, name, kind)
+
+    tasks = max(shuffle_partitions(spark), manifest.count())  # a row a part
+    parts = manifest.select("part", "name", "id_type").repartitionByRange(tasks, "part")
     bases = part_bases(manifest.select("part", "n_tokens"), "n_tokens")
     # One row a part on the broadcast side.
     return parts.mapInArrow(run, _DOCS).join(F.broadcast(bases), "part").select(
