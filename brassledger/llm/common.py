@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -18,6 +20,12 @@ BATCH_ROWS = 256
 #: Bytes of input for each part of an ordered table, and parts at most.
 PART_BYTES, MAX_PARTS = 64 << 20, 1 << 20
 
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 16 << 20
+
+#: Rows of one key below which the key is not hot.
+HOT_ROWS = 5000
+
 #: ASCII white space, as the contracts define words: [^\x20\x09-\x0D]+
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -65,6 +73,47 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, rows)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """So many rows in an Arrow batch of what is run (not only planned) inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row. Maps, which Spark does not hash, count by
+    their sorted entries."""
+    kinds = dict(df.dtypes)
+    part = lambda c: F.array_sort(F.map_entries(F.col(f"`{c}`"))) if kinds[c].startswith("map<") else F.col(f"`{c}`")
+    return F.xxhash64(*(part(c) for c in df.columns))
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, counted: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, one row a key, on ``key``.
+
+    ``counted`` says how many of ``rows`` have the key. Keys of over a thousandth
+    of all rows, of which there are under a thousand, are joined by broadcast, so
+    that no task gets all rows of one of them; the others by a shuffle.
+    """
+    total = table.agg(F.sum(counted)).first()[0] or 0
+    hot = F.col(counted) > max(HOT_ROWS, total // 1000)
+    common = F.broadcast(table.where(hot).drop(counted).withColumn("_hot", F.lit(True)))
+    tagged = rows.join(common, key, "left")
+    cold = tagged.where("_hot IS NULL").select(*rows.columns).join(table.where(~hot).drop(counted), key)
+    return tagged.where("_hot").drop("_hot").unionByName(cold)
+
+
+def small_or_shuffled(table: DataFrame, row_bytes: int = 48) -> DataFrame:
+    """``table`` marked for broadcast if its counted rows take at most
+    ``BROADCAST_BYTES``; a larger one is left to a shuffled join."""
+    return F.broadcast(table) if table.count() * row_bytes <= BROADCAST_BYTES else table
+
+
 def keep_least(docs: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:
     """One row of ``docs`` for each root of ``rooted`` (doc_id, tie, root).
 
@@ -74,8 +123,8 @@ def keep_least(docs: DataFrame, rooted: DataFrame, id_col: str) -> DataFrame:
     cols = [F.col(f"`{c}`") for c in docs.columns]
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("i"), F.col("tie").alias("t"))
     best = rooted.groupBy("root").agg(F.min(rank).alias("w")).select("w.i", "w.t")
-    best = materialize(best, "kept")
-    packed = docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("own"), F.xxhash64(*cols).alias("tie"))
+    best = small_or_shuffled(materialize(best, "kept"))
+    packed = docs.select(F.struct(*cols).alias("row"), F.col(id_col).alias("own"), row_hash(docs).alias("tie"))
     kept = packed.join(best, packed.own.eqNullSafe(best.i) & (packed.tie == best.t), "left_semi")
     if not rooted.groupBy("doc_id", "tie").count().where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["own", "tie"])

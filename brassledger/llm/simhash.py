@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_least, materialize, short_batches
+from .common import join_hot, keep_least, materialize, row_hash, short_batches
 from .components import connected_components
 
 BITS = 64
@@ -283,18 +283,18 @@ def links_within(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BU
 
 
 def components_of(slim: DataFrame) -> DataFrame:
-    """(fp, root, component_id) of each fingerprint of ``slim`` (doc_id, fp).
+    """(fp, root, component_id, n) of each fingerprint of ``slim`` (doc_id, fp), n its rows.
 
     Equal fingerprints are one node, so copies cost nothing. root is the
     component's smallest fingerprint, component_id its smallest document.
     """
-    classes = materialize(slim.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = materialize(slim.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
     comp = connected_components(links_within(classes.select("fp")))
     tagged = classes.join(comp, classes.fp == comp.node, "left").select(
-        "fp", F.coalesce("component", "fp").alias("root"), "least"
+        "fp", F.coalesce("component", "fp").alias("root"), "least", "n"
     )
     ids = tagged.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(tagged.join(ids, "root").select("fp", "root", "component_id"), "simhash-components")
+    return materialize(tagged.join(ids, "root").select("fp", "root", "component_id", "n"), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     short_batches(docs.sparkSession)
     slim = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "simhash")
-    return slim.join(components_of(slim), "fp").select("doc_id", "fp", "component_id")
+    return join_hot(slim, components_of(slim), "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,9 +318,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Among rows equal in every column one stays. All columns are returned.
     """
     short_batches(docs.sparkSession)
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    tie = F.xxhash64(*cols)
+    tie = row_hash(docs)
     slim = materialize(
         docs.select(F.col(id_col).alias("doc_id"), tie.alias("tie"), fingerprint(F.col(text_col)).alias("fp")), "simhash"
     )
-    return keep_least(docs, slim.join(components_of(slim), "fp").select("doc_id", "tie", "root"), id_col)
+    return keep_least(docs, join_hot(slim, components_of(slim), "fp", "n").select("doc_id", "tie", "root"), id_col)

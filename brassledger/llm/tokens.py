@@ -21,8 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 END_ID = 2
-#: Words that a worker remembers; about 150 MB.
-CACHE_WORDS = 1_000_000
+#: Words that a worker remembers; about 60 MB.
+CACHE_WORDS = 300_000
 #: Texts in one Arrow batch: words repeat, so larger batches cost less a word.
 TOKEN_ROWS = 1024
 #: Words in one text for the tokenizer.
