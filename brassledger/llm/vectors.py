@@ -17,12 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, short_batches
+from .common import arrow_rows, materialize, short_batches
 from .components import connected_components
 
 THRESHOLD = 0.93
-#: Components (rows times dimensions) of a block: 1024 vectors of 64.
-BLOCK_CELLS = 1 << 16
+#: Components (rows times dimensions) of a block: 8192 vectors of 64. A block is
+#: sent to every other one of its label, so larger blocks are sent less often.
+BLOCK_CELLS = 1 << 19
+#: Blocks of a label at least, if it has so many rows, so that tasks share it.
+LEAST_BLOCKS, LEAST_ROWS = 8, 512
+#: Vectors on each side of one matrix product.
+TILE = 1024
 SLACK = 1e-9
 
 
@@ -34,8 +39,15 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return codes, scale, np.linalg.norm(near, axis=1), np.linalg.norm(unit - near, axis=1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, which keeps their cosines, so that squares
+    neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def tile_links(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     """Boolean matrix: cosine of x[i] and y[j] in double precision >= threshold."""
+    x, y = _scaled(x), _scaled(y)
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     (qx, sx, mx, ex), (qy, sy, my, ey) = quantise(x / nx[:, None]), quantise(y / ny[:, None])
     # Products of int8 codes are whole numbers that single precision holds
@@ -81,6 +93,20 @@ def _members(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]
     return out
 
 
+def _one_tile(left: tuple, right: tuple, own: bool, threshold: float) -> pa.RecordBatch:
+    """(a, -1, links of a with the other side) and (a, b, 0) for a forest's links."""
+    (ids, copies, x), (jds, jopies, y) = left, right
+    linked = tile_links(x, y, threshold)
+    if own:
+        np.fill_diagonal(linked, False)
+    out = [(ids, linked @ jopies)] + ([] if own else [(jds, linked.T @ copies)])
+    cells = np.array(forest(linked), np.int64).reshape(-1, 2)
+    a = np.concatenate([*(i[n > 0] for i, n in out), ids[cells[:, 0]]])
+    n = np.concatenate([*(n[n > 0] for _, n in out), np.zeros(len(cells), np.int64)])
+    b = np.concatenate([np.full(len(a) - len(cells), -1, np.int64), jds[cells[:, 1]]])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+
 def _tiles(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,15 +114,10 @@ def _tiles(threshold: float):
             for own, (ids, copies, x), (jds, jopies, y) in zip(
                 same, _members(batch.column(1)), _members(batch.column(2)), strict=True
             ):
-                linked = tile_links(x, y, threshold)
-                if own:
-                    np.fill_diagonal(linked, False)
-                out = [(ids, linked @ jopies)] + ([] if own else [(jds, linked.T @ copies)])
-                cells = np.array(forest(linked), np.int64).reshape(-1, 2)
-                a = np.concatenate([*(i[n > 0] for i, n in out), ids[cells[:, 0]]])
-                n = np.concatenate([*(n[n > 0] for _, n in out), np.zeros(len(cells), np.int64)])
-                b = np.concatenate([np.full(len(a) - len(cells), -1, np.int64), jds[cells[:, 1]]])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+                for i in range(0, len(ids), TILE):
+                    for j in range(i if own else 0, len(jds), TILE):
+                        p, q = slice(i, i + TILE), slice(j, j + TILE)
+                        yield _one_tile((ids[p], copies[p], x[p]), (jds[q], jopies[q], y[q]), own and i == j, threshold)
 
     return run
 
@@ -118,7 +139,7 @@ def near_vectors(
     copies are counted without being paired. Rows that repeat an id count as
     rows of their own; a null id is a component of its own unless it links.
     """
-    short_batches(vectors.sparkSession, 32)
+    short_batches(vectors.sparkSession)
     v = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.col(label_col).alias("label")
     )
@@ -136,8 +157,9 @@ def near_vectors(
     # A class is named by a number of its own: ids may be null or shared.
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    per_block = F.greatest(F.lit(64), F.least(F.lit(1024), F.floor(F.lit(block_cells) / F.col("dim"))))
-    sizes = sizes.select("label", "dim", F.ceil(F.col("n") / per_block).cast("int").alias("blocks"))
+    per_block = F.greatest(F.lit(64), F.floor(F.lit(block_cells) / F.col("dim")))
+    shared = F.least(F.lit(LEAST_BLOCKS), F.ceil(F.col("n") / LEAST_ROWS))
+    sizes = sizes.select("label", "dim", F.greatest(shared, F.ceil(F.col("n") / per_block)).cast("int").alias("blocks"))
     blocks = (
         classes.join(sizes, ["label", "dim"])
         .withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
@@ -148,7 +170,8 @@ def near_vectors(
     left = blocks.select("label", "dim", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "block", F.col("rows").alias("x"))
     right = blocks.select("label", "dim", F.col("block").alias("other"), F.col("rows").alias("y"))
     tiles = left.join(right, ["label", "dim", "other"]).select((F.col("block") == F.col("other")).alias("own"), "x", "y")
-    found = materialize(tiles.mapInArrow(_tiles(threshold), "a long, b long, n long"), "vector-links")
+    with arrow_rows(vectors.sparkSession, 2):  # a row is two blocks
+        found = materialize(tiles.mapInArrow(_tiles(threshold), "a long, b long, n long"), "vector-links")
     counts = found.where("b = -1").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     comp = connected_components(found.where("b <> -1").select("a", "b"))
     tagged = (
