@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, ordered_parts, part_bases, short_batches, shuffle_partitions
+from .common import join_hot, materialize, new_path, ordered_parts, part_bases, short_batches
 from .files import Committed, store
 
 #: Payloads shorter than this are never written as revisits.
 REVISIT_BYTES = 1000
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
 FILE_BYTES = 32 << 20
 #: Shards grow beyond SHARD_BYTES rather than in number beyond this.
 MAX_SHARDS = 1 << 16
@@ -120,8 +120,12 @@ def _decisions(pages: DataFrame) -> DataFrame:
     shared = (
         facts.where(F.col("n") >= REVISIT_BYTES).groupBy("sha").agg(F.max("id").alias("lead"), F.count("*").alias("k")).where("k > 1 and lead is not null")
     )
-    shared = materialize(shared.select("sha", "lead"), "warc-shared")
-    return facts.join(shared, "sha", "left").select("id", "tie", "n", "lead")
+    shared = materialize(shared.select("sha", "lead", "k"), "warc-shared")
+    # Small bodies never join; equal ones, however many, do not meet in one task.
+    repeated = join_hot(facts.where(F.col("n") >= REVISIT_BYTES), shared, "sha", "k").select("id", "tie", "n", "sha", "lead")
+    single = facts.where(F.col("n") >= REVISIT_BYTES).join(shared, "sha", "left_anti")
+    rest = single.unionByName(facts.where(F.col("n") < REVISIT_BYTES)).withColumn("lead", F.lit(None).cast("long"))
+    return repeated.unionByName(rest.select(repeated.columns)).select("id", "tie", "n", "lead")
 
 
 def write_warc(
@@ -173,7 +177,8 @@ def write_warc(
         place(p, 1, F.col("url"), F.col("body"), none.cast("long"))
     )
     order = ["shard", "id", "tie", "kind"]
-    rows = rows.repartition(shuffle_partitions(spark), "shard").sortWithinPartitions(*order).select("shard", "id", "url", "body", "lead", "kind")
+    # A task a shard: partition ids are the shard numbers themselves.
+    rows = rows.repartitionById(len(last) + 1, F.col("shard")).sortWithinPartitions(*order).select("shard", "id", "url", "body", "lead", "kind")
     rows.mapInArrow(_writer(uri, file_bytes, date), _MANIFEST).write.parquet(f"{uri}/manifest")
     return f"{uri}/manifest"
 
@@ -260,7 +265,7 @@ def read_warc(spark: SparkSession, uri: str, with_payload: bool = True) -> DataF
                             rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return names.repartition(shuffle_partitions(spark), "name").mapInArrow(run, _RECORDS)
+    return names.repartitionByRange(max(1, names.count()), "name").mapInArrow(run, _RECORDS)  # a task a file
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
