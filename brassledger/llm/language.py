@@ -22,16 +22,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import materialize, short_batches
 
-#: Labelled documents used for each language, languages used, windows taken
-#: from each document (spread over the whole text), and words in a window.
-TRAIN_DOCS, MAX_LANGS, WINDOWS, WINDOW_WORDS = 400, 64, 4, 20
+#: Labelled documents used for each language and in all, windows taken from each
+#: document (spread over the whole text), and words in a window. With many
+#: languages each has fewer documents; none is left out.
+TRAIN_DOCS, TRAIN_TOTAL, WINDOWS, WINDOW_WORDS = 400, 25600, 4, 20
 GRAMS = (2, 3, 4)
 GRAM_BITS, LEXICON_BITS = 15, 16
 SEGMENT = 128
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _OFFSETS = [i << GRAM_BITS for i in range(len(GRAMS) + 1)]
 SLOTS = _OFFSETS[-1] + (1 << LEXICON_BITS)
 _BASE = 0x9E3779B97F4A7C15
@@ -47,6 +48,11 @@ class Model:
 # --- features -------------------------------------------------------------
 
 
+def has_letter(text: str) -> bool:
+    """Numerals such as roman ones and fractions are no letters."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").split()
 
@@ -186,24 +192,23 @@ def fit(windows: list[tuple[str, str]], epochs: int = 8, chain: int = 3, batch:
 def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = TRAIN_DOCS) -> list[tuple[str, str]]:
     """Windows of a bounded, seeded sample of labelled documents.
 
-    Only documents whose crc32(id) mod 3 is not 1, with text and language, and
-    the ``MAX_LANGS`` most frequent languages are used. What reaches the driver
-    is at most MAX_LANGS * docs_per_lang * WINDOWS * WINDOW_WORDS words.
+    Only documents whose crc32(id) mod 3 is not 1, with text and language, are
+    used; of rows that repeat an id in a language one is (that with the least
+    hash of its text). What reaches the driver is at most TRAIN_TOTAL (or one
+    document a language) * WINDOWS * WINDOW_WORDS words.
     """
     key = F.crc32(F.col(id_col).cast("string"))
     usable = docs.where((key % 3 != 1) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     spot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     known = usable.select(F.col(lang_col).alias("lang"), spot.alias("h"))
-    top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS)
+    top = materialize(known.groupBy("lang").count(), "languages")
+    docs_per_lang = max(1, min(docs_per_lang, TRAIN_TOTAL // max(1, top.count())))
     # About twice the wanted rows pass the first filter, however many there are;
     # only those are ranked.
-    near = known.join(F.broadcast(top), "lang").where(F.col("h") <= 2.0 * docs_per_lang / F.col("count") * (1 << 30))
+    near = known.join(top, "lang").where(F.col("h") <= 2.0 * (docs_per_lang + 4) / F.col("count") * (1 << 30)).select("lang", "h").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = near.withColumn("r", rank).where(F.col("r") <= docs_per_lang)
-    last = last.groupBy("lang").agg(F.max("h").alias("last")).collect()  # one row a language
-    pick = F.lit(False)
-    for r in last:
-        pick = pick | ((F.col(lang_col) == r["lang"]) & (spot <= r["last"]))
+    last = near.withColumn("r", rank).where(F.col("r") <= docs_per_lang).groupBy("lang").agg(F.max("h").alias("last"))
+    last = materialize(last, "language-bounds")  # one row a language
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
@@ -215,8 +220,9 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             out.append([b" ".join(w[a : a + WINDOW_WORDS]).decode("utf-8", "replace") for a in starts])
         return pd.Series(out)
 
-    rows = usable.where(pick).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.explode(cut(F.col(text_col))).alias("w"))
-    return [(r["w"], r["lang"]) for r in rows.orderBy("i", "lang", "w").collect()]
+    rows = usable.select(F.col(lang_col).alias("lang"), spot.alias("h"), F.col(text_col).alias("t")).join(last, "lang").where("h <= last")
+    rows = rows.groupBy("lang", "h").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("h", "lang", F.explode(cut("t")).alias("w"))
+    return [(r["w"], r["lang"]) for r in rows.orderBy("h", "lang", "w").collect()]
 
 
 # --- prediction -----------------------------------------------------------
@@ -317,7 +323,7 @@ def predict(text: Column, model: Model) -> Column:
     @F.pandas_udf("lang_pred string, score double, runs string")
     def of(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        known = [t if t and m.langs and _LETTER.search(t) else None for t in texts]
+        known = [t if t and m.langs and has_letter(t) else None for t in texts]
         post, counts, means = label_batch(known, m) if m.langs else (np.empty((0, 0)), [0] * len(known), None)
         rows, at = [], 0
         for i, t in enumerate(known):
@@ -355,7 +361,12 @@ MIN_SCORE = 0.4
 
 def with_language(docs: DataFrame, min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a language: neither undetermined nor so mixed
-    that no language has ``min_score`` of the words. All columns are returned."""
+    that no language has ``min_score`` of the words. All columns are returned.
+
+    Null, empty and letterless texts go; so does every row if no language can be
+    learned. Rows that repeat are all kept or all dropped; null ids take part,
+    but are not learned from. An empty table gives an empty result.
+    """
     short_batches(docs.sparkSession)
     model = fit(training_windows(docs, text_col=text_col))
     cols = [F.col(f"`{c}`") for c in docs.columns]
