@@ -5,12 +5,16 @@ stop-word density, length and link density, and those whose markup says what
 they are; short and middling blocks stay open. In pass two an open block
 inherits the label of its nearest decided neighbours. Rules after Pomikalek,
 "Removing Boilerplate and Duplicate Content from Web Corpora" (2011).
+
+The stop words are English, German, French and Spanish. Where no block of a page
+holds enough of them, the page's language is taken as unknown and length decides.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -26,13 +30,23 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe object svg math select".split())
-FURNITURE = frozenset("aside dialog footer form header menu nav".split())
+#: Elements that are no part of an article, wherever they stand; a header is none
+#: inside an article, where it holds the title.
+FURNITURE = frozenset("aside dialog footer menu nav".split())
 #: Words of class, id and role names that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement adsbygoogle sponsor sponsored promo promotion banner sidebar aside comment comments respond reply replies "
     "disqus cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login share sharing social related recommended "
     "breadcrumb breadcrumbs menu nav navbar navigation pagination pager footer header masthead toolbar widget popup modal overlay disclaimer copyright skip".split()
 )
+#: Words that may stand beside a mark in one name without changing what it says.
+LAYOUT = frozenset(
+    "area article bar block bottom box button buttons card cell col column container content entry feed form global group holder icon icons inner item items js left "
+    "level line link links list main mobile module outer page pane panel post primary reader right row secondary section site slot small sticky sub text thread top "
+    "unit user view widgets wrap wrapper".split()
+)
+#: A name with one of these tells a state of what is inside, not what it is.
+STATES = frozenset("has no not with without is enabled disabled open opened closed fixed hidden visible active".split())
 STOP_WORDS = frozenset(
     "a an and are as at be been but by can do for from had has have he her his i if in is it its more not of on one or she so that the their them they "
     "this to was we were what when which who will with would you "
@@ -46,41 +60,58 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 LOW_STOP, HIGH_STOP = 0.15, 0.30
 MAX_LINKS = 0.33
+#: A marked element (or a form) that holds this share of a page's text, or of an
+#: article's, is a wrapper of it, and its mark counts for nothing.
+WRAPPER = 0.5
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL
 )
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
-_BITS = re.compile(r"[a-z]+")
+_BITS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+@dataclass
+class Element:
+    """An open or closed block element that says something about its blocks."""
+
+    up: Element | None
+    hard: bool = False  # never part of an article
+    soft: bool = False  # marked by a name, or a form
+    article: int = 0  # number of the article element around it, 0 if none
+    size: int = 0  # characters of text inside, links aside
+    own: int = 0  # number of the article that this element is, 0 if none
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # characters inside links
     heading: bool
+    item: bool  # of a list
     furniture: bool  # markup says it is not the article
     article: int  # number of the article element that holds it, 0 if none
 
 
 def _marked(attrs: str) -> bool:
-    if not attrs:
-        return False
-    if "hidden" in attrs or "none" in attrs:
-        if _HIDDEN.search(attrs):
-            return True
+    """Do class, id or role name what is not the article? Every word of a name must
+    be a mark or a word of layout, one of them a mark, and none a state."""
     for m in _NAMES.finditer(attrs):
-        if MARKS.intersection(_BITS.findall((m[1] or m[2] or m[3] or "").lower())):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").split():
+            bits = {b.lower() for b in _BITS.findall(name)}
+            if bits & MARKS and bits <= MARKS | LAYOUT:
+                return True
     return False
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page, in order; broken markup is taken as it comes."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open block elements: name, furniture, article
+    found: list[tuple[str, int, bool, bool, Element]] = []
+    root = Element(None)
+    stack: list[tuple[str, Element]] = []
+    names: Counter[str] = Counter()  # of the open elements
     pieces: list[str] = []
     linked, in_link, heading, n_articles, at = 0, False, False, 0, 0
 
@@ -99,11 +130,13 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = _SPACE.sub(" ", "".join(pieces)).strip()
             if text:
-                _, furniture, article = stack[-1] if stack else ("", False, 0)
-                out.append(Block(text, linked, heading, furniture, article))
+                name, element = stack[-1] if stack else ("", root)
+                element.size += max(0, len(text) - linked)
+                found.append((text, linked, heading, name == "li", element))
             pieces.clear()
         linked = 0
 
+    elements = [root]
     n = len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -129,42 +162,93 @@ def blocks_of(page: str) -> list[Block]:
             close()
             in_link = False
             if shut:
-                names = [x[0] for x in stack]
-                if name in names:
-                    del stack[len(names) - 1 - names[::-1].index(name) :]
+                if names[name]:
+                    while True:
+                        gone, _ = stack.pop()
+                        names[gone] -= 1
+                        if gone == name:
+                            break
                 heading = False
             elif name not in VOID:
                 if stack and stack[-1][0] == "p":  # a paragraph ends where a block begins
                     stack.pop()
-                _, furniture, article = stack[-1] if stack else ("", False, 0)
+                    names["p"] -= 1
+                element = up = stack[-1][1] if stack else root
+                attrs = m[3]
                 if name in ("article", "main"):
                     n_articles += 1
-                    article = article or n_articles
+                    element = Element(up, article=up.article or n_articles, own=n_articles)
                 elif name not in ("html", "body"):
-                    furniture = furniture or name in FURNITURE or _marked(m[3])
-                stack.append((name, furniture, article))
+                    hidden = bool(attrs) and ("hidden" in attrs or "none" in attrs) and bool(_HIDDEN.search(attrs))
+                    hard = hidden or name in FURNITURE or (name == "header" and not up.article)
+                    soft = name == "form" or (bool(attrs) and _marked(attrs))
+                    if hard or soft:
+                        element = Element(up, hard, soft, up.article)
+                if element is not up:
+                    elements.append(element)
+                stack.append((name, element))
+                names[name] += 1
                 heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
     close()
-    return out
+    return _decided(found, elements)
+
+
+def _decided(found: list[tuple[str, int, bool, bool, Element]], elements: list[Element]) -> list[Block]:
+    """The blocks, with what the markup of all elements around them says."""
+    for e in reversed(elements):  # an element comes after the one that holds it
+        if e.up is not None and not e.hard:
+            e.up.size += e.size
+    whole = {e.own: e.size for e in elements if e.own} | {0: elements[0].size}
+    state: dict[int, bool] = {id(elements[0]): False}
+    for e in elements[1:]:
+        # A mark that holds most of the article, or of a page, is that of a wrapper.
+        mark = e.soft and not (whole.get(e.article, 0) and e.size >= WRAPPER * whole[e.article])
+        state[id(e)] = state[id(e.up)] or e.hard or mark
+        if e.own and e.own == e.article:  # an article keeps out of marks of what is around it, but not of comments
+            state[id(e)] = _in_furniture(e.up, elements[0].size)
+    return [Block(t, k, h, i, state[id(e)], e.article) for t, k, h, i, e in found]
+
+
+def _in_furniture(e: Element | None, page: int) -> bool:
+    while e is not None:
+        if e.hard or (e.soft and e.size < WRAPPER * page):
+            return True
+        e = e.up
+    return False
 
 
 GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
 
 
-def first_pass(b: Block) -> str:
+def density(b: Block) -> float:
+    words = [w.strip(".,;:!?\"'()[]«»„“”…").lower() for w in b.text.split()]
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def first_pass(b: Block, known: bool = True) -> str:
+    """A block's label by itself. ``known``: the page's language has stop words here."""
     size = len(b.text)
-    if b.furniture or b.linked > MAX_LINKS * size:
+    if b.furniture:
+        return BAD
+    if b.article:
+        if b.item and b.linked >= 0.9 * size:  # a list of links
+            return BAD
+    elif b.linked > MAX_LINKS * size:
         return BAD
     if size < SHORT:
         return BAD if b.linked and not b.article else OPEN
-    words = [w.strip(".,;:!?\"'()[]«»„“”…").lower() for w in b.text.split()]
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if density >= HIGH_STOP:
+    if not known:
+        return GOOD if size > LONG else NEAR
+    share = density(b)
+    if share >= HIGH_STOP:
         return GOOD if size > LONG else NEAR
-    if density >= LOW_STOP:
-        return NEAR
-    # Inside an article prose in an unknown language is left to its neighbours.
-    return NEAR if b.article else BAD
+    # Inside an article prose that looks like none is left to its neighbours.
+    return NEAR if share >= LOW_STOP or b.article else BAD
+
+
+def labels_of(blocks: list[Block]) -> list[str]:
+    known = any(len(b.text) >= SHORT and not b.furniture and density(b) >= LOW_STOP for b in blocks)
+    return [first_pass(b, known) for b in blocks]
 
 
 def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
@@ -175,15 +259,17 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
     the article's markup.
     Where the sides differ a middling block is kept, and a short one follows the
     nearer side (a heading the one below; a tie goes to the article if there is one).
+    On a page without any good or middling block the short ones are the text.
     """
     n = len(blocks)
+    lone = GOOD not in labels and NEAR not in labels and not any(b.article and not b.furniture for b in blocks)
 
     def sides(step: int) -> list[tuple[int, str | None]]:
         found, last = [(0, None)] * n, {}
         for i in range(n)[::step]:
             region = blocks[i].article
             found[i] = last.get(region, (0, None))
-            if labels[i] in (GOOD, BAD) and not (region and blocks[i].furniture):
+            if labels[i] in (GOOD, BAD) and not (region and (blocks[i].furniture or labels[i] == BAD)):
                 last[region] = (i, labels[i])
         return found
 
@@ -195,7 +281,9 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
             continue
         (x, a), (y, b) = before[i], after[i]
         inside = bool(blocks[i].article)
-        if a is None and b is None:
+        if lone:
+            out.append(True)
+        elif a is None and b is None:
             out.append(inside or label == NEAR)
         elif a is None or b is None:
             out.append((a or b) == GOOD or (label == NEAR and inside))
@@ -214,7 +302,7 @@ def second_pass(blocks: list[Block], labels: list[str]) -> list[bool]:
 
 def extract(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    keep = second_pass(blocks, [first_pass(b) for b in blocks])
+    keep = second_pass(blocks, labels_of(blocks))
     return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
