@@ -32,7 +32,14 @@ LONG_LINE = 60
 MAX_LOST = 0.5
 MIN_WORDS, MAX_REPEATED = 10, 20
 _CUES = ("rights", "licen", "spdx", "terms", "polic", "cookie", "javascript", "newsletter", "sign", "log", "click", "read", "lorem", "©", "(c)")
-_SEPARATOR = re.compile(r"[|»›>•·]+")
+_SEPARATOR = re.compile(r"[|»›>•·/]+")
+#: Words of menus and page turners; a line of at least three words and nothing
+#: but these (and numbers and separators) is navigation.
+MENU = frozenset(
+    "home about contact us faq help search menu login logout register account news blog archive archives categories tags sitemap "
+    "next previous prev first last back top page pages older newer posts share print start kontakt impressum datenschutz suche hilfe weiter zurück "
+    "accueil recherche aide suivant précédent inicio contacto buscar ayuda siguiente anterior".split()
+)
 
 
 def line_fails(line: str, words: list[bytes]) -> str | None:
@@ -42,6 +49,8 @@ def line_fails(line: str, words: list[bytes]) -> str | None:
         bars = sum(1 for w in words if _SEPARATOR.fullmatch(w.decode("utf-8", "surrogatepass")))
         if bars > MAX_SEPARATORS * n:
             return "navigation"
+    if 3 <= n <= 30 and all(w in MENU or w.isdigit() or _SEPARATOR.fullmatch(w) for w in (w.strip(".,:;()[]") for w in line.lower().split())):
+        return "navigation"
     if sum(map(line.count, "#*$%&|<>")) > MAX_SYMBOLS * n:
         return "symbols"
     if n >= 3 and any(x in line for x in ("!!", "??", "!?", "?!")):
@@ -83,32 +92,48 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return int((np.cumsum(starts)[: len(words)] > 0).sum())
 
 
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space alone
+
+
 def _chars(words: list[bytes]) -> int:
     return len(b"".join(words).decode("utf-8", "surrogatepass"))
 
 
+def clean(text: str | None) -> tuple[str | None, int]:
+    """The text without its failing lines, and how many went; blank lines stay.
+    Null stays null."""
+    if text is None:
+        return None, 0
+    lines = text.split("\n")
+    kept = [x for x in lines if not (own := _words(x)) or line_fails(x, own) is None]
+    return "\n".join(kept), len(lines) - len(kept)
+
+
 def judge(text: str | None) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_chars)."""
-    words, seen, dup, lost = [], set(), 0, 0
-    for line in (text or "").split("\n"):
-        own = line.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space alone
-        if not own:
-            continue
-        if line in seen:
-            dup += 1
-        else:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_chars, n_removed_lines).
+
+    The counts are those of the whole text. The line rules then remove lines, and
+    what is left decides: a document that loses over ``MAX_LOST`` of its word
+    characters is not kept.
+    """
+    text = text or ""
+    words, seen, dup = [], set(), 0
+    for line in text.split("\n"):
+        if own := _words(line):
+            dup += line in seen
             seen.add(line)
-        words += own
-        if line_fails(line, own):
-            lost += _chars(own)
+            words += own
     chars, n = _chars(words), len(words)
+    left, removed = clean(text)
+    lost = chars - _chars(_words(left)) if removed else 0
     repeats = repeated_words(words)
-    symbols = sum(map((text or "").count, "#*$%&|<>"))
+    symbols = sum(map(text.count, "#*$%&|<>"))
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEATED * n
-    return n, chars, symbols, dup, repeats, failed, not failed and lost <= MAX_LOST * chars, lost
+    return n, chars, symbols, dup, repeats, failed, not failed and lost <= MAX_LOST * chars, lost, removed
 
 
-_FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_chars long"
+_FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_chars long, n_removed_lines long"
 
 
 def rules(text: Column) -> Column:
@@ -130,12 +155,24 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).alias("doc_id"), rules(F.col(text_col)).alias("r")).select("doc_id", "r.*")
 
 
-def cleaned(text: Column) -> Column:
-    """The text without its failing lines; null stays null."""
+def cleaned(docs: DataFrame, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """The documents that are kept, without their failing lines.
 
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        keep = lambda x: not (own := x.encode("utf-8", "surrogatepass").split()) or line_fails(x, own) is None
-        return texts.map(lambda t: None if t is None else "\n".join(x for x in t.split("\n") if keep(x)))
+    All columns are returned; ``count_col``, if there, is the text's new length.
+    Null, empty and wordless texts fail the base rules and go. Rows that repeat
+    are treated alike. An empty table gives an empty result.
+    """
+    short_batches(docs.sparkSession)
 
-    return of(text)
+    @F.pandas_udf("kept boolean, text string")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(judge(t)[6], clean(t)[0]) for t in texts], columns=["kept", "text"])
+
+    cols = docs.columns
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), of(F.col(text_col)).alias("new")).where("new.kept")
+    return out.select(
+        *(
+            F.col("new.text").alias(c) if c == text_col else F.length("new.text").cast("long").alias(c) if c == count_col else F.col("row").getField(c).alias(c)
+            for c in cols
+        )
+    )
