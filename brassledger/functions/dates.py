@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 SHARED = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyyMMdd")
 DAY_FIRST = ("dd-MM-yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "d/M/yyyy", "dd-MM-yy", "dd/MM/yy", "dd.MM.yy")
 MONTH_FIRST = ("MM/dd/yyyy", "MM-dd-yyyy", "M/d/yyyy", "MM/dd/yy")
-NAMED = ("dd MMM yyyy", "d MMM yyyy", "dd MMMM yyyy", "MMM dd yyyy", "dd-MMM-yyyy", "dd-MMM-yy", "dd MMM yy", "MMM dd, yyyy")
+NAMED = (
+    "d MMM yyyy", "d MMMM yyyy", "MMM d yyyy", "MMMM d yyyy", "d-MMM-yyyy", "d-MMMM-yyyy", "d-MMM-yy", "d MMM yy", "MMM d, yyyy", "MMMM d, yyyy",
+)
 TIMED = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss")
 
 

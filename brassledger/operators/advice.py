@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import written
 from .dims import DELIVERY_WORDS, HINT_WORDS, service_groups, with_category_facts
 from .recurring import price_creep, recurring, spikes
 from .report import category, merchant, outflows
@@ -40,6 +41,14 @@ def frivolity(ledger: DataFrame, threshold: float = 0.6, flagged: DataFrame | No
     return o.select("account_id", "id", "category", "cents", F.round(s, 3).alias("score"), F.concat_ws(",", reasons).alias("reasons")).where(F.col("score") >= threshold)
 
 
+def frivolity_ranked(ledger: DataFrame, k: int = 200, **options) -> DataFrame:
+    """Each account's first ``k`` of these by score, then amount, then age, with the
+    total of all of them, beyond the first too."""
+    part = Window.partitionBy("account_id")
+    f = frivolity(ledger, **options).withColumn("total_cents", F.sum("cents").over(part))
+    return f.withColumn("rank", F.row_number().over(part.orderBy(F.desc("score"), F.desc("cents"), "id"))).where(F.col("rank") <= k)
+
+
 def monthly_by_category(ledger: DataFrame) -> DataFrame:
     o = outflows(ledger).withColumn("category", category())
     days = ledger.groupBy("account_id").agg(((F.datediff(F.max("txn_date"), F.min("txn_date")) + 1) / 30.44).alias("months"))
@@ -68,6 +77,11 @@ def _want(df: DataFrame, seq: int, key: Column, categories: Column, want: Column
     return df.select("account_id", F.lit(seq).alias("seq"), key.alias("key"), categories.alias("categories"), want.cast("long").alias("want")).where("want > 0")
 
 
+def _in_order(place: str) -> Column:
+    """The distinct categories of a group of charges, as they first appear by ``place``."""
+    return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(place, "category"))), lambda x: x["category"]))  # an account's few subscriptions
+
+
 def wants(ledger: DataFrame) -> DataFrame:
     """What each finding would like to save a month; independent of one another."""
     m = monthly_by_category(ledger)
@@ -80,14 +94,14 @@ def wants(ledger: DataFrame) -> DataFrame:
     over = over.dropDuplicates(["account_id", "service", "merchant_norm"])
     rank = F.row_number().over(Window.partitionBy("account_id", "service").orderBy(F.desc("monthly_cents"), "merchant_norm"))
     over = over.withColumn("r", rank).where("r > 1").groupBy("account_id", "service").agg(
-        F.sum("monthly_cents").alias("w"), F.array_sort(F.collect_set("category")).alias("c")
+        F.sum("monthly_cents").alias("w"), _in_order("r").alias("c")
     )
     small = subs.where("monthly_cents <= 30000 AND frivolity >= 2 AND kind NOT IN ('excluded', 'income')").groupBy("account_id").agg(
-        F.count("*").alias("k"), F.sum("monthly_cents").alias("w"), F.array_sort(F.collect_set("category")).alias("c")
+        F.count("*").alias("k"), F.sum("monthly_cents").alias("w"), _in_order("rank").alias("c")
     ).where("k >= 3")
-    creep = price_creep(ledger).join(subs.select("account_id", "merchant_norm", "category"), ["account_id", "merchant_norm"])
-    creep = creep.groupBy("account_id").agg(F.sum(F.col("new_cents") - F.col("old_cents")).alias("w"), F.array_sort(F.collect_set("category")).alias("c"))
-    sp = with_category_facts(spikes(ledger)).where("frivolity >= 2")
+    creep = price_creep(ledger).join(subs.select("account_id", "merchant_norm", "category", "rank"), ["account_id", "merchant_norm"])
+    creep = creep.groupBy("account_id").agg(F.sum(F.floor("new_cents") - F.floor("old_cents")).alias("w"), _in_order("rank").alias("c"))
+    sp = with_category_facts(spikes(ledger)).where("frivolity >= 2 AND kind NOT IN ('excluded', 'income')")
     dl = deliveries(ledger).where("n >= 3").groupBy("account_id").agg(F.sum("cents").alias("cents")).join(months, "account_id")
     spill = F.array(F.lit("Delivery Fees & Convenience"), F.lit("Eating Out & Takeaways"), F.lit("Groceries"))
     parts = [
@@ -130,6 +144,7 @@ def advice(ledger: DataFrame, max_habits: int = 6, max_spikes: int = 3, max_trim
     claims are walked in order.
     """
     limits = {5: max_habits, 9: max_spikes}
+    ledger = written(ledger.select("account_id", "id", "txn_date", "merchant_norm", "category", "status", "amount_cents"), "advice-ledger")  # a dozen claims are drawn from it
 
     def walk(key: tuple, claims: pd.DataFrame, room: pd.DataFrame) -> pd.DataFrame:
         left = dict(zip(room.category, room.ceiling, strict=True))
@@ -156,5 +171,34 @@ def advice(ledger: DataFrame, max_habits: int = 6, max_spikes: int = 3, max_trim
     return a.cogroup(b).applyInPandas(walk, "account_id long, seq int, key string, saving long")
 
 
-def advice_totals(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("account_id").agg(F.count("*").alias("n"), F.sum("saving").alias("monthly_cents"), (F.sum("saving") * 12).alias("annual_cents"))
+# --- fixed values: kind of finding | severity | how hard it is ---
+KINDS = (
+    (1, 3.0, "easy"), (2, 2.5, "easy"), (3, 2.8, "easy"), (4, 2.4, "moderate"), (5, 2.2, "moderate"),
+    (6, 4.0, "hard"), (7, 2.0, "easy"), (8, 1.8, "moderate"), (9, 2.1, "moderate"), (10, 1.5, "moderate"),
+)
+
+
+def _kind(i: int) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for row in KINDS for x in (row[0], row[i]))), F.col("seq"))
+
+
+def ranked(findings: DataFrame) -> DataFrame:
+    """Findings with severity and difficulty, and their place in the account's
+    list: by saving, then severity."""
+    f = findings.withColumn("severity", _kind(1)).withColumn("difficulty", _kind(2))
+    return f.withColumn("rank", F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("saving"), F.desc("severity"), "seq", "key")))
+
+
+def advice_totals(findings: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Per account: findings, savings a month and a year, and a month by difficulty;
+    ``valid`` if neither all savings together nor one of them exceed the spend."""
+    months = ledger.groupBy("account_id").agg(((F.datediff(F.max("txn_date"), F.min("txn_date")) + 1) / 30.44).alias("months"))
+    m = with_category_facts(outflows(ledger).withColumn("category", category())).where("kind NOT IN ('excluded', 'income')")
+    spend = m.groupBy("account_id").agg(F.sum(-F.col("amount_cents")).alias("spend")).join(months, "account_id")
+    spend = spend.select("account_id", (F.col("spend") / F.col("months")).cast("long").alias("monthly_spend"))
+    of = lambda d: F.coalesce(F.sum(F.when(F.col("difficulty") == d, F.col("saving"))), F.lit(0)).alias(f"{d}_cents")
+    f = findings.withColumn("difficulty", _kind(2)).groupBy("account_id").agg(
+        F.count("*").alias("n"), F.sum("saving").alias("monthly_cents"), (F.sum("saving") * 12).alias("annual_cents"), of("easy"), of("moderate"), of("hard"), F.max("saving").alias("largest_cents")
+    )
+    f = f.join(spend, "account_id", "left").fillna(0, ["monthly_spend"])
+    return f.withColumn("valid", (F.col("monthly_cents") <= F.col("monthly_spend")) & (F.col("largest_cents") <= F.col("monthly_spend"))).drop("largest_cents")

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key, clean_description, merchant_name
-from .dims import income_words
+from .dims import INCOME_WORDS
 
 
 def valid_rules(rules: DataFrame) -> DataFrame:
@@ -28,33 +28,57 @@ def valid_rules(rules: DataFrame) -> DataFrame:
     return rules.where(~F.col("rule_id").isin(bad)) if bad else rules
 
 
-def classify(rows: DataFrame, rules: DataFrame, merchants: DataFrame | None = None) -> DataFrame:
-    """Adds merchant, category, txn_type and category_source to rows with
-    description_raw and amount_cents. ``merchants`` (canonical, default_category)
-    fills in what no rule sets."""
-    facts = rows.select("description_raw", (F.col("amount_cents") > 0).alias("inflow")).distinct()
-    facts = facts.withColumn("text", F.lower(F.coalesce("description_raw", F.lit(""))))
-    facts = facts.withColumn("cleaned", merchant_name(clean_description(F.col("description_raw"))))
-    r = valid_rules(rules).select("rule_id", "priority", "field", "match_type", F.lower("pattern").alias("p"), "category", "merchant", "txn_type", "source")
+#: Rules that are broadcast at once; a larger pack is met in several passes.
+RULES_AT_ONCE = 5000
+_FIELDS = ("category", "merchant", "txn_type")
+
+
+def _hits(facts: DataFrame, r: DataFrame, on: Column) -> DataFrame:
     subject = F.when(F.col("field") == "merchant", F.lower("cleaned")).otherwise(F.col("text"))
     hit = (
         ((F.col("match_type") == "contains") & F.contains(subject, F.col("p")))
-        | ((F.col("match_type") == "exact") & (subject == F.col("p")))
+        | ((F.col("match_type") == "exact") & (F.trim(subject) == F.trim("p")))
         | ((F.col("match_type") == "startswith") & F.startswith(subject, F.col("p")))
-        | ((F.col("match_type") == "regex") & F.regexp_like(subject, F.col("p")))
+        | ((F.col("match_type") == "regex") & F.regexp_like(subject, F.concat(F.lit("(?i)"), "p")))
     )
     allowed = ~F.col("inflow") | F.col("category").isin("Transfers", "Savings & Investment")
-    m = facts.join(F.broadcast(r), hit & allowed, "left")  # a hand-written dimension of some hundred rows
+    return facts.join(r, on & hit & allowed & (subject != ""), "left")
+
+
+def _first(m: DataFrame, *keys: str) -> DataFrame:
+    """Each field from the first rule by (priority, user first, id) that sets it."""
     order = F.struct("priority", (F.col("source") != "user"), "rule_id")
-    first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), order))
-    m = m.groupBy("description_raw", "inflow", "text", "cleaned").agg(*(first(c).alias(f"r_{c}") for c in ("category", "merchant", "txn_type")))
+    first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.struct(c, order.alias("o"))), F.when(F.col(c).isNotNull(), order))
+    return m.groupBy(*keys).agg(*(first(c).alias(f"r_{c}") for c in _FIELDS))
+
+
+def classify(rows: DataFrame, rules: DataFrame, merchants: DataFrame | None = None) -> DataFrame:
+    """Adds merchant, category, txn_type and category_source to rows with
+    description_raw and amount_cents. ``merchants`` (canonical, default_category)
+    fills in what no rule sets. Rules with an account_id are that account's own:
+    they meet its narrations only, by an equi-join, and come before the others."""
+    facts = rows.select("description_raw", (F.col("amount_cents") > 0).alias("inflow")).distinct()
+    keys = ["description_raw", "inflow", "text", "cleaned"]
+    worded = lambda f: f.withColumn("text", F.lower(F.coalesce("description_raw", F.lit("")))).withColumn("cleaned", merchant_name(clean_description(F.col("description_raw"))))
+    facts = worded(facts)
+    owner = F.col("account_id") if "account_id" in rules.columns else F.lit(None).cast("long")
+    r = valid_rules(rules).select(owner.alias("owner"), "rule_id", "priority", "field", "match_type", F.lower("pattern").alias("p"), *_FIELDS, "source")
+    shipped = r.where("owner IS NULL")
+    passes = max(1, -(-shipped.count() // RULES_AT_ONCE))
+    m = None
+    for i in range(passes):
+        some = shipped.where(F.pmod(F.xxhash64("rule_id"), F.lit(passes)) == i) if passes > 1 else shipped
+        found = _hits(facts, F.broadcast(some), F.lit(True))  # at most about RULES_AT_ONCE rows
+        m = found if m is None else m.unionByName(found)
+    m = _first(m, *keys)
+    m = m.select(*keys, *(F.col(f"r_{c}.{c}").alias(f"r_{c}") for c in _FIELDS))
     m = m.withColumn("merchant", F.coalesce("r_merchant", "cleaned"))
     if merchants is not None:
         m = m.withColumn("canonical", canonical_key(F.col("merchant"))).join(merchants, "canonical", "left").drop("canonical")
     else:
         m = m.withColumn("default_category", F.lit(None).cast("string"))
     income = F.lit(False)
-    for w in income_words():
+    for w in INCOME_WORDS:
         income = income | F.contains("text", F.lit(w))
     category = F.coalesce("r_category", F.when(F.col("inflow"), "Income"), "default_category", F.lit("Uncategorised"))
     source = (
@@ -71,7 +95,17 @@ def classify(rows: DataFrame, rules: DataFrame, merchants: DataFrame | None = No
     joined = rows.alias("a").join(
         m.alias("b"), F.col("a.description_raw").eqNullSafe(F.col("b.description_raw")) & (F.col("a.inflow") == F.col("b.inflow"))
     )
-    return joined.select("a.*", "b.merchant", "b.category", "b.txn_type", "b.category_source").drop("inflow")
+    out = joined.select("a.*", "b.merchant", "b.category", "b.txn_type", "b.category_source")
+    if "account_id" not in rules.columns or "account_id" not in rows.columns:
+        return out.drop("inflow")
+    own = worded(rows.select("account_id", "description_raw", "inflow").distinct())
+    u = _first(_hits(own, r.where("owner IS NOT NULL"), F.col("account_id") == F.col("owner")).where("owner IS NOT NULL"), "account_id", "description_raw", "inflow")
+    o = out.alias("a").join(
+        u.alias("u"), (F.col("a.account_id") == F.col("u.account_id")) & F.col("a.description_raw").eqNullSafe(F.col("u.description_raw")) & (F.col("a.inflow") == F.col("u.inflow")), "left"
+    )
+    kept = [F.col(f"a.{c}") for c in out.columns if c not in (*_FIELDS, "category_source", "inflow")]
+    mine = F.col("u.r_category").isNotNull()
+    return o.select(*kept, *(F.coalesce(F.col(f"u.r_{c}")[c], F.col(f"a.{c}")).alias(c) for c in ("merchant", "category", "txn_type")), F.when(mine, "rule").otherwise(F.col("a.category_source")).alias("category_source"))
 
 
 def reclassified(ledger: DataFrame, rules: DataFrame, all_but_user: bool = False, merchants: DataFrame | None = None) -> DataFrame:

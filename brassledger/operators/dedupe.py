@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_key
+
 KEEP, HOLD = 0.55, 0.90
 
 
 def fingerprinted(rows: DataFrame, *file_key: str, name: str = "merchant_norm", order: str = "id") -> DataFrame:
     """Adds occurrence and fingerprint. Equal rows of one file differ by their
-    occurrence, unless a running balance tells them apart."""
-    soft = F.concat_ws("|", F.date_format("txn_date", "yyyy-MM-dd"), "amount_cents", F.regexp_replace(F.lower(name), "[^a-z0-9]", ""))
+    occurrence, unless a running balance tells them apart. ``name`` is the column
+    that identifies who was paid: a name, or the ``identity_key`` of a narration."""
+    soft = F.concat_ws("|", F.date_format("txn_date", "yyyy-MM-dd"), "amount_cents", canonical_key(F.col(name)))
     rows = rows.withColumn("soft_key", soft)
     nth = F.row_number().over(Window.partitionBy("account_id", *file_key, "soft_key").orderBy(order)) - 1
     tail = F.when(F.col("balance_cents").isNotNull(), F.concat(F.lit("b"), "balance_cents")).otherwise(F.concat(F.lit("o"), "occurrence"))
@@ -33,10 +36,13 @@ def covered(rows: DataFrame, statements: DataFrame) -> DataFrame:
     return rows.join(s, (rows.account_id == s.account_id) & rows.txn_date.between(s.period_start, s.period_end), "left_semi")
 
 
-def near_duplicates(new: DataFrame, existing: DataFrame, window_days: int = 3) -> DataFrame:
+def near_duplicates(new: DataFrame, existing: DataFrame, statements: DataFrame, window_days: int = 3, name: str = "merchant_norm") -> DataFrame:
     """(new_id, existing_id, gap_days, score, verdict): pairs of equal account,
-    amount and merchant at most ``window_days`` apart, unless two known balances
-    differ. Equal-amount keys carry the join; the date range is its residual."""
+    amount and ``name`` at most ``window_days`` apart, unless two known balances
+    differ. Only new rows whose date an earlier one of ``statements`` covers are
+    suspected; elsewhere the same again is another purchase. Equal-amount keys
+    carry the join; the date range is its residual."""
+    new = covered(new, statements)
     n, e = new.alias("n"), existing.where("status <> 'duplicate'").alias("e")
     gap = F.abs(F.datediff("n.txn_date", "e.txn_date"))
     pair = n.join(
@@ -45,7 +51,7 @@ def near_duplicates(new: DataFrame, existing: DataFrame, window_days: int = 3) -
         & (F.col("n.amount_cents") == F.col("e.amount_cents"))
         & F.col("e.txn_date").between(F.date_sub("n.txn_date", window_days), F.date_add("n.txn_date", window_days)),
     )
-    same_name = F.lower("n.merchant_norm") == F.lower("e.merchant_norm")
+    same_name = canonical_key(F.col(f"n.{name}")) == canonical_key(F.col(f"e.{name}"))
     both = F.col("n.balance_cents").isNotNull() & F.col("e.balance_cents").isNotNull()
     score = (
         F.when(~same_name | (both & (F.col("n.balance_cents") != F.col("e.balance_cents"))), 0.0)

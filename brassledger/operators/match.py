@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
+from ..store import written
 
 ACCEPT = 0.62
 
@@ -121,7 +122,10 @@ def link_receipts(receipts: DataFrame, ledger: DataFrame, claimed: DataFrame | N
     """(receipts with link_status, match_score and txn_id; cash allocations)."""
     tender = F.coalesce("tender_type", F.lit("unknown"))
     receipts = receipts.withColumn("tender_type", tender)
-    found = assign(card_candidates(receipts, ledger, claimed=claimed), cash_candidates(receipts.where("total_cents > 0 AND tender_type IN ('cash', 'unknown', 'voucher')"), ledger), receipts)
+    columns = ["account_id", "id", "txn_date", "merchant_norm", "status", "is_cash_withdrawal", "amount_cents", *(["card_last4"] if "card_last4" in ledger.columns else [])]
+    ledger, receipts = written(ledger.where("status = 'active' AND amount_cents < 0").select(*columns), "match-ledger"), written(receipts, "match-receipts")
+    cash = cash_candidates(receipts.where("total_cents > 0 AND tender_type IN ('cash', 'unknown', 'voucher')"), ledger)
+    found = written(assign(card_candidates(receipts, ledger, claimed=claimed), cash, receipts), "match-links")
     links = found.groupBy("receipt_id").agg(F.max("txn_id").alias("txn_id"), F.max("score").alias("score"), F.sum("amount_cents").alias("drawn"))
     r = receipts.join(links, "receipt_id", "left")
     status = F.when(F.col("txn_id").isNotNull(), "matched").when(F.col("drawn") > 0, "cash_allocated").otherwise("unmatched")

@@ -10,24 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_key
+
 
 def resolve_candidates(ledger: DataFrame, decisions: DataFrame) -> DataFrame:
     """Apply decisions (id, resolution 'duplicate' or 'distinct') to statuses; reversible."""
     d = decisions.select("id", "resolution")
-    return ledger.join(d, "id", "left").withColumn(
-        "status", F.when(F.col("resolution") == "duplicate", "duplicate").when(F.col("resolution") == "distinct", "active").otherwise(F.col("status"))
-    ).drop("resolution")
+    status = F.when(F.col("resolution") == "duplicate", "duplicate").when(F.col("resolution") == "distinct", "active").otherwise(F.col("status"))
+    return ledger.join(d, "id", "left").withColumn("status", status).drop("resolution")
 
 
-def undo_plan(ledger: DataFrame, receipts: DataFrame, by: str = "statement_id") -> DataFrame:
-    """What undoing each statement would remove and unlink."""
-    linked = receipts.where("txn_id IS NOT NULL").join(ledger.select(F.col("id").alias("txn_id"), by), "txn_id").groupBy(by).agg(F.count("*").alias("n_receipts"))
+def undo_plan(ledger: DataFrame, receipts: DataFrame, allocations: DataFrame, candidates: DataFrame, by: str = "statement_id") -> DataFrame:
+    """What undoing each statement would remove and unlink: its rows, receipts
+    linked to them (txn_id), cash drawn on them (withdrawal_id) and suspected
+    duplicates among them that wait for a decision (new_id). A statement with
+    receipts or allocations is ``blocked``."""
+    rows = ledger.select("id", by)
+    count = lambda df, c, name: df.where(F.col(c).isNotNull()).select(F.col(c).alias("id")).join(rows, "id").groupBy(by).agg(F.count("*").alias(name))
     plan = ledger.groupBy(by).agg(
         F.count("*").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("amount_cents") < 0, -F.col("amount_cents"))), F.lit(0)).alias("out_cents"),
         F.coalesce(F.sum(F.when(F.col("amount_cents") > 0, F.col("amount_cents"))), F.lit(0)).alias("in_cents"),
     )
-    return plan.join(linked, by, "left").fillna(0, ["n_receipts"])
+    for df, c, name in ((receipts, "txn_id", "n_receipts"), (allocations, "withdrawal_id", "n_allocations"), (candidates, "new_id", "n_pending")):
+        plan = plan.join(count(df, c, name), by, "left")
+    plan = plan.fillna(0, ["n_receipts", "n_allocations", "n_pending"])
+    return plan.withColumn("blocked", (F.col("n_receipts") > 0) | (F.col("n_allocations") > 0))
 
 
 def undo(tables: dict[str, DataFrame], statements: DataFrame, force: bool = False) -> dict[str, DataFrame]:
@@ -74,17 +82,34 @@ def accounts_with(existing: DataFrame, names: DataFrame) -> DataFrame:
     return existing.unionByName(fresh.withColumn("account_id", F.xxhash64("name")), allowMissingColumns=True)
 
 
-def set_category(ledger: DataFrame, changes: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Apply user categories (id, merchant, new_category) and learn a rule of the
-    highest priority from each, replacing the user's earlier one."""
+def set_category(ledger: DataFrame, changes: DataFrame, rules: DataFrame, merchants: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Apply a user's categories (id, new_category): new versions of ledger, rules
+    and merchants.
+
+    The rows' category_source becomes 'user', so that no later run changes them.
+    Each named merchant gives the account a rule of the highest priority, in place
+    of its earlier one, and is the merchant's default category from now on
+    (``merchants``: account_id, canonical, default_category).
+    """
+    old = F.col("category_source") if "category_source" in ledger.columns else F.lit("default")
     c = changes.select("id", "new_category")
-    l = ledger.join(c, "id", "left").withColumn("category", F.coalesce("new_category", "category")).drop("new_category")
-    learned = changes.groupBy(F.lower("merchant").alias("pattern")).agg(F.max_by("new_category", "id").alias("category")).select(
-        F.xxhash64("pattern").alias("rule_id"), F.lit(5).alias("priority"), F.lit("merchant").alias("field"), F.lit("contains").alias("match_type"),
-        "pattern", "category", F.lit("user").alias("source"),
+    l = ledger.join(c, "id", "left").withColumn("category_source", F.when(F.col("new_category").isNotNull(), "user").otherwise(old))
+    named = l.where("new_category IS NOT NULL AND merchant_norm IS NOT NULL AND merchant_norm NOT IN ('', 'Unknown')")
+    l = l.withColumn("category", F.coalesce("new_category", "category")).drop("new_category")
+    learned = named.groupBy("account_id", F.lower("merchant_norm").alias("pattern")).agg(
+        F.max_by("new_category", "id").alias("category"), F.max_by("merchant_norm", "id").alias("merchant")
+    )
+    learned = learned.select(
+        "account_id", F.xxhash64("account_id", "pattern").alias("rule_id"), F.lit(5).alias("priority"), F.lit("merchant").alias("field"),
+        F.lit("contains").alias("match_type"), "pattern", "category", "merchant", F.lit("user").alias("source"),
     )
-    kept = rules.join(learned.select("pattern", "source"), ["pattern", "source"], "left_anti")
-    return l, kept.unionByName(learned, allowMissingColumns=True)
+    if "account_id" not in rules.columns:
+        rules = rules.withColumn("account_id", F.lit(None).cast("long"))
+    kept = rules.join(learned.select("account_id", "pattern", "source"), ["account_id", "pattern", "source"], "left_anti").withColumn("rule_id", F.col("rule_id").cast("long"))
+    if merchants is not None:
+        mine = learned.select("account_id", canonical_key(F.col("merchant")).alias("canonical"), F.col("category").alias("_new")).dropDuplicates(["account_id", "canonical"])
+        merchants = merchants.join(mine, ["account_id", "canonical"], "left").withColumn("default_category", F.coalesce("_new", "default_category")).drop("_new")
+    return l, kept.unionByName(learned, allowMissingColumns=True), merchants
 
 
 def ignore_receipts(receipts: DataFrame, allocations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,15 +119,21 @@ def ignore_receipts(receipts: DataFrame, allocations: DataFrame, ids: DataFrame)
 
 
 def enrich(ledger: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Category and merchant from a matched receipt where the ledger has none;
-    amounts never change."""
-    r = receipts.where("link_status = 'matched'").select(
-        F.col("txn_id").alias("id"), F.col("merchant_norm").alias("_m"), (F.col("category") if "category" in receipts.columns else F.lit(None).cast("string")).alias("_c")
+    """Category and merchant from a matched receipt, where nobody and no rule has
+    set the category (category_source unset or default) and where the merchant is
+    unknown; amounts never change."""
+    r = receipts.where("link_status = 'matched'").groupBy(F.col("txn_id").alias("id")).agg(
+        F.min_by("merchant_norm", "receipt_id").alias("_m"), (F.min_by("category", "receipt_id") if "category" in receipts.columns else F.lit(None).cast("string")).alias("_c")
     )
+    if "category_source" not in ledger.columns:
+        known = F.coalesce("category", F.lit("Uncategorised")) != "Uncategorised"
+        ledger = ledger.withColumn("category_source", F.when(known, "rule").otherwise("default"))
+    take = F.col("_c").isNotNull() & F.coalesce("category_source", F.lit("unset")).isin("unset", "default")
     missing = F.col("merchant_norm").isNull() | F.col("merchant_norm").isin("", "Unknown")
-    return ledger.join(r, "id", "left").withColumn("category", F.coalesce("category", "_c")).withColumn(
-        "merchant_norm", F.when(missing & F.col("_m").isNotNull(), F.col("_m")).otherwise(F.col("merchant_norm"))
-    ).drop("_m", "_c")
+    l = ledger.join(r, "id", "left").withColumn("_take", take)
+    l = l.withColumn("category", F.when(F.col("_take"), F.col("_c")).otherwise(F.col("category")))
+    l = l.withColumn("category_source", F.when(F.col("_take"), "receipt").otherwise(F.col("category_source")))
+    return l.withColumn("merchant_norm", F.when(missing & F.col("_m").isNotNull(), F.col("_m")).otherwise(F.col("merchant_norm"))).drop("_m", "_c", "_take")
 
 
 def correct_receipts(receipts: DataFrame, corrections: DataFrame) -> DataFrame:

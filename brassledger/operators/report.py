@@ -136,18 +136,14 @@ def daily_series(ledger: DataFrame) -> DataFrame:
     return outflows(ledger).groupBy("account_id", "txn_date").agg(F.sum(-F.col("amount_cents")).alias("cents"), F.count("*").alias("n"))
 
 
-def upper_median(values: Column) -> Column:
-    """Element n div 2 of the sorted values (the upper one of an even number)."""
-    s = F.sort_array(values)
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
-
-
 def busy_days(ledger: DataFrame) -> DataFrame:
-    d = daily_series(ledger)
+    part = Window.partitionBy("account_id")
+    d = daily_series(ledger).withColumn("k", F.row_number().over(part.orderBy("cents"))).withColumn("m", F.count("*").over(part))
+    upper = F.col("k") == F.floor(F.col("m") / 2) + 1  # the upper one of an even number
     return d.groupBy("account_id").agg(
         F.max_by("txn_date", F.struct("cents", F.negate(F.unix_date("txn_date")))).alias("busiest_day"),
         F.max("cents").alias("busiest_cents"),
-        upper_median(F.collect_list("cents")).alias("typical_cents"),  # a value a day of one account
+        F.max(F.when(upper, F.col("cents"))).alias("typical_cents"),
     )
 
 
@@ -200,14 +196,52 @@ def coverage(statements: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def uncategorised_merchants(ledger: DataFrame) -> DataFrame:
-    return (
-        outflows(ledger)
-        .where("category IS NULL")
-        .groupBy("account_id", merchant().alias("merchant"))
-        .agg(F.count("*").alias("n"), F.sum(-F.col("amount_cents")).alias("cents"), F.min("id").alias("example_id"))
+    """Merchants whose outflows have no category, or are marked Uncategorised, with
+    the first row's id and narration (where the ledger has narrations)."""
+    o = outflows(ledger).where(category() == "Uncategorised")
+    sample = [F.min_by("description_raw", "id").alias("sample")] if "description_raw" in ledger.columns else []
+    return o.groupBy("account_id", merchant().alias("merchant")).agg(
+        F.count("*").alias("n"), F.sum(-F.col("amount_cents")).alias("cents"), F.min("id").alias("example_id"), *sample
     )
 
 
+def cash_revealed(allocations: DataFrame, receipts: DataFrame, ledger: DataFrame) -> DataFrame:
+    """(account_id, category, cents): what cash slips say that withdrawals of the
+    ledger (active ones) went on. Receipts without a category are Uncategorised."""
+    drawn = ledger.where("status = 'active'").select(F.col("id").alias("withdrawal_id"))
+    a = allocations.join(drawn, "withdrawal_id").join(receipts.select("receipt_id", category().alias("category")), "receipt_id")
+    return a.groupBy("account_id", "category").agg(F.sum("amount_cents").alias("cents"))
+
+
+def receipts_list(receipts: DataFrame, ledger: DataFrame, status: str | None = None, limit: int | None = None) -> DataFrame:
+    """Receipts of a link status (or all), newest first, with the row that paid."""
+    r = receipts if status is None else receipts.where(F.col("link_status") == status)
+    rows = ledger.select(F.col("id").alias("txn_id"), F.col("txn_date").alias("paid_date"), F.negate("amount_cents").alias("paid_cents"))
+    found = r.join(rows, "txn_id", "left").orderBy(F.desc("receipt_date"), F.desc("receipt_id"))
+    return found if limit is None else found.limit(limit)
+
+
+def receipt_details(receipts: DataFrame, allocations: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Receipts with their items as they stand, the ledger row that paid, and the
+    withdrawals that they draw on, by date, as an array (some few a receipt)."""
+    rows = ledger.select("id", "txn_date", F.negate("amount_cents").alias("cents"))
+    drawn = allocations.join(rows.withColumnsRenamed({"id": "withdrawal_id", "txn_date": "drawn_on"}).drop("cents"), "withdrawal_id")
+    drawn = drawn.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("drawn_on", "withdrawal_id", "amount_cents"))).alias("allocations"))
+    paid = rows.withColumnsRenamed({"id": "txn_id", "txn_date": "paid_date", "cents": "paid_cents"})
+    return receipts.join(paid, "txn_id", "left").join(drawn, "receipt_id", "left")
+
+
+def store_status(ledger: DataFrame, statements: DataFrame, receipts: DataFrame, pending: DataFrame) -> DataFrame:
+    """One row an account: statements and their extent, rows by status, receipts,
+    and suspected duplicates that wait for a decision."""
+    st = statements.groupBy("account_id").agg(F.count("*").alias("n_statements"), F.min("period_start").alias("first_day"), F.max("period_end").alias("last_day"))
+    of = lambda s: F.count_if(F.col("status") == s)
+    l = ledger.groupBy("account_id").agg(of("active").alias("n_active"), of("duplicate").alias("n_duplicate"))
+    n = lambda df, name: df.groupBy("account_id").agg(F.count("*").alias(name))
+    t = l.join(st, "account_id", "full").join(n(receipts, "n_receipts"), "account_id", "full").join(n(pending, "n_pending"), "account_id", "full")
+    return t.fillna(0, ["n_statements", "n_active", "n_duplicate", "n_receipts", "n_pending"])
+
+
 def search(
     ledger: DataFrame, text: str = "", status: str = "active", direction: str = "out", limit: int = 250,
     category_is: str | None = None, merchant_is: str | None = None, start=None, end=None,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ from ..shipping import ship
 from ..sources import receipts as receipt_sources
 from ..sources import statements as statement_files
 from ..sources.fixtures import sql_views, view
+from ..store import work_path
 from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,9 +148,13 @@ def statement_coverage(s, d):
     return report.coverage(view(s, d, "statements"), periods)
 
 
-@query(f"""{sql_views('ledger')} SELECT account_id, merchant_norm AS merchant, count(*) AS n, sum(-amount_cents)::BIGINT AS cents, min(id) AS example_id FROM ledger WHERE {OUT} AND category IS NULL GROUP BY 1, 2""")
+@query(f"""{sql_views('ledger', 'narrations')} SELECT l.account_id, merchant_norm AS merchant, count(*) AS n, sum(-l.amount_cents)::BIGINT AS cents, min(l.id) AS example_id, arg_min(description_raw, l.id) AS sample
+ FROM ledger l JOIN narrations n ON n.id = l.id WHERE status = 'active' AND l.amount_cents < 0 AND category IS NULL GROUP BY 1, 2""")
 def uncategorised_merchants(s, d):
-    return report.uncategorised_merchants(L(s, d))
+    """Half of the rows without a category are marked as such, as an import does."""
+    l = L(s, d).join(view(s, d, "narrations").select("id", "description_raw"), "id")
+    marked = F.when(F.col("category").isNull() & (F.col("id") % 2 == 0), "Uncategorised").otherwise(F.col("category"))
+    return report.uncategorised_merchants(l.withColumn("category", marked))
 
 
 @query(f"""{sql_views('ledger')} SELECT id, account_id, txn_date, merchant_norm, amount_cents FROM ledger WHERE {OUT} AND merchant_norm ILIKE '%PURCHASE-3%' ORDER BY txn_date DESC, id DESC LIMIT 250""")
@@ -177,15 +181,16 @@ def import_history(s, d):
 
 # --- series ---
 
-_REC = f"""{sql_views('series')}, g AS (SELECT *, date_diff('day', lag(txn_date) OVER w, txn_date) AS gap, row_number() OVER (PARTITION BY account_id, merchant_norm ORDER BY -amount_cents) AS k,
- count(*) OVER (PARTITION BY account_id, merchant_norm) AS m FROM series WINDOW w AS (PARTITION BY account_id, merchant_norm ORDER BY txn_date, id)),
-a AS (SELECT account_id, merchant_norm, min(category) AS category, count(*) AS n, sum(-amount_cents)::BIGINT AS total_cents, min(txn_date) AS first_date, max(txn_date) AS last_date, count(*) FILTER (WHERE gap > 0) AS ng,
+_REC = f"""{sql_views('series')}, act AS (SELECT * FROM series WHERE status = 'active'), nw AS (SELECT account_id, max(txn_date) AS newest FROM act GROUP BY 1),
+g AS (SELECT *, date_diff('day', lag(txn_date) OVER w, txn_date) AS gap, row_number() OVER w AS nth, row_number() OVER (PARTITION BY account_id, merchant_norm ORDER BY -amount_cents) AS k,
+ count(*) OVER (PARTITION BY account_id, merchant_norm) AS m FROM act WINDOW w AS (PARTITION BY account_id, merchant_norm ORDER BY txn_date, id)),
+a AS (SELECT account_id, merchant_norm, max(category) FILTER (WHERE nth = 1) AS category, count(*) AS n, sum(-amount_cents)::BIGINT AS total_cents, min(txn_date) AS first_date, max(txn_date) AS last_date, count(*) FILTER (WHERE gap > 0) AS ng,
  median(gap) FILTER (WHERE gap > 0) AS gap, max(-amount_cents) FILTER (WHERE k = m // 2 + 1) AS typical_cents, max(-amount_cents) - min(-amount_cents) AS spread FROM g GROUP BY 1, 2),
 c AS (SELECT *, CASE WHEN gap BETWEEN 5 AND 9 THEN 'weekly' WHEN gap BETWEEN 11 AND 18 THEN 'fortnightly' WHEN gap BETWEEN 25 AND 36 THEN 'monthly' WHEN gap BETWEEN 80 AND 100 THEN 'quarterly' WHEN gap BETWEEN 350 AND 380 THEN 'annual' ELSE 'irregular' END AS cadence FROM a WHERE n >= 3 AND ng >= 2),
-v AS (SELECT *, date_diff('day', last_date, max(last_date) OVER (PARTITION BY account_id)) / gap <= 1.6 AS active, spread / typical_cents > CASE WHEN cadence IN ('monthly','quarterly') THEN 0.35 ELSE 0.6 END AS varies,
- typical_cents * CASE cadence WHEN 'weekly' THEN 52 WHEN 'fortnightly' THEN 26 WHEN 'monthly' THEN 12 WHEN 'quarterly' THEN 4 ELSE 1 END AS annual_cents FROM c),
+v AS (SELECT c.*, date_diff('day', last_date, newest) / gap <= 1.6 AS active, spread / typical_cents > CASE WHEN cadence IN ('monthly','quarterly') THEN 0.35 ELSE 0.6 END AS varies,
+ typical_cents * CASE cadence WHEN 'weekly' THEN 52 WHEN 'fortnightly' THEN 26 WHEN 'monthly' THEN 12 WHEN 'quarterly' THEN 4 ELSE 1 END AS annual_cents FROM c JOIN nw USING (account_id)),
 rec AS (SELECT account_id, merchant_norm, category, n, total_cents, first_date, last_date, round(gap, 6) AS gap_days, typical_cents, cadence, active, varies, annual_cents, annual_cents // 12 AS monthly_cents,
- cadence IN ('monthly','quarterly','annual') AND NOT varies AS subscription FROM v WHERE cadence <> 'irregular')"""
+ cadence IN ('monthly','quarterly','annual') AND NOT varies AS subscription, row_number() OVER (PARTITION BY account_id ORDER BY annual_cents DESC, merchant_norm)::INT AS rank FROM v WHERE cadence <> 'irregular')"""
 
 
 @query(f"{_REC} SELECT * FROM rec")
@@ -199,20 +204,20 @@ def commitments(s, d):
     return recurring.commitments(recurring.recurring(view(s, d, "series")))
 
 
-@query(f"""{sql_views('series')}, k AS (SELECT *, row_number() OVER (PARTITION BY account_id, merchant_norm ORDER BY txn_date, id) AS k, count(*) OVER (PARTITION BY account_id, merchant_norm) AS m FROM series),
+@query(f"""{sql_views('series')}, k AS (SELECT *, row_number() OVER (PARTITION BY account_id, merchant_norm ORDER BY txn_date, id) AS k, count(*) OVER (PARTITION BY account_id, merchant_norm) AS m FROM series WHERE status = 'active'),
 g AS (SELECT account_id, merchant_norm, count(*) AS n, avg(-amount_cents) FILTER (WHERE k <= m // 2) AS o, avg(-amount_cents) FILTER (WHERE k > m // 2) AS w FROM k WHERE m >= 4 GROUP BY 1, 2)
-SELECT account_id, merchant_norm, n, round(o, 4) AS old_cents, round(w, 4) AS new_cents FROM g WHERE w >= o * 1.1 AND w - o >= 1000""")
+SELECT account_id, merchant_norm, n, round(o, 4) AS old_cents, round(w, 4) AS new_cents FROM g WHERE (w - o) / o >= 0.1 AND w - o >= 1000""")
 def price_creep(s, d):
     return recurring.price_creep(view(s, d, "series"))
 
 
-@query(f"""{sql_views('series')}, m AS (SELECT account_id, category, date_trunc('month', txn_date)::DATE AS month, sum(-amount_cents)::BIGINT AS cents FROM series GROUP BY 1, 2, 3),
-e AS (SELECT account_id, category, min(month) AS f, any_value(z) AS z FROM (SELECT *, max(month) OVER (PARTITION BY account_id) AS z FROM m) GROUP BY 1, 2),
+@query(f"""{sql_views('series')}, m AS (SELECT account_id, category, date_trunc('month', txn_date)::DATE AS month, sum(-amount_cents)::BIGINT AS cents FROM series WHERE status = 'active' GROUP BY 1, 2, 3),
+e AS (SELECT account_id, category, min(month) AS f, any_value(z) AS z FROM (SELECT *, max(month) OVER (PARTITION BY account_id) AS z FROM m) WHERE month > z - INTERVAL 6 MONTH GROUP BY 1, 2),
 g AS (SELECT account_id, category, z, unnest(generate_series(f::TIMESTAMP, z::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month FROM e),
 t AS (SELECT account_id, category, count(*) AS n_months, sum(coalesce(cents, 0)) FILTER (WHERE month = z) AS l, avg(coalesce(cents, 0)) FILTER (WHERE month <> z) AS a FROM g LEFT JOIN m USING (account_id, category, month) GROUP BY 1, 2)
-SELECT account_id, category, n_months, l::BIGINT AS latest_cents, round(a, 4) AS mean_cents FROM t WHERE n_months >= 3 AND l > 1.4 * a AND l - a >= 20000""")
+SELECT account_id, category, n_months, l::BIGINT AS latest_cents, round(a, 4) AS mean_cents FROM t WHERE n_months >= 3 AND a > 0 AND l > 1.4 * a AND l - a >= 20000""")
 def category_spikes(s, d):
-    return recurring.spikes(view(s, d, "series").withColumn("status", F.lit("active")))
+    return recurring.spikes(view(s, d, "series"))
 
 
 # --- advice ---
@@ -256,16 +261,12 @@ def savings_advice(s, d):
 
 # --- classification and text ---
 
-_CLEAN = """CASE id % 12 WHEN 0 THEN 'Checkers' WHEN 1 THEN 'Woolworths Food' WHEN 2 THEN 'Vida e Caffe' WHEN 3 THEN 'Uber Eats' WHEN 4 THEN 'Hollywoodbets' WHEN 5 THEN 'Engen' WHEN 6 THEN 'Netflix'
- WHEN 7 THEN 'Takealot' WHEN 8 THEN 'AARTO' WHEN 9 THEN 'Transfer To Savings Own Account' WHEN 10 THEN 'Bank Charges' ELSE 'Qwerty Trading' END"""
-
-
 @query(f"""{sql_views('narrations')}, rules(rule_id, priority, pattern, category, merchant, txn_type) AS (VALUES {dims.rules_sql()}),
 h AS (SELECT n.id, n.account_id, n.amount_cents, n.description_raw, r.* FROM narrations n LEFT JOIN rules r ON contains(lower(description_raw), r.pattern) AND (amount_cents <= 0 OR r.category IN ('Transfers','Savings & Investment'))),
 g AS (SELECT id, account_id, amount_cents, description_raw, arg_min(category, priority * 1000 + rule_id) FILTER (WHERE category IS NOT NULL) AS c, arg_min(merchant, priority * 1000 + rule_id) FILTER (WHERE merchant IS NOT NULL) AS m,
  arg_min(txn_type, priority * 1000 + rule_id) FILTER (WHERE txn_type IS NOT NULL) AS t FROM h GROUP BY 1, 2, 3, 4)
 SELECT id, account_id, amount_cents, description_raw, coalesce(m, CASE id % 12 WHEN 0 THEN 'Checkers Fourways' WHEN 1 THEN 'Woolworths Food' WHEN 2 THEN 'Vida E Caffe' WHEN 3 THEN 'Uber Eats' WHEN 4 THEN 'Hollywoodbets Online' WHEN 5 THEN 'Engen Fourways'
- WHEN 6 THEN 'Netflix.com Amsterdam' WHEN 7 THEN 'Takealot.com' WHEN 8 THEN 'Traffic Fine Aarto' WHEN 9 THEN 'Transfer To Savings Own Account' WHEN 10 THEN 'Monthly Account Fee' ELSE 'Qwerty Trading' END) AS merchant,
+ WHEN 6 THEN 'Netflix.com Amsterdam' WHEN 7 THEN 'Takealot.com' WHEN 8 THEN 'Traffic Fine Aarto' WHEN 9 THEN 'Transfer TO Savings OWN Account' WHEN 10 THEN 'Monthly Account FEE' ELSE 'Qwerty Trading' END) AS merchant,
  coalesce(c, CASE WHEN amount_cents > 0 THEN 'Income' ELSE 'Uncategorised' END) AS category,
  CASE WHEN amount_cents > 0 AND c IS NULL THEN 'credit' ELSE coalesce(t, 'other') END AS txn_type, CASE WHEN c IS NULL THEN 'default' ELSE 'rule' END AS category_source FROM g""")
 def rule_classification(s, d):
@@ -322,20 +323,25 @@ def receipt_payloads(s, d):
 
 # --- duplicates ---
 
-_PAIRS = f"""{sql_views('ledger', 'incoming')}, p AS (SELECT n.account_id, n.id AS new_id, e.id AS existing_id, abs(n.txn_date - e.txn_date)::INT AS gap_days, n.balance_cents IS NOT NULL AND e.balance_cents IS NOT NULL AS two,
- lower(n.merchant_norm) <> lower(e.merchant_norm) OR coalesce(n.balance_cents <> e.balance_cents, FALSE) AS off FROM incoming n JOIN ledger e ON n.account_id = e.account_id AND n.amount_cents = e.amount_cents AND abs(n.txn_date - e.txn_date) <= 3 AND e.status <> 'duplicate'),
+_PAIRS = f"""{sql_views('ledger', 'statements', 'incoming')}, p AS (SELECT n.account_id, n.id AS new_id, e.id AS existing_id, abs(n.txn_date - e.txn_date)::INT AS gap_days, n.balance_cents IS NOT NULL AND e.balance_cents IS NOT NULL AS two,
+ lower(n.merchant_norm) <> lower(e.merchant_norm) OR coalesce(n.balance_cents <> e.balance_cents, FALSE) AS off FROM incoming n JOIN ledger e ON n.account_id = e.account_id AND n.amount_cents = e.amount_cents AND abs(n.txn_date - e.txn_date) <= 3 AND e.status <> 'duplicate'
+ WHERE EXISTS (SELECT 1 FROM statements s WHERE s.account_id = n.account_id AND n.txn_date BETWEEN s.period_start AND s.period_end)),
 q AS (SELECT account_id, new_id, existing_id, gap_days, (CASE WHEN gap_days = 0 THEN CASE WHEN two THEN 0.97 ELSE 0.93 END WHEN gap_days = 1 THEN 0.72 ELSE 0.58 END)::DOUBLE AS score FROM p WHERE NOT off),
 pairs AS (SELECT *, CASE WHEN score >= 0.9 THEN 'held' ELSE 'review' END AS verdict FROM q)"""
 
 
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return dedupe.near_duplicates(view(s, d, "incoming"), L(s, d), view(s, d, "statements"))
+
+
 @query(f"{_PAIRS} SELECT * FROM pairs")
 def duplicate_candidates(s, d):
-    return dedupe.near_duplicates(view(s, d, "incoming"), L(s, d))
+    return _pairs(s, d)
 
 
 @query(f"{_PAIRS} SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY account_id, new_id ORDER BY score DESC, existing_id) AS k FROM pairs) WHERE k = 1")
 def duplicate_verdicts(s, d):
-    return dedupe.top_verdict(dedupe.near_duplicates(view(s, d, "incoming"), L(s, d)))
+    return dedupe.top_verdict(_pairs(s, d))
 
 
 @query(f"""{sql_views('ledger', 'incoming')}, x AS (SELECT id, account_id, balance_cents, concat_ws('|', strftime(txn_date, '%Y-%m-%d'), amount_cents::VARCHAR, regexp_replace(lower(merchant_norm), '[^a-z0-9]', '', 'g')) AS k FROM incoming)
@@ -344,7 +350,13 @@ def fingerprints(s, d):
     return dedupe.fingerprinted(view(s, d, "incoming")).select("id", "account_id", "occurrence", "fingerprint")
 
 
-@query()
+_PRINTS = """SELECT *, o::INT AS occurrence, sha1(k || '|' || CASE WHEN balance_cents IS NULL THEN 'o' || o ELSE 'b' || balance_cents END) AS fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY account_id, k ORDER BY id) - 1 AS o
+ FROM (SELECT id, account_id, txn_date, merchant_norm, amount_cents, balance_cents, concat_ws('|', strftime(txn_date, '%Y-%m-%d'), amount_cents::VARCHAR, regexp_replace(lower(merchant_norm), '[^a-z0-9]', '', 'g')) AS k FROM {}))"""
+
+
+@query(f"""{sql_views('ledger', 'incoming')}, i AS ({_PRINTS.format('incoming')}), l AS ({_PRINTS.format('ledger')})
+SELECT id, account_id, txn_date, merchant_norm, amount_cents, balance_cents, k AS soft_key, occurrence, fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY account_id, fingerprint ORDER BY id) AS nth FROM i)
+ WHERE nth = 1 AND NOT EXISTS (SELECT 1 FROM l WHERE l.account_id = account_id AND l.fingerprint = fingerprint)""".replace("l.account_id = account_id AND l.fingerprint = fingerprint", "l.account_id = x.account_id AND l.fingerprint = x.fingerprint").replace("FROM i)\n", "FROM i) x\n"))
 def incoming_new_rows(s, d):
     fresh = dedupe.first_of_fingerprint(dedupe.fingerprinted(view(s, d, "incoming")))
     return dedupe.new_rows(fresh, dedupe.fingerprinted(L(s, d)))
@@ -360,14 +372,12 @@ def incoming_covered(s, d):
 
 @query(f"""{sql_views('ledger', 'receipts')}, e AS (SELECT r.account_id, receipt_id, receipt_date, tender_type, l.id AS txn_id, l.txn_date - receipt_date AS g, abs(-amount_cents - total_cents) AS o, total_cents, r.merchant_norm AS a, l.merchant_norm AS b
  FROM receipts r JOIN ledger l ON r.account_id = l.account_id AND status='active' AND amount_cents < 0 AND is_cash_withdrawal = 0 AND l.txn_date BETWEEN receipt_date - 2 AND receipt_date + 4),
-w AS (SELECT *, (CASE WHEN o = 0 THEN 0.55 WHEN o <= 100 THEN 0.45 WHEN o <= greatest(200, 0.05 * total_cents) THEN 0.3 END)::DOUBLE AS x, (CASE WHEN g = 0 THEN 0.3 WHEN g > 0 THEN 0.24 - 0.03 * g ELSE 0.12 END)::DOUBLE AS y FROM e WHERE a = b)
-SELECT account_id, receipt_id, receipt_date, tender_type, txn_id, round(least(1.0, x + y + 0.3), 6) AS score FROM w WHERE x IS NOT NULL AND round(least(1.0, x + y + 0.3), 6) >= 0.62""")
+n AS (SELECT *, (CASE WHEN a = b THEN 1.0 WHEN split_part(a, '-', 1) = split_part(b, '-', 1) THEN 0.8 ELSE 0.0 END)::DOUBLE AS s FROM e),
+w AS (SELECT *, (CASE WHEN o = 0 THEN 0.55 WHEN o <= 100 THEN 0.45 WHEN o <= greatest(200, 0.05 * total_cents) THEN 0.3 END)::DOUBLE AS x, (CASE WHEN g = 0 THEN 0.3 WHEN g > 0 THEN 0.24 - 0.03 * g ELSE 0.12 END)::DOUBLE AS y FROM n WHERE s > 0)
+SELECT account_id, receipt_id, receipt_date, tender_type, txn_id, round(least(1.0, x + y + 0.3 * s), 6) AS score FROM w WHERE x IS NOT NULL AND round(least(1.0, x + y + 0.3 * s), 6) >= 0.62""")
 def receipt_candidates(s, d):
-    """Equal names only, so that the SQL need not repeat the similarity."""
-    e = match.card_candidates(view(s, d, "receipts"), L(s, d))
-    r = view(s, d, "receipts").select("receipt_id", F.col("merchant_norm").alias("a"))
-    l = L(s, d).select(F.col("id").alias("txn_id"), F.col("merchant_norm").alias("b"))
-    return e.join(r, "receipt_id").join(l, "txn_id").where("a = b").select("account_id", "receipt_id", "receipt_date", "tender_type", "txn_id", "score")
+    """Names of one kind are alike to 0.8, as one word of their one is the same."""
+    return match.card_candidates(view(s, d, "receipts"), L(s, d))
 
 
 @query(f"""{sql_views('ledger', 'receipts')} SELECT r.account_id, receipt_id, receipt_date, total_cents, l.id AS withdrawal_id, -amount_cents AS withdrawn, (receipt_date - l.txn_date)::INT AS days_before FROM receipts r JOIN ledger l ON r.account_id = l.account_id AND {OUT} AND is_cash_withdrawal = 1 AND l.txn_date BETWEEN receipt_date - 21 AND receipt_date""")
@@ -390,10 +400,15 @@ def receipts_by_status(s, d):
 @query()
 def cash_reclassified(s, d):
     ship(s)
-    receipts = view(s, d, "receipts")
-    cash = match.link_receipts(receipts, L(s, d))[1].join(receipts.select("receipt_id"), "receipt_id")
-    revealed = cash.groupBy("account_id").agg(F.sum("amount_cents").alias("cents")).withColumn("category", F.lit("Coffee & Snacks"))
-    return report.cash_reclassified(L(s, d), revealed)
+    receipts = with_categories(view(s, d, "receipts"))
+    cash = match.link_receipts(receipts, L(s, d))[1]
+    return report.cash_reclassified(L(s, d), report.cash_revealed(cash, receipts, L(s, d)))
+
+
+def with_categories(receipts: DataFrame) -> DataFrame:
+    """Receipts with what was bought: by the shop's number."""
+    n = F.substring_index("merchant_norm", "-", -1).cast("int") % 3
+    return receipts.withColumn("category", F.when(n == 0, "Coffee & Snacks").when(n == 1, "Groceries"))
 
 
 # --- changes ---
@@ -407,10 +422,12 @@ def resolved_duplicates(s, d):
 
 
 @query(f"""{sql_views('ledger')} SELECT account_id * 10 + CAST(FLOOR((EXTRACT(DAY FROM txn_date)-1)/10) AS BIGINT) AS statement_id, count(*) AS n_rows, coalesce(sum(-amount_cents) FILTER (WHERE amount_cents < 0), 0)::BIGINT AS out_cents,
- coalesce(sum(amount_cents) FILTER (WHERE amount_cents > 0), 0)::BIGINT AS in_cents, count(*) FILTER (WHERE id % 50 = 0) AS n_receipts FROM ledger GROUP BY 1""")
+ coalesce(sum(amount_cents) FILTER (WHERE amount_cents > 0), 0)::BIGINT AS in_cents, count(*) FILTER (WHERE id % 50 = 0) AS n_receipts,
+ count(*) FILTER (WHERE is_cash_withdrawal = 1 AND id % 3 = 0) AS n_allocations, count(*) FILTER (WHERE id % 70 = 0) AS n_pending, count(*) FILTER (WHERE id % 50 = 0 OR (is_cash_withdrawal = 1 AND id % 3 = 0)) > 0 AS blocked FROM ledger GROUP BY 1""")
 def undo_plan(s, d):
     l = L(s, d).withColumn("statement_id", F.col("account_id") * 10 + F.floor((F.dayofmonth("txn_date") - 1) / 10))
-    return mutate.undo_plan(l, l.where("id % 50 = 0").select(F.col("id").alias("txn_id")))
+    some = lambda cond, name: l.where(cond).select(F.col("id").alias(name))
+    return mutate.undo_plan(l, some("id % 50 = 0", "txn_id"), some("is_cash_withdrawal = 1 AND id % 3 = 0", "withdrawal_id"), some("id % 70 = 0", "new_id"))
 
 
 @query(f"""{sql_views('ledger')}, o AS (SELECT regexp_replace(lower(merchant_norm), '[^a-z0-9]', '', 'g') AS canonical, min(merchant_norm) AS merchant, NULL::VARCHAR AS dc FROM ledger WHERE id % 2 = 0 GROUP BY 1),
@@ -423,21 +440,26 @@ def merchant_upsert(s, d):
     return mutate.upsert_merchants(old, new)
 
 
-@query(f"""{sql_views('ledger', 'statements')} SELECT (SELECT count(*) FROM statements) AS n_statements, (SELECT count(*) FROM ledger WHERE status='active') AS n_active, (SELECT count(*) FROM ledger WHERE status='duplicate') AS n_duplicate, (SELECT min(period_start) FROM statements) AS first_day, (SELECT max(period_end) FROM statements) AS last_day""")
+@query(f"""{_PAIRS}, {sql_views('receipts').split('WITH ', 1)[1].split(chr(10) + 'receipts AS', 1)[1].join(['receipts AS', ''])},
+l AS (SELECT account_id, count(*) FILTER (WHERE status='active') AS n_active, count(*) FILTER (WHERE status='duplicate') AS n_duplicate FROM ledger GROUP BY 1),
+st AS (SELECT account_id, count(*) AS n_statements, min(period_start) AS first_day, max(period_end) AS last_day FROM statements GROUP BY 1)
+SELECT account_id, n_active, n_duplicate, coalesce(n_statements, 0) AS n_statements, first_day, last_day, (SELECT count(*) FROM receipts r WHERE r.account_id = l.account_id) AS n_receipts,
+ (SELECT count(*) FROM pairs p WHERE p.account_id = l.account_id AND verdict = 'review') AS n_pending FROM l LEFT JOIN st USING (account_id)""")
 def store_status(s, d):
-    st = view(s, d, "statements").agg(F.count("*").alias("n_statements"), F.min("period_start").alias("first_day"), F.max("period_end").alias("last_day"))
-    l = L(s, d).agg(F.count_if(F.col("status") == "active").alias("n_active"), F.count_if(F.col("status") == "duplicate").alias("n_duplicate"))
-    return st.crossJoin(l).select("n_statements", "n_active", "n_duplicate", "first_day", "last_day")  # one row by one row
+    return report.store_status(L(s, d), view(s, d, "statements"), view(s, d, "receipts"), _pairs(s, d).where("verdict = 'review'"))
 
 
 # --- files and streams ---
 
 
-def _work(spark: SparkSession, label: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/spark-work'}/{label}-{uuid.uuid4().hex}"
+_work = work_path
 
 
-@query()
+@query(f"""{sql_views('ledger')}, w AS (SELECT account_id, ts, id, txn_date, merchant_norm, balance_cents, CASE WHEN account_id % 2 = 0 THEN -amount_cents ELSE amount_cents END AS amt,
+ balance_cents - lag(balance_cents) OVER (PARTITION BY account_id ORDER BY ts, id) AS delta, row_number() OVER (PARTITION BY account_id ORDER BY ts, id) AS k FROM ledger WHERE status = 'active'),
+f AS (SELECT account_id, count(*) AS n, min(amt) AS least, avg(CASE WHEN abs(delta - amt) <= 2 THEN 1.0 ELSE 0.0 END) FILTER (WHERE delta IS NOT NULL) AS same, avg(CASE WHEN abs(delta + amt) <= 2 THEN 1.0 ELSE 0.0 END) FILTER (WHERE delta IS NOT NULL) AS flipped FROM w GROUP BY 1)
+SELECT w.account_id, k::INT AS line_no, (k - 1)::INT AS row_ordinal, txn_date, NULL::DATE AS posted_date, merchant_norm AS description_raw, CASE WHEN (n >= 3 AND flipped > same AND flipped >= 0.7) OR (n < 3 AND least >= 0) THEN -amt ELSE amt END AS amount_cents, balance_cents,
+ TRUE AS day_first, 1.0::DOUBLE AS confidence, '' AS card_last4 FROM w JOIN f USING (account_id)""")
 def statement_files_parsed(s, d):
     """Statement files written from the ledger in two layouts, one with inverted
     signs, then read back: a row for each ledger row that the files hold."""
@@ -451,7 +473,8 @@ def statement_files_parsed(s, d):
     path = _work(s, "statement-files")
     parts = max(1, int(s.conf.get("spark.sql.shuffle.partitions")))
     rows.union(head).repartition(parts, "account_id").sortWithinPartitions("account_id", "k", "ts", "id").select("account_id", "value").write.partitionBy("account_id").text(path)
-    return statement_files.read_statements(s, f"{path}/account_id=*")[0]
+    read = statement_files.read_statements(s, f"{path}/account_id=*")[0]
+    return read.withColumn("account_id", F.regexp_extract("file", r"account_id=(\d+)", 1).cast("long")).drop("file", "sha256")
 
 
 @query(f"""{sql_views('ledger')} SELECT account_id, txn_date AS day, coalesce(category, 'Uncategorised') AS category, sum(-amount_cents)::BIGINT AS cents, count(*) AS n FROM ledger WHERE {OUT} GROUP BY 1, 2, 3""")

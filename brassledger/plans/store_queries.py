@@ -12,7 +12,9 @@ from ..sources import receipts as receipt_sources
 from ..sources import statements as statement_files
 from ..sources.fixtures import sql_views, view
 from ..streaming import jobs
-from .ledger_queries import _PAIRS, CATS, FACTS, ORACLE_SQL, OUT, L, _work, query
+from .ledger_queries import _PAIRS, ORACLE_SQL, OUT, L, _pairs, _work, query, with_categories
+
+_RULED = ORACLE_SQL["rule_classification"]
 
 # --- files: two batches of statements that overlap from the 12th to the 18th ---
 
@@ -32,7 +34,8 @@ def _write_files(s: SparkSession, d: str, batch: str, base: str) -> str:
     rows = l.select("account_id", line.alias("value"), F.lit(1).alias("k"), "ts", "id")
     head = l.select("account_id").distinct().select("account_id", F.lit("Date,Description,Amount,Balance").alias("value"), F.lit(0).alias("k"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("id"))
     parts = int(s.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.union(head).repartition(parts, "account_id").sortWithinPartitions("account_id", "k", "ts", "id")
+    foot = head.select("account_id", F.lit("Closing balance,,,0.00").alias("value"), F.lit(2).alias("k"), "ts", "id")  # no row of the account
+    rows = rows.union(head).union(foot).repartition(parts, "account_id").sortWithinPartitions("account_id", "k", "ts", "id")
     rows.select("account_id", "value").write.mode("append").partitionBy("account_id").text(base)
     return f"{base}/account_id=*"
 
@@ -51,31 +54,51 @@ _FILES = (
 _KEY = "account_id, txn_date, name, amount_cents, balance_cents"
 
 
-@query(f"""{_FILES}, o AS (SELECT *, row_number() OVER w AS k, row_number() OVER v AS z FROM b WINDOW w AS (PARTITION BY account_id ORDER BY ts, id), v AS (PARTITION BY account_id ORDER BY ts DESC, id DESC))
-SELECT account_id, count(*) AS n_rows, min(txn_date) AS period_start, max(txn_date) AS period_end, max(balance_cents - amount_cents) FILTER (WHERE k = 1) AS opening_cents, max(balance_cents) FILTER (WHERE z = 1) AS closing_cents,
+@query(f"""{_FILES}, u AS (SELECT 'a' AS batch, * FROM a UNION ALL SELECT 'b', * FROM b), o AS (SELECT *, row_number() OVER w AS k, row_number() OVER v AS z FROM u WINDOW w AS (PARTITION BY batch, account_id ORDER BY ts, id), v AS (PARTITION BY batch, account_id ORDER BY ts DESC, id DESC))
+SELECT batch, account_id, count(*) AS n_rows, min(txn_date) AS period_start, max(txn_date) AS period_end, max(balance_cents - amount_cents) FILTER (WHERE k = 1) AS opening_cents, max(balance_cents) FILTER (WHERE z = 1) AS closing_cents,
  coalesce(sum(-amount_cents) FILTER (WHERE amount_cents < 0), 0)::BIGINT AS out_cents, coalesce(sum(amount_cents) FILTER (WHERE amount_cents > 0), 0)::BIGINT AS in_cents, count(balance_cents) AS n_balances,
- 1.0::DOUBLE AS confidence, 0::BIGINT AS n_skipped, CASE WHEN coalesce(sum(-amount_cents) FILTER (WHERE amount_cents < 0), 0) = 0 THEN 'inflow only' ELSE '' END AS concerns FROM o GROUP BY 1""")
+ 1.0::DOUBLE AS confidence, 1::BIGINT AS n_skipped, concat_ws(',', CASE WHEN coalesce(sum(-amount_cents) FILTER (WHERE amount_cents < 0), 0) = 0 THEN 'inflow only' END, CASE WHEN 1 > 0.1 * (count(*) + 1) THEN 'many skipped' END) AS concerns FROM o GROUP BY 1, 2""")
 def file_reports(s, d):
+    """Reports on the files of both batches; each has a line that is no row."""
     ship(s)
-    rows, bad = statement_files.read_statements(s, _write_files(s, d, "b", _work(s, "statement-files")))
-    return statement_files.file_report(rows, bad).withColumn("account_id", _account()).drop("file")
+    out = None
+    for batch in _BATCHES:
+        rows, bad = statement_files.read_statements(s, _write_files(s, d, batch, _work(s, f"statement-files-{batch}")))
+        one = statement_files.file_report(rows, bad).withColumn("account_id", _account()).withColumn("batch", F.lit(batch)).drop("file")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query(f"""{_FILES}, u AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY ts, id) AS nth FROM b), old AS (SELECT DISTINCT {_KEY} FROM a),
+_IMPORTED = f"""{_FILES}, u AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY ts, id) AS nth FROM b), old AS (SELECT DISTINCT {_KEY} FROM a), seen AS (SELECT account_id, min(txn_date) AS x, max(txn_date) AS y FROM a GROUP BY 1),
 t AS (SELECT u.*, nth > 1 OR o.account_id IS NOT NULL AS exact FROM u LEFT JOIN old o USING ({_KEY})),
-s AS (SELECT t.*, (SELECT max(CASE WHEN t.txn_date = o.txn_date THEN 0.97 WHEN abs(t.txn_date - o.txn_date) = 1 THEN 0.72 ELSE 0.58 END) FROM old o WHERE o.account_id = t.account_id AND o.amount_cents = t.amount_cents AND o.name = t.name AND o.balance_cents = t.balance_cents AND abs(t.txn_date - o.txn_date) <= 3) AS score FROM t)
-SELECT account_id, count(*) FILTER (WHERE NOT exact AND score IS NULL) AS n_imported, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE NOT exact AND score >= 0.9) AS n_held, count(*) FILTER (WHERE NOT exact AND score < 0.9) AS n_review,
- coalesce(sum(amount_cents) FILTER (WHERE NOT exact AND amount_cents > 0), 0)::BIGINT AS in_cents, coalesce(sum(-amount_cents) FILTER (WHERE NOT exact AND amount_cents < 0), 0)::BIGINT AS out_cents, 0::BIGINT AS n_skipped FROM s GROUP BY 1""")
-def import_report(s, d):
-    """Two imports, the second of which overlaps the first: what became of its rows."""
+s AS (SELECT t.*, (SELECT max(CASE WHEN t.txn_date = o.txn_date THEN 0.97 WHEN abs(t.txn_date - o.txn_date) = 1 THEN 0.72 ELSE 0.58 END) FROM old o WHERE o.account_id = t.account_id AND o.amount_cents = t.amount_cents AND o.name = t.name AND o.balance_cents = t.balance_cents AND abs(t.txn_date - o.txn_date) <= 3
+  AND EXISTS (SELECT 1 FROM seen WHERE seen.account_id = t.account_id AND t.txn_date BETWEEN x AND y)) AS score FROM t),
+c AS (SELECT account_id, count(*) FILTER (WHERE NOT exact AND coalesce(score, 0) < 0.9) AS n_imported, count(*) FILTER (WHERE exact) AS n_exact, count(*) FILTER (WHERE NOT exact AND score >= 0.9) AS n_held, count(*) FILTER (WHERE NOT exact AND score < 0.9) AS n_review,
+ coalesce(sum(amount_cents) FILTER (WHERE NOT exact AND coalesce(score, 0) < 0.9 AND amount_cents > 0), 0)::BIGINT AS in_cents, coalesce(sum(-amount_cents) FILTER (WHERE NOT exact AND coalesce(score, 0) < 0.9 AND amount_cents < 0), 0)::BIGINT AS out_cents, 1::BIGINT AS n_skipped FROM s GROUP BY 1)"""
+
+
+def _imported(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with outcome, quarantine) of the second of two imports."""
     ship(s)
     rules, work = dims.rules(s), _work(s, "import")
-    known = imports.empty_ledger(s)
+    known, seen = imports.empty_ledger(s), imports.empty_statements(s)
     for batch in _BATCHES:
         rows, bad = statement_files.read_statements(s, _write_files(s, d, batch, f"{work}/files-{batch}"))
-        tagged = imports.import_batch(rows.withColumn("account_id", _account()), known, rules, f"{work}/{batch}")
-        known = imports.additions(tagged)
-    return imports.counters(tagged, bad.withColumn("account_id", _account()))
+        tagged = imports.import_batch(rows.withColumn("account_id", _account()), known, seen, rules, f"{work}/{batch}")
+        known, seen = imports.additions(tagged), imports.statements_of(tagged)
+    return tagged, bad.withColumn("account_id", _account())
+
+
+@query(f"{_IMPORTED} SELECT * FROM c")
+def import_report(s, d):
+    """Two imports, the second of which overlaps the first: what became of its rows."""
+    return imports.counters(*_imported(s, d))
+
+
+@query(f"""{_IMPORTED} SELECT account_id, 'statement' AS kind, CASE WHEN n_imported + n_held > 0 THEN 'imported' ELSE 'nothing new' END AS outcome, n_imported || ' imported, ' || n_exact || ' exact, ' || n_held || ' held, ' || n_review || ' for review' AS detail FROM c""")
+def import_log(s, d):
+    """The log's lines of the second import."""
+    return imports.audit(_imported(s, d)[0], F.lit(None)).select("account_id", "kind", "outcome", "detail")
 
 
 @query(f"""{_FILES}, r AS (SELECT {_KEY} FROM a UNION SELECT {_KEY} FROM b)
@@ -91,21 +114,51 @@ def streamed_import(s, d):
     return s.read.parquet(f"{work}/ledger").groupBy("account_id", "txn_date").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"))
 
 
+@query(f"""{_FILES} SELECT account_id, count(*) AS n, sum(amount_cents)::BIGINT AS cents, min(txn_date) AS first, max(txn_date) AS last FROM b GROUP BY 1""")
+def profiled_files(s, d):
+    """Files without a header, month first, outflows positive, read by a named profile."""
+    ship(s)
+    first, last = _BATCHES["b"]
+    l = L(s, d).where(f"status = 'active' AND dayofmonth(txn_date) BETWEEN {first} AND {last}")
+    shown = lambda c: (c.cast("decimal(20,2)") / 100).cast("decimal(20,2)").cast("string")
+    line = F.concat_ws(";", "merchant_norm", shown(F.col("balance_cents")), shown(-F.col("amount_cents")), F.date_format("txn_date", "MM/dd/yyyy"))
+    path = _work(s, "profiled-files")
+    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
+    l.repartition(parts, "account_id").sortWithinPartitions("account_id", "ts", "id").select("account_id", line.alias("value")).write.partitionBy("account_id").text(path)
+    profiles = s.createDataFrame([("reversed", 3, None, 2, None, None, 1, None, None, [0], False, False)], statement_files.PROFILE)
+    lines = statement_files.scan(s, f"{path}/account_id=*")
+    chosen = lines.select("file").distinct().withColumn("profile", F.lit("reversed"))
+    rows = statement_files.typed(lines, chosen, profiles)[0].withColumn("account_id", _account())
+    return rows.groupBy("account_id").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"), F.min("txn_date").alias("first"), F.max("txn_date").alias("last"))
+
+
+@query(f"""WITH rules(rule_id, priority, pattern, category, merchant, txn_type) AS (VALUES {dims.rules_sql()})
+SELECT pattern, CASE WHEN priority <= 10 THEN 'Gifts & Donations' ELSE category END AS category, priority FROM rules""")
+def seeded_rules(s, d):
+    """The shipped pack loaded again over a table in which rows have been changed."""
+    pack = dims.rules(s)
+    changed = pack.where("priority <= 10").withColumn("category", F.lit("Gifts & Donations"))
+    return dims.seed_absent(changed, pack, "field", "match_type", "pattern", "source").select("pattern", "category", "priority")
+
+
 # --- review and lookup ---
 
 
-@query(f"""{_PAIRS} SELECT p.account_id, new_id, existing_id, score, verdict, n.txn_date AS new_date, e.txn_date AS existing_date, n.merchant_norm AS new_name, e.merchant_norm AS existing_name, n.amount_cents
- FROM pairs p JOIN incoming n ON n.id = new_id JOIN ledger e ON e.id = existing_id WHERE verdict = 'review'""")
+@query(f"""{_PAIRS} SELECT p.account_id, new_id, existing_id, score, verdict, n.txn_date AS new_date, e.txn_date AS existing_date, n.merchant_norm AS new_name, e.merchant_norm AS existing_name, n.amount_cents, s.statement_id AS existing_statement
+ FROM pairs p JOIN incoming n ON n.id = new_id JOIN ledger e ON e.id = existing_id LEFT JOIN statements s ON s.account_id = e.account_id AND e.txn_date BETWEEN s.period_start AND s.period_end WHERE verdict = 'review'""")
 def review_queue(s, d):
     n, e = view(s, d, "incoming"), L(s, d)
     side = lambda df, x: df.select(F.col("id").alias(f"{x}_id"), F.col("txn_date").alias(f"{x}_date"), F.col("merchant_norm").alias(f"{x}_name"), *(["amount_cents"] if x == "new" else []))
-    pairs = dedupe.near_duplicates(n, e).where("verdict = 'review'").drop("gap_days")
-    return pairs.join(side(n, "new"), "new_id").join(side(e, "existing"), "existing_id")
+    pairs = _pairs(s, d).where("verdict = 'review'").drop("gap_days")
+    found = pairs.join(side(n, "new"), "new_id").join(side(e, "existing"), "existing_id")
+    st = view(s, d, "statements").select(F.col("account_id").alias("_a"), F.col("statement_id").alias("existing_statement"), "period_start", "period_end")
+    found = found.join(st, (F.col("account_id") == F.col("_a")) & F.col("existing_date").between(F.col("period_start"), F.col("period_end")), "left").drop("_a", "period_start", "period_end")
+    return found.orderBy(F.desc("score"), "new_date", "new_id", "existing_id")
 
 
 @query(f"""{_PAIRS} SELECT p.account_id, count(*) AS n FROM pairs p JOIN ledger e ON e.id = existing_id WHERE verdict = 'review' AND e.txn_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-15' GROUP BY 1""")
 def pending_in_period(s, d):
-    pairs = dedupe.near_duplicates(view(s, d, "incoming"), L(s, d)).where("verdict = 'review'")
+    pairs = _pairs(s, d).where("verdict = 'review'")
     rows = L(s, d).where("txn_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-15'").select(F.col("id").alias("existing_id"))
     return pairs.join(rows, "existing_id", "left_semi").groupBy("account_id").agg(F.count("*").alias("n"))
 
@@ -138,10 +191,12 @@ def default_periods(s, d):
     return report.default_period(l, l.select("account_id", day.alias("start"), day.alias("end")).distinct())
 
 
-@query(f"""{sql_views('ledger')} SELECT account_id, count(*) AS n, coalesce(sum(-amount_cents) FILTER (WHERE amount_cents < 0), 0)::BIGINT AS out_cents FROM ledger WHERE account_id % 2 = 0 AND status = 'active' GROUP BY 1""")
+@query(f"""{sql_views('ledger')} SELECT account_id, account_id % 2 = 0 AS chosen, count(*) AS n, coalesce(sum(-amount_cents) FILTER (WHERE amount_cents < 0), 0)::BIGINT AS out_cents FROM ledger WHERE status = 'active' GROUP BY 1""")
 def account_filter(s, d):
-    some = L(s, d).where("account_id % 2 = 0 AND status = 'active'")
-    return some.groupBy("account_id").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("amount_cents") < 0, -F.col("amount_cents"))), F.lit(0)).alias("out_cents"))
+    """Totals of all accounts, with those marked that a request (a table) names."""
+    request = L(s, d).select("account_id").distinct().where("account_id % 2 = 0").withColumn("chosen", F.lit(True))
+    some = L(s, d).where("status = 'active'").join(request, "account_id", "left").fillna(False, ["chosen"])
+    return some.groupBy("account_id", "chosen").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("amount_cents") < 0, -F.col("amount_cents"))), F.lit(0)).alias("out_cents"))
 
 
 # --- advice ---
@@ -169,12 +224,23 @@ def delivery_orders(s, d):
 @query()
 def advice_summary(s, d):
     ship(s)
-    return advice.advice_totals(advice.advice(L(s, d)))
+    return advice.advice_totals(advice.advice(L(s, d)), L(s, d))
+
+
+@query()
+def advice_ranked(s, d):
+    """Findings in the order in which an account's list shows them."""
+    ship(s)
+    return advice.ranked(advice.advice(L(s, d)))
+
+
+@query(f"WITH x AS ({ORACLE_SQL['frivolous_rows']}) SELECT * FROM (SELECT *, sum(cents) OVER (PARTITION BY account_id)::BIGINT AS total_cents, row_number() OVER (PARTITION BY account_id ORDER BY score DESC, cents DESC, id)::INT AS rank FROM x) WHERE rank <= 200")
+def frivolous_ranked(s, d):
+    return advice.frivolity_ranked(L(s, d))
 
 
 # --- classification again ---
 
-_RULED = ORACLE_SQL["rule_classification"]
 
 
 @query(f"""WITH c AS ({_RULED}) SELECT id, account_id, CASE WHEN category_source = 'default' AND amount_cents <= 0 AND merchant = 'Qwerty Trading' THEN 'Shopping & Clothing' ELSE category END AS category,
@@ -200,16 +266,28 @@ def _changes(s: SparkSession, d: str) -> DataFrame:
     return L(s, d).where("category IS NULL").select("id", F.col("merchant_norm").alias("merchant"), F.lit("Groceries").alias("new_category"))
 
 
-@query(f"""{sql_views('ledger')} SELECT coalesce(category, 'Groceries') AS category, count(*) AS n, sum(amount_cents)::BIGINT AS cents FROM ledger GROUP BY 1""")
+@query(f"""{sql_views('ledger')} SELECT coalesce(category, 'Groceries') AS category, CASE WHEN category IS NULL THEN 'user' ELSE 'default' END AS category_source, count(*) AS n, sum(amount_cents)::BIGINT AS cents FROM ledger GROUP BY 1, 2""")
 def user_categories(s, d):
-    l, _ = mutate.set_category(L(s, d), _changes(s, d), dims.rules(s))
-    return l.groupBy("category").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"))
+    l, _, _ = mutate.set_category(L(s, d), _changes(s, d), dims.rules(s))
+    return l.groupBy("category", "category_source").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"))
 
 
-@query(f"""{sql_views('ledger')} SELECT DISTINCT lower(merchant_norm) AS pattern, 'Groceries' AS category, 5 AS priority FROM ledger WHERE category IS NULL""")
+@query(f"""{sql_views('ledger')} SELECT DISTINCT account_id, lower(merchant_norm) AS pattern, 'Groceries' AS category, 5 AS priority FROM ledger WHERE category IS NULL""")
 def learned_rules(s, d):
-    _, rules = mutate.set_category(L(s, d), _changes(s, d), dims.rules(s))
-    return rules.where("source = 'user'").select("pattern", "category", "priority")
+    _, rules, _ = mutate.set_category(L(s, d), _changes(s, d), dims.rules(s))
+    return rules.where("source = 'user'").select("account_id", "pattern", "category", "priority")
+
+
+@query(f"""WITH c AS ({_RULED}), ch AS (SELECT DISTINCT account_id FROM c WHERE id % 60 = 11) SELECT id, account_id,
+ CASE WHEN id % 60 = 11 OR (id % 12 = 11 AND amount_cents <= 0 AND account_id IN (SELECT account_id FROM ch)) THEN 'Gifts & Donations' ELSE category END AS category,
+ CASE WHEN id % 60 = 11 THEN 'user' WHEN id % 12 = 11 AND amount_cents <= 0 AND account_id IN (SELECT account_id FROM ch) THEN 'rule' ELSE category_source END AS category_source FROM c""")
+def user_choices_kept(s, d):
+    """Some rows are given a category by hand, then all are classified again: the
+    choices stay, and the account's other rows of the merchant follow them."""
+    l = classify.classify(view(s, d, "narrations"), dims.rules(s)).withColumnRenamed("merchant", "merchant_norm")
+    changes = l.where("id % 60 = 11").select("id", F.lit("Gifts & Donations").alias("new_category"))
+    l, rules, _ = mutate.set_category(l, changes, dims.rules(s))
+    return classify.reclassified(l.withColumnRenamed("merchant_norm", "merchant"), rules, all_but_user=True).select("id", "account_id", "category", "category_source")
 
 
 @query(f"""{sql_views('ledger')} SELECT DISTINCT 'account ' || account_id AS name FROM ledger""")
@@ -229,7 +307,7 @@ def undone_imports(s, d):
     t = L(s, d).withColumn("statement_id", F.col("account_id") * 10 + F.floor((F.dayofmonth("txn_date") - 1) / 10))
     receipts = view(s, d, "receipts").select("receipt_id", F.when(F.col("receipt_id") % 10 == 0, F.col("receipt_id")).alias("txn_id"), F.lit("matched").alias("link_status"))
     none = s.createDataFrame([], "withdrawal_id long, receipt_id long")
-    pairs = dedupe.near_duplicates(view(s, d, "incoming"), L(s, d))
+    pairs = _pairs(s, d)
     ids = t.select("statement_id").distinct()
     tables = {"statements": ids, "transactions": t, "receipts": receipts, "allocations": none, "candidates": pairs}
     return mutate.undo(tables, ids.where("statement_id % 7 = 0"))["transactions"].groupBy("statement_id").agg(F.count("*").alias("n"))
@@ -255,6 +333,34 @@ def ignored_receipts(s, d):
     return left.groupBy("link_status").agg(F.count("*").alias("n"), F.sum("total_cents").alias("cents"))
 
 
+_SLIPS = """rs AS (SELECT *, CASE WHEN receipt_id % 4 = 0 THEN 'unmatched' WHEN receipt_id % 4 = 1 THEN 'matched' ELSE 'cash_allocated' END AS link_status, CASE WHEN receipt_id % 4 = 1 THEN receipt_id END AS txn_id FROM receipts)"""
+
+
+def _slips(s: SparkSession, d: str) -> DataFrame:
+    r, n = view(s, d, "receipts"), F.col("receipt_id") % 4
+    return r.withColumn("link_status", F.when(n == 0, "unmatched").when(n == 1, "matched").otherwise("cash_allocated")).withColumn("txn_id", F.when(n == 1, F.col("receipt_id")))
+
+
+@query(f"""{sql_views('ledger', 'receipts')}, {_SLIPS} SELECT r.*, l.txn_date AS paid_date, -l.amount_cents AS paid_cents FROM rs r LEFT JOIN ledger l ON l.id = txn_id WHERE link_status = 'matched'""")
+def receipts_matched(s, d):
+    """The receipts of one link status, newest first, with the rows that paid."""
+    return report.receipts_list(_slips(s, d), L(s, d), "matched")
+
+
+@query(f"""{sql_views('ledger', 'receipts')}, {_SLIPS}, a AS (SELECT receipt_id, l.id AS w, l.txn_date AS x, least(-amount_cents, total_cents) AS n FROM rs JOIN ledger l ON l.account_id = rs.account_id AND {OUT} AND is_cash_withdrawal = 1 AND l.txn_date BETWEEN receipt_date - 21 AND receipt_date WHERE link_status = 'cash_allocated'),
+g AS (SELECT receipt_id, count(*) AS n_allocations, sum(n)::BIGINT AS drawn_cents, min(x) AS first_drawn FROM a GROUP BY 1)
+SELECT r.receipt_id, link_status, l.txn_date AS paid_date, coalesce(n_allocations, 0)::INT AS n_allocations, coalesce(drawn_cents, 0) AS drawn_cents, first_drawn FROM rs r LEFT JOIN ledger l ON l.id = txn_id LEFT JOIN g ON g.receipt_id = r.receipt_id""")
+def receipt_detail(s, d):
+    """Each receipt with what paid for it; every withdrawal before a cash slip counts as drawn on."""
+    r, rows = _slips(s, d), L(s, d)
+    cash = match.cash_candidates(r.where("link_status = 'cash_allocated'"), rows).select("receipt_id", "withdrawal_id", F.least("withdrawn", "total_cents").alias("amount_cents"))
+    found = report.receipt_details(r, cash, rows)
+    drawn = F.aggregate(F.coalesce("allocations", F.array()), F.lit(0).cast("long"), lambda t, a: t + a["amount_cents"])
+    return found.select(
+        "receipt_id", "link_status", "paid_date", F.coalesce(F.size("allocations"), F.lit(0)).alias("n_allocations"), drawn.alias("drawn_cents"), F.array_min(F.transform("allocations", lambda a: a["drawn_on"])).alias("first_drawn")
+    )
+
+
 @query()
 def receipt_overview(s, d):
     """Every receipt with its link and the ledger row behind it."""
@@ -279,14 +385,14 @@ def enriched_ledger(s, d):
     """The ledger with what matched receipts know; amounts stay."""
     ship(s)
     linked, _ = match.link_receipts(view(s, d, "receipts"), L(s, d))
-    return mutate.enrich(L(s, d), linked.withColumn("category", F.lit("Shopping & Clothing"))).groupBy("category").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"))
+    return mutate.enrich(L(s, d), with_categories(linked)).groupBy("category").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"))
 
 
 @query()
 def completeness(s, d):
     ship(s)
     linked, cash = match.link_receipts(view(s, d, "receipts"), L(s, d))
-    pending = dedupe.near_duplicates(view(s, d, "incoming"), L(s, d)).where("verdict = 'review'")
+    pending = _pairs(s, d).where("verdict = 'review'")
     return report.completeness(L(s, d), view(s, d, "statements"), linked, cash, pending)
 
 
@@ -303,4 +409,4 @@ def receipts_stored(s, d):
     p = receipt_sources.from_payload(r.select("account_id", "receipt_id", body.alias("payload"))).withColumn("sha256", F.sha2("payload", 256))
     merchants = p.where("merchant LIKE 'click-%'").select(text.canonical_key(F.col("merchant")).alias("canonical")).distinct().withColumn("default_category", F.lit("Coffee & Snacks"))
     known = p.where("receipt_id % 2 = 0")
-    return receipt_sources.stored(p, known, merchants).select("receipt_id", "category", F.regexp_replace("warnings", ",?same_slip", "").alias("warnings"))
+    return receipt_sources.stored(p, known, merchants).select("receipt_id", "category", "warnings")

@@ -50,7 +50,8 @@ SELECT id + 1000000 AS id, account_id, {PLUS} AS txn_date, merchant_norm, amount
 WHERE status='active' AND EXTRACT(DAY FROM txn_date) BETWEEN 11 AND 20""",
     "series": """
 SELECT ROW_NUMBER() OVER (PARTITION BY c_nationkey, p_brand ORDER BY o_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS id,
-  CAST(c_nationkey AS BIGINT) AS account_id, p_brand AS merchant_norm, CAST(o_orderdate AS DATE) AS txn_date,
+  CAST(c_nationkey AS BIGINT) AS account_id, CASE WHEN o_orderkey % 40 = 7 THEN CONCAT(p_brand, ' once ', CAST(o_orderkey AS STRING)) ELSE p_brand END AS merchant_norm,
+  CAST(o_orderdate AS DATE) AS txn_date, CASE WHEN o_orderkey % 23 = 5 THEN 'duplicate' ELSE 'active' END AS status,
   -CASE WHEN CAST(REPLACE(p_brand,'Brand#','') AS INT) % 3 = 0 THEN 9900 ELSE CAST(ROUND(l_extendedprice) AS BIGINT) END AS amount_cents,
   CASE WHEN CAST(REPLACE(p_brand,'Brand#','') AS INT) % 2 = 0 THEN 'Subscriptions & Streaming' ELSE 'Communications' END AS category
 FROM lineitem JOIN orders ON o_orderkey=l_orderkey JOIN part ON p_partkey=l_partkey JOIN customer ON c_custkey=o_custkey""",

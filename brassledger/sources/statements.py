@@ -12,33 +12,49 @@ from ..shipping import ship
 
 # --- fixed values: header words of each column role, most specific first ---
 ROLES = {
-    "balance": "runningbalance closingbalance balanceafter availablebalance balance saldo",
-    "debit": "debitamount debitszar moneyout amountout withdrawal withdrawals paidout payments debits debit dr",
-    "credit": "creditamount creditszar moneyin amountin deposit deposits paidin receipts credits credit cr",
-    "amount": "transactionamount amountzar amountinzar amount value bedrag trnamount signedamount",
-    "txn_date": "transactiondate transdate txndate valuedate effectivedate dateprocessed processdate postingdate posteddate actiondate date datum bookingdate",
-    "direction": "debitcredit drcr type transactiontype indicator sign",
-    "card": "cardnumber cardlast4 card",
-    "description": "transactiondescription transactiondetails description narrative narration details detail particulars reference memo payee beneficiary merchant transaction remarks beskrywing",
-}
+    "balance": ("runningbalance", "closingbalance", "balanceafter", "availablebalance", "balance", "saldo"),
+    "debit": ("debitamount", "debitszar", "moneyout", "amountout", "withdrawal", "withdrawals", "paidout", "payments", "debits", "debit", "dr"),
+    "credit": ("creditamount", "creditszar", "moneyin", "amountin", "deposit", "deposits", "paidin", "receipts", "credits", "credit", "cr"),
+    "amount": ("transactionamount", "amountzar", "amountinzar", "amount", "value", "bedrag", "trnamount", "signedamount"),
+    "txn_date": (
+        "transactiondate", "transdate", "txndate", "valuedate", "effectivedate", "dateprocessed", "processdate", "postingdate", "posteddate",
+        "actiondate", "date", "datum", "trndate", "bookingdate",
+    ),
+    "posted_date": ("postingdate", "posteddate", "processdate", "captureddate"),
+    "direction": ("debitcredit", "drcr", "type", "transactiontype", "indicator", "sign"),
+    "card": ("cardnumber", "cardlast4", "card"),
+    "description": (
+        "transactiondescription", "transactiondetails", "transactionremarks", "description1", "description2", "description3", "description",
+        "narrative", "narration", "details", "detail", "particulars", "reference", "yourreference", "theirreference", "memo", "payee",
+        "beneficiary", "merchant", "transaction", "remarks", "beskrywing",
+    ),
+}
+FEES = ("fee", "servicefee", "charge", "charges")
 DELIMITERS = (",", ";", "\t", "|")
 OUT_WORDS, IN_WORDS = ("d", "dr", "debit", "db", "withdrawal", "payment", "out", "-"), ("c", "cr", "credit", "deposit", "in", "+")
 # --- end of fixed values ---
 
+#: The characters in which the two 8-bit encodings differ.
+_C1 = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_LATIN, _WINDOWS = _C1.decode("latin-1"), _C1.decode("cp1252")
+
 HEAD_LINES, HEADER_ROWS, SAMPLE_ROWS = 60, 30, 50
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """(file, sha256, line_no, line) of every line of the files under ``path``.
 
-    UTF-8 with or without a mark, else ISO-8859-1.
+    UTF-8 with or without a mark, else Windows-1252, or ISO-8859-1 where a byte
+    has no meaning there.
     """
     return lines_of(spark.read.format("binaryFile").load(path))
 
 
 def lines_of(raw: DataFrame) -> DataFrame:
     """The same for files that are read already (path, content)."""
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    latin = F.decode("content", "ISO-8859-1")
+    windows = F.when(latin.rlike("[\x81\x8d\x8f\x90\x9d]"), latin).otherwise(F.translate(latin, _LATIN, _WINDOWS))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(windows)
     lines = F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n"))
     return raw.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), lines.alias("line_no", "line"))
 
@@ -58,7 +74,7 @@ def grid(lines: DataFrame) -> DataFrame:
 
 def header_rows(g: DataFrame, spark: SparkSession) -> DataFrame:
     """(file, header_line): the best-scoring of a file's first rows, if it scores."""
-    words = spark.createDataFrame([(r, w) for r, ws in ROLES.items() for w in ws.split()], "role string, word string")
+    words = spark.createDataFrame([(r, w) for r, ws in (*ROLES.items(), ("fees", FEES)) for w in ws], "role string, word string")
     cells = g.where((F.col("line_no") < HEADER_ROWS) & (F.size("cells") >= 2)).select("file", "line_no", F.posexplode("cells").alias("pos", "cell"))
     cells = cells.withColumn("key", F.regexp_replace(F.lower("cell"), "[^a-z0-9]", ""))
     hit = cells.join(F.broadcast(words), (F.col("key") == F.col("word")) | ((F.length("word") > 3) & F.contains("key", F.col("word"))), "left")
@@ -79,14 +95,16 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
     taken, got = set(), {}
     for role, words in ROLES.items():
         for exact in (True, False):
-            for w in words.split():
+            if role in got:
+                break
+            for w in words:
                 found = [p for p, k in sorted(cells.items()) if p not in taken and (k == w if exact else len(w) >= 4 and w in k)]
                 if found and (role == "description" or role not in got):
                     got.setdefault(role, []).extend(found if role == "description" else found[:1])
                     taken.update(got[role])
     row = {"file": pdf.file.iloc[0], "descriptions": sorted(got.get("description", []))}
     row |= {r: got[r][0] if r in got else None for r in ROLES if r != "description"}
-    row["confidence"] = min(1.0, len(got) / 4)
+    row["confidence"] = min(1.0, len(got.keys() & {"txn_date", "amount", "debit", "credit", "balance", "description"}) / 4)
     return pd.DataFrame([row]).astype({r: "Int64" for r in ROLES if r != "description"})
 
 
@@ -107,19 +125,39 @@ def layouts(g: DataFrame, spark: SparkSession) -> DataFrame:
     enough = F.greatest(F.lit(2), 0.8 * F.col("n"))
     is_date, is_num = F.col("d") >= enough, (F.col("m") >= enough) & (F.col("d") < enough)
     v = v.groupBy("file").agg(
-        F.min(F.when(is_date, F.col("pos"))).alias("txn_date"),
+        F.array_sort(F.collect_list(F.when(is_date, F.col("pos")))).alias("dates"),
         F.array_sort(F.collect_list(F.when(is_num, F.col("pos")))).alias("nums"),
         F.max_by("pos", F.when(~is_date & ~is_num, F.col("w"))).alias("text"),
     )
     k = F.size("nums")
-    v = v.where("txn_date IS NOT NULL AND size(nums) > 0").select(
+    v = v.where("size(dates) > 0 AND size(nums) > 0").select(
         "file", F.array("text").alias("descriptions"), F.when(k > 1, F.element_at("nums", -1)).alias("balance"), F.lit(None).cast("int").alias("debit"),
-        F.lit(None).cast("int").alias("credit"), F.element_at("nums", F.when(k > 1, -2).otherwise(-1)).alias("amount"), "txn_date",
+        F.lit(None).cast("int").alias("credit"), F.element_at("nums", F.when(k > 1, -2).otherwise(-1)).alias("amount"),
+        F.element_at("dates", 1).alias("txn_date"), F.try_element_at("dates", F.lit(2)).alias("posted_date"),
         F.lit(None).cast("int").alias("direction"), F.lit(None).cast("int").alias("card"), F.lit(0.4).alias("confidence"), F.lit(-1).alias("header_line"),
     )
     return found.unionByName(v)
 
 
+PROFILE = (
+    "profile string, txn_date int, posted_date int, amount int, debit int, credit int, balance int, direction int, card_last4 int, description array<int>, "
+    "outflow_is_negative boolean, dayfirst boolean"
+)
+
+
+def profile_layouts(g: DataFrame, chosen: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Layouts of files (file, profile) by named profiles (``PROFILE``): columns by
+    position from 0, whether an outflow is negative, whether dates are day-first.
+    They take the place of what a file's header says."""
+    heads = header_rows(g, g.sparkSession)
+    p = chosen.join(F.broadcast(profiles), "profile").join(heads, "file", "left")  # profiles are written by hand
+    roles = {r: "card_last4" if r == "card" else r for r in ROLES if r != "description"}
+    return p.select(
+        "file", F.coalesce("description", F.array().cast("array<int>")).alias("descriptions"), *(F.col(c).alias(r) for r, c in roles.items()), F.lit(1.0).alias("confidence"),
+        F.coalesce("header_line", F.lit(-1)).alias("header_line"), F.coalesce("outflow_is_negative", F.lit(True)).alias("negative_out"), F.coalesce("dayfirst", F.lit(True)).alias("day_first_set"),
+    )
+
+
 def typed_rows(g: DataFrame, layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine). Dates are day-first unless the file's own say not;
     signs are flipped for a file whose balances say so, and a file of positive
@@ -129,12 +167,14 @@ def typed_rows(g: DataFrame, layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     r = r.withColumn("date_text", cell("txn_date"))
     parts = lambda i: F.regexp_extract("date_text", r"^(\d{1,2})[/.-](\d{1,2})[/.-]", i).try_cast("int")
     whole = Window.partitionBy("file")
+    if "day_first_set" not in layout.columns:
+        r = r.withColumn("day_first_set", F.lit(None).cast("boolean")).withColumn("negative_out", F.lit(True))
     votes = F.count_if(parts(2) > 12).over(whole) <= F.count_if(parts(1) > 12).over(whole)
     amount = parse_amount(cell("amount"))
     sign = F.lower(F.trim(cell("direction")))
-    signed = F.when(sign.isin(*OUT_WORDS), -F.abs(amount)).when(sign.isin(*IN_WORDS), F.abs(amount)).otherwise(amount)
+    signed = F.when(sign.isin(*OUT_WORDS), -F.abs(amount)).when(sign.isin(*IN_WORDS), F.abs(amount)).otherwise(F.when(F.col("negative_out"), amount).otherwise(-amount))
     debit, credit = (F.nullif(F.abs(parse_amount(cell(c))), F.lit(0).cast("decimal(18,6)")) for c in ("debit", "credit"))
-    r = r.withColumn("day_first", votes).withColumn("txn_date_", parse_date(F.col("date_text"), F.col("day_first")))
+    r = r.withColumn("day_first", F.coalesce("day_first_set", votes)).withColumn("txn_date_", parse_date(F.col("date_text"), F.col("day_first")))
     r = r.withColumn("amount_cents", to_cents(F.coalesce(-debit, credit, signed))).withColumn("balance_cents", to_cents(parse_amount(cell("balance"))))
     words = F.transform("descriptions", lambda p: F.coalesce(F.try_element_at("cells", p + 1), F.lit("")))
     r = r.withColumn("description_raw", F.trim(F.regexp_replace(F.array_join(words, " "), r"\s+", " ")))
@@ -142,7 +182,7 @@ def typed_rows(g: DataFrame, layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     r = r.withColumn("reason", reason)
     bad = r.where("reason IS NOT NULL").select("file", "line_no", "reason", F.substring("line", 1, 300).alias("raw"))
     r = r.where("reason IS NULL").select(
-        "file", "sha256", "line_no", F.col("txn_date_").alias("txn_date"), "description_raw", "amount_cents", "balance_cents", "day_first", "confidence",
+        "file", "sha256", "line_no", F.col("txn_date_").alias("txn_date"), parse_date(cell("posted_date"), F.col("day_first")).alias("posted_date"), "description_raw", "amount_cents", "balance_cents", "day_first", "confidence",
         (F.col("debit").isNull() & F.col("credit").isNull()).alias("single"), F.right(F.regexp_replace(F.coalesce(cell("card"), F.lit("")), r"\D", ""), F.lit(4)).alias("card_last4"),
     )
     order = Window.partitionBy("file").orderBy("line_no")
@@ -158,14 +198,19 @@ def typed_rows(g: DataFrame, layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, bad
 
 
-def read_statements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return typed(scan(spark, path))
+def read_statements(spark: SparkSession, path: str, chosen: DataFrame | None = None, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return typed(scan(spark, path), chosen, profiles)
 
 
-def typed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, quarantine) of the lines of files, each with its own layout."""
+def typed(lines: DataFrame, chosen: DataFrame | None = None, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of the lines of files, each with its own layout; files of
+    ``chosen`` (file, profile) have that of their named profile."""
     g = grid(lines)
-    return typed_rows(g, layouts(g, lines.sparkSession))
+    if chosen is None:
+        return typed_rows(g, layouts(g, lines.sparkSession))
+    named = profile_layouts(g, chosen, profiles)
+    found = layouts(g, lines.sparkSession).join(chosen.select("file"), "file", "left_anti")
+    return typed_rows(g, found.unionByName(named, allowMissingColumns=True).withColumn("negative_out", F.coalesce("negative_out", F.lit(True))))
 
 
 def file_report(rows: DataFrame, bad: DataFrame) -> DataFrame:

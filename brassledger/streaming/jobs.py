@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +28,13 @@ def import_new(spark: SparkSession, rows_path: str, schema, ledger_path: str, ch
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
+def _read(spark: SparkSession, path: str, empty: DataFrame) -> DataFrame:
+    """The table at ``path``, or ``empty`` where nothing has been written yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.parquet(path) if there else empty
+
+
 def import_files(spark: SparkSession, files_path: str, ledger_path: str, work: str, rules: DataFrame, account):
     """Import statement files as they arrive. ``account`` gives the account of a
     file from its path (a Column of ``file``). Files and rows that the ledger has
@@ -37,12 +43,21 @@ def import_files(spark: SparkSession, files_path: str, ledger_path: str, work: s
 
     def step(batch: DataFrame, n: int) -> None:
         parsed, _ = statements.typed(statements.lines_of(batch))
-        try:
-            known = spark.read.schema(imports.empty_ledger(spark).schema).parquet(ledger_path)
-        except AnalysisException:  # the first batch
-            known = imports.empty_ledger(spark)
-        tagged = imports.import_batch(parsed.withColumn("account_id", account), known, rules, f"{work}/batch-{n}-{uuid.uuid4().hex}")
+        parsed = parsed.withColumn("account_id", account)
+        known = _read(spark, ledger_path, imports.empty_ledger(spark))
+        seen = _read(spark, f"{ledger_path}-statements", imports.empty_statements(spark))
+        # Only the batch's accounts, and the months that its rows can meet.
+        months = parsed.agg(F.date_format(F.date_sub(F.min("txn_date"), 3), "yyyy-MM"), F.date_format(F.date_add(F.max("txn_date"), 3), "yyyy-MM")).first()
+        if months[0] is None:
+            return
+        if "txn_month" in known.columns:
+            known = known.where(F.col("txn_month").between(*months))
+        own = parsed.select("account_id").distinct()
+        known, seen = (df.join(own, "account_id", "left_semi") for df in (known, seen))
+        tagged = imports.import_batch(parsed, known, seen, rules, f"{work}/batch-{n}-{uuid.uuid4().hex}")
         imports.append(tagged, ledger_path)
+        imports.audit(tagged, F.lit(n)).write.mode("append").parquet(f"{ledger_path}-log")
+        imports.statements_of(tagged).write.mode("append").parquet(f"{ledger_path}-statements")
 
     return files.writeStream.foreachBatch(step).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
 

@@ -49,7 +49,7 @@ def test_amount_texts(spark):
 
 
 def test_dates(spark):
-    cases = [("25/03/2026", True, day(3, 25, 2026)), ("03/25/2026", False, day(3, 25, 2026)), ("02/03/2026", False, day(2, 3, 2026)), ("2 Mar 2026", True, day(3, 2, 2026)), ("nope!!", True, None), ("1/2", True, None)]
+    cases = [("25/03/2026", True, day(3, 25, 2026)), ("03/25/2026", False, day(3, 25, 2026)), ("02/03/2026", False, day(2, 3, 2026)), ("2 Mar 2026", True, day(3, 2, 2026)), ("March 2 2026", True, day(3, 2, 2026)), ("2-March-2026", True, day(3, 2, 2026)), ("March 2, 2026", True, day(3, 2, 2026)), ("nope!!", True, None), ("1/2", True, None)]
     df = spark.createDataFrame([(a, b) for a, b, _ in cases], "t string, f boolean")
     assert [r.d for r in df.select(dates.parse_date(F.col("t"), F.col("f")).alias("d")).collect()] == [c for *_, c in cases]
 
@@ -88,8 +88,10 @@ def test_duplicate_scores(spark):
     cols = "id long, account_id long, txn_date date, merchant_norm string, amount_cents long, balance_cents long, status string"
     old = spark.createDataFrame([(1, 1, day(1, 5), "a", -100, 50, "active"), (2, 1, day(1, 5), "b", -200, None, "active"), (3, 1, day(1, 5), "c", -300, 10, "active")], cols)
     new = spark.createDataFrame([(11, 1, day(1, 5), "a", -100, 50, ""), (12, 1, day(1, 6), "b", -200, None, ""), (13, 1, day(1, 5), "c", -300, 11, ""), (14, 1, day(1, 9), "b", -200, None, "")], cols)
-    got = {r.new_id: (r.score, r.verdict) for r in dedupe.near_duplicates(new, old).collect()}
+    covered = spark.createDataFrame([(1, day(1, 1), day(1, 31))], "account_id long, period_start date, period_end date")
+    got = {r.new_id: (r.score, r.verdict) for r in dedupe.near_duplicates(new, old, covered).collect()}
     assert got == {11: (0.97, "held"), 12: (0.72, "review")}
+    assert dedupe.near_duplicates(new, old, covered.limit(0)).count() == 0  # outside coverage the same again is another purchase
 
 
 def test_cash_is_never_overdrawn(spark):
@@ -129,17 +131,121 @@ def test_import_twice_and_known_files(spark, tmp_path):
     (tmp_path / "one.csv").write_text("Date,Description,Amount,Balance\n13/03/2025,Checkers,-350.00,650.00\n14/03/2025,ATM,-100.00,550.00\n14/03/2025,ATM,-100.00,450.00\n")
     rows, bad = files.read_statements(spark, str(tmp_path / "one.csv"))
     rows = rows.withColumn("account_id", F.lit(1).cast("long"))
-    tagged = imports.import_batch(rows, imports.empty_ledger(spark), dims.rules(spark), str(tmp_path / "w1"))
+    tagged = imports.import_batch(rows, imports.empty_ledger(spark), imports.empty_statements(spark), dims.rules(spark), str(tmp_path / "w1"))
     assert [r.n_imported for r in imports.counters(tagged, bad.withColumn("account_id", F.lit(1).cast("long"))).collect()] == [3]
-    ledger = imports.additions(tagged)
+    ledger, seen = imports.additions(tagged), imports.statements_of(tagged)
+    assert [(str(r.period_start), str(r.period_end), r.n_rows) for r in seen.collect()] == [("2025-03-13", "2025-03-14", 3)]
     assert sum(r.is_cash_withdrawal for r in ledger.collect()) == 2
-    assert imports.import_batch(rows, ledger, dims.rules(spark), str(tmp_path / "w2")).count() == 0  # the file is known
-    again = imports.import_batch(rows, ledger, dims.rules(spark), str(tmp_path / "w3"), force=True)
+    assert imports.import_batch(rows, ledger, seen, dims.rules(spark), str(tmp_path / "w2")).count() == 0  # the file is known
+    again = imports.import_batch(rows, ledger, seen, dims.rules(spark), str(tmp_path / "w3"), force=True)
     assert {r.outcome for r in again.collect()} == {"exact"}
     (tmp_path / "two.csv").write_text("Date,Description,Amount\n13/03/2025,Checkers,-350.00\n15/03/2025,Checkers,-350.00\n16/03/2025,Engen,-1.00\n")
     more = files.read_statements(spark, str(tmp_path / "two.csv"))[0].withColumn("account_id", F.lit(1).cast("long"))
-    got = imports.import_batch(more, ledger, dims.rules(spark), str(tmp_path / "w4"))
-    assert [(r.outcome, r.status) for r in got.orderBy("row_ordinal").collect()] == [("held", "duplicate"), ("review", "active"), ("imported", "active")]
+    got = imports.import_batch(more, ledger, seen, dims.rules(spark), str(tmp_path / "w4"))
+    assert [(r.outcome, r.status) for r in got.orderBy("row_ordinal").collect()] == [("held", "duplicate"), ("imported", "active"), ("imported", "active")]
+    assert [(r.outcome, r.detail) for r in imports.audit(got, F.lit(None)).collect()] == [("imported", "2 imported, 0 exact, 1 held, 0 for review")]
+
+
+def _import(spark, tmp_path, name, lines, ledger=None, seen=None, head="Date,Description,Amount,Balance"):
+    (tmp_path / f"{name}.csv").write_text("\n".join([head, *lines]) + "\n")
+    rows = files.read_statements(spark, str(tmp_path / f"{name}.csv"))[0].withColumn("account_id", F.lit(1).cast("long"))
+    ledger = imports.empty_ledger(spark) if ledger is None else ledger
+    return imports.import_batch(rows, ledger, imports.empty_statements(spark) if seen is None else seen, dims.rules(spark), str(tmp_path / f"w-{name}"))
+
+
+def test_repeat_outside_coverage_is_no_duplicate(spark, tmp_path):
+    head = "Date,Description,Amount"
+    first = _import(spark, tmp_path, "a", ["13/03/2025,Vida e Caffe,-45.00", "14/03/2025,Monthly fee,-69.00"], head=head)
+    then = _import(spark, tmp_path, "b", ["15/03/2025,Vida e Caffe,-45.00", "17/03/2025,Account fee,-69.00"], imports.additions(first), imports.statements_of(first), head)
+    assert {r.outcome for r in then.collect()} == {"imported"}
+
+
+def test_fees_of_one_name_are_not_one_row(spark, tmp_path):
+    head = "Date,Description,Amount"
+    first = _import(spark, tmp_path, "a", ["13/03/2025,Monthly fee,-69.00", "16/03/2025,Engen,-1.00"], head=head)
+    then = _import(spark, tmp_path, "b", ["14/03/2025,Account fee,-69.00", "14/03/2025,Monthly fee,-69.00"], imports.additions(first), imports.statements_of(first), head)
+    assert [r.outcome for r in then.orderBy("row_ordinal").collect()] == ["imported", "review"]
+
+
+def test_another_card_mask_is_the_same_row(spark, tmp_path):
+    first = _import(spark, tmp_path, "a", ["13/03/2025,CARD PURCHASE 4067****1234 CHECKERS SANDTON ZA,-350.00,650.00", "14/03/2025,Engen,-1.00,649.00"])
+    then = _import(spark, tmp_path, "b", ["13/03/2025,POS PURCHASE 5599****9876 CHECKERS 13/03,-350.00,650.00", "14/03/2025,Engen,-1.00,649.00"], imports.additions(first), imports.statements_of(first))
+    assert {r.outcome for r in then.collect()} == {"exact"}
+
+
+def test_equal_purchases_of_a_day_survive_and_overlap_is_known(spark, tmp_path):
+    lines = ["13/03/2025,Kiosk,-10.00", "13/03/2025,Kiosk,-10.00", "14/03/2025,Bakery,-20.00"]
+    first = _import(spark, tmp_path, "a", lines, head="Date,Description,Amount")
+    assert [r.outcome for r in first.collect()] == ["imported"] * 3
+    then = _import(spark, tmp_path, "b", [*lines, "15/03/2025,Bakery,-5.00"], imports.additions(first), imports.statements_of(first), "Date,Description,Amount")
+    assert [r.outcome for r in then.orderBy("row_ordinal").collect()] == ["exact", "exact", "exact", "imported"]
+
+
+def test_user_choice_survives_reclassification(spark):
+    rows = [(1, 1, "QWERTY TRADING", -100), (2, 1, "QWERTY TRADING", -200), (3, 2, "QWERTY TRADING", -300)]
+    l = classify.classify(spark.createDataFrame(rows, "id long, account_id long, description_raw string, amount_cents long"), dims.rules(spark)).withColumnRenamed("merchant", "merchant_norm")
+    m = spark.createDataFrame([(1, "qwertytrading", None), (2, "qwertytrading", None)], "account_id long, canonical string, default_category string")
+    l, rules, m = mutate.set_category(l, spark.createDataFrame([(1, "Gifts & Donations")], "id long, new_category string"), dims.rules(spark), m)
+    assert {(r.account_id, r.default_category) for r in m.collect()} == {(1, "Gifts & Donations"), (2, None)}
+    again = classify.reclassified(l.withColumnRenamed("merchant_norm", "merchant"), rules, all_but_user=True)
+    got = {r.id: (r.category, r.category_source) for r in again.collect()}
+    assert got == {1: ("Gifts & Donations", "user"), 2: ("Gifts & Donations", "rule"), 3: ("Uncategorised", "default")}
+
+
+def test_receipt_beats_a_default_but_nothing_else(spark):
+    rows = [(1, "Uncategorised", "default", "Shop"), (2, "Groceries", "rule", "Shop"), (3, "Pets", "user", "Shop"), (4, None, "unset", "Unknown")]
+    l = spark.createDataFrame(rows, "id long, category string, category_source string, merchant_norm string")
+    r = spark.createDataFrame([(10 + i, i, "matched", "Cafe", "Coffee & Snacks") for i in range(1, 5)], "receipt_id long, txn_id long, link_status string, merchant_norm string, category string")
+    got = {x.id: (x.category, x.category_source, x.merchant_norm) for x in mutate.enrich(l, r).collect()}
+    assert got == {1: ("Coffee & Snacks", "receipt", "Shop"), 2: ("Groceries", "rule", "Shop"), 3: ("Pets", "user", "Shop"), 4: ("Coffee & Snacks", "receipt", "Cafe")}
+
+
+def test_profile_overrides_the_header(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("A;B;C;D\nx;1.00;25.00;03/04/2025\ny;2.00;-5.00;03/25/2025\n")
+    lines = files.scan(spark, str(tmp_path / "p.csv"))
+    profiles = spark.createDataFrame([("own", 3, None, 2, None, None, None, None, None, [0], False, False)], files.PROFILE)
+    rows, _ = files.typed(lines, lines.select("file").distinct().withColumn("profile", F.lit("own")), profiles)
+    assert [(r.description_raw, str(r.txn_date), r.amount_cents) for r in rows.orderBy("line_no").collect()] == [("x", "2025-03-04", -2500), ("y", "2025-03-25", 500)]
+
+
+def test_windows_bytes_and_posting_dates(spark, tmp_path):
+    (tmp_path / "w.csv").write_bytes("Transaction Date,Posting Date,Description,Amount\n01/03/2025,03/03/2025,Price €5 – Café,-5.00\n".encode("cp1252"))
+    r = files.read_statements(spark, str(tmp_path / "w.csv"))[0].first()
+    assert r.description_raw == "Price €5 – Café" and str(r.posted_date) == "2025-03-03" and str(r.txn_date) == "2025-03-01"
+
+
+def test_recurring_ignores_held_rows_and_sees_newer_one_offs(spark):
+    charge = lambda i, d, status: (i, 1, d, "Netflix", "Subscriptions & Streaming", 0, status, -19900, None)
+    rows = [charge(m, day(m, 5), "active") for m in (1, 2, 3)] + [charge(10 + m, day(m, 6), "duplicate") for m in (1, 2, 3)]
+    rows.append((99, 1, day(9, 1), "Once", None, 0, "active", -100, None))
+    r = recurring.recurring(spark.createDataFrame(rows, LEDGER)).first()
+    assert (r.n, r.total_cents, r.active) == (3, 59700, False)
+
+
+def test_cash_slips_reveal_their_own_categories(spark):
+    l = march(spark)
+    slips = spark.createDataFrame([(1, "Groceries"), (2, None)], "receipt_id long, category string")
+    drawn = spark.createDataFrame([(1, 1, 9, 45000), (1, 2, 9, 5000), (1, 1, 777, 1)], "account_id long, receipt_id long, withdrawal_id long, amount_cents long")
+    assert {(r.category, r.cents) for r in report.cash_revealed(drawn, slips, l).collect()} == {("Groceries", 45000), ("Uncategorised", 5000)}
+
+
+def test_findings_are_ranked_and_valid(spark):
+    l = march(spark)
+    found = advice.ranked(advice.advice(l)).orderBy("rank").collect()
+    assert [r.saving for r in found] == sorted((r.saving for r in found), reverse=True) and {r.difficulty for r in found} <= {"easy", "moderate", "hard"}
+    t = advice.advice_totals(advice.advice(l), l).first()
+    assert t.valid and t.easy_cents + t.moderate_cents + t.hard_cents == t.monthly_cents
+
+
+def test_cluster_without_shared_folder_is_refused(monkeypatch):
+    import types
+
+    import pytest
+    from brassledger import store
+
+    spark = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d=None: d), sparkContext=types.SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        store.work_path(spark, "x")
 
 
 def test_monthly_subscription(spark):
@@ -150,7 +256,7 @@ def test_monthly_subscription(spark):
 
 def test_savings_stay_under_headroom(spark):
     l = march(spark)
-    total = advice.advice_totals(advice.advice(l)).first()
+    total = advice.advice_totals(advice.advice(l), l).first()
     room = advice.headroom(l).agg(F.sum("ceiling")).first()[0]
     assert 0 < total.monthly_cents <= room
 

@@ -11,7 +11,7 @@ def test_equals_sql(spark, sf_dir, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"statement_files_parsed"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_has_rows(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
