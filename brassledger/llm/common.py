@@ -53,18 +53,40 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage, so a lost executor costs no recomputation of what
-    came before, and an expensive column is computed once.
+    came before, and an expensive column is computed once. The shuffle files of
+    the write are removed with it: what reads the table needs them no more.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        hadoop = spark._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+            path.getFileSystem(hadoop).delete(path, True)
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Ship the code and bound the rows of this session's Arrow batches (never raises them)."""
     ship(spark)
@@ -76,13 +98,8 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """So many rows in an Arrow batch of what is run (not only planned) inside."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
-    try:
+    with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
         yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def row_hash(df: DataFrame) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -44,7 +44,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     e = materialize(e, "links")
     mark = _mark(e)
     while mark[0]:
-        e = materialize(_small_star(_large_star(e)), "links")
+        before, e = e, materialize(_small_star(_large_star(e)), "links")
+        discard(before)
         last, mark = mark, _mark(e)
         if mark == last:
             break
