@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, mixing, packing, quality, secrets, simhash, tokenfile, vectors, warc
+from . import codes, html, language, mixing, packing, quality, secrets, simhash, tokenfile, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,14 +55,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(_table(spark, sf_dir, "documents"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_vectors, op3_warc, op4_language, op5_main_text,
         op6_packing, op7_token_files, op8_secrets, op9_mixing, op10_quality,
+        op11_codes,
     )
 }
 
 #: The others hash, tokenise, learn or parse in ways that SQL does not express;
 #: tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL, "op11_codes": codes.oracle_sql()}
