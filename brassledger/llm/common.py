@@ -20,6 +20,9 @@ BATCH_ROWS = 256
 #: Bytes of input for each part of an ordered table, and parts at most.
 PART_BYTES, MAX_PARTS = 64 << 20, 1 << 20
 
+#: An estimate from here on means that Spark does not know; a row then counts as so many bytes.
+UNKNOWN_BYTES, UNKNOWN_ROW_BYTES = 1 << 60, 1 << 12
+
 #: Bytes of a table that may be broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -156,6 +159,8 @@ def parts_for(df: DataFrame) -> int:
     """So many parts that one holds about ``PART_BYTES`` of the input, by the size
     that Spark estimates for ``df``; never fewer than the shuffle partitions."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN_BYTES:  # not a table of files: by its rows
+        size = df.count() * UNKNOWN_ROW_BYTES
     return max(shuffle_partitions(df.sparkSession), min(MAX_PARTS, -(-size // PART_BYTES)))
 
 

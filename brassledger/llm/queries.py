@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, html, language, mixing, packing, quality, secrets, simhash, tokenfile, urls, vectors, warc
+from . import codes, html, language, mixing, packing, quality, repair, secrets, simhash, tokenfile, urls, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,15 +63,20 @@ def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_table(spark, sf_dir, "pages")).drop("score")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.report(repair.damaged(rows), rows.select("conv_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash, op2_vectors, op3_warc, op4_language, op5_main_text,
         op6_packing, op7_token_files, op8_secrets, op9_mixing, op10_quality,
-        op11_codes, op12_urls,
+        op11_codes, op12_urls, op13_repair,
     )
 }
 
 #: The others hash, tokenise, learn or parse in ways that SQL does not express;
 #: tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL, "op11_codes": codes.oracle_sql(), "op12_urls": urls.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL, "op11_codes": codes.oracle_sql(), "op12_urls": urls.oracle_sql(), "op13_repair": repair.oracle_sql()}
