@@ -108,7 +108,10 @@ def set_category(ledger: DataFrame, changes: DataFrame, rules: DataFrame, mercha
     kept = rules.join(learned.select("account_id", "pattern", "source"), ["account_id", "pattern", "source"], "left_anti").withColumn("rule_id", F.col("rule_id").cast("long"))
     if merchants is not None:
         mine = learned.select("account_id", canonical_key(F.col("merchant")).alias("canonical"), F.col("category").alias("_new")).dropDuplicates(["account_id", "canonical"])
+        shared = merchants.where("account_id IS NULL").select("canonical").distinct()
+        added = mine.join(shared, "canonical", "left_semi").join(merchants.where("account_id IS NOT NULL"), ["account_id", "canonical"], "left_anti")
         merchants = merchants.join(mine, ["account_id", "canonical"], "left").withColumn("default_category", F.coalesce("_new", "default_category")).drop("_new")
+        merchants = merchants.unionByName(added.withColumnRenamed("_new", "default_category"), allowMissingColumns=True)
     return l, kept.unionByName(learned, allowMissingColumns=True), merchants
 
 

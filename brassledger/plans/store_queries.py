@@ -252,6 +252,20 @@ def merchant_defaults(s, d):
     return classify.classify(view(s, d, "narrations"), dims.rules(s), known).select("id", "account_id", "category", "category_source")
 
 
+@query(f"""WITH c AS ({_RULED}), o AS (SELECT DISTINCT account_id FROM c WHERE merchant ILIKE 'qwerty trading' AND id % 60 = 11)
+SELECT id, c.account_id, CASE WHEN category_source = 'default' AND amount_cents < 0 THEN CASE WHEN o.account_id IS NULL THEN 'Shopping & Clothing' ELSE 'Gifts & Donations' END ELSE category END AS category,
+ CASE WHEN category_source = 'default' AND amount_cents < 0 THEN 'merchant' ELSE category_source END AS category_source FROM c LEFT JOIN o USING (account_id)""")
+def account_defaults(s, d):
+    """Accounts correct a merchant; the merchants that come back are given to the
+    classification: theirs is their choice, for all others the shared default stays."""
+    n, rules = view(s, d, "narrations"), dims.rules(s)
+    known = s.range(1).select(F.lit(None).cast("long").alias("account_id"), F.lit("qwertytrading").alias("canonical"), F.lit("Shopping & Clothing").alias("default_category"))
+    l = classify.classify(n, rules, known).withColumnRenamed("merchant", "merchant_norm")
+    changes = l.where("id % 60 = 11").select("id", F.lit("Gifts & Donations").alias("new_category"))
+    _, _, known = mutate.set_category(l, changes, rules, known)
+    return classify.classify(n, rules, known).select("id", "account_id", "category", "category_source")
+
+
 @query(f"""WITH c AS ({_RULED}) SELECT id, account_id, CASE WHEN id % 4 = 0 THEN 'Gifts' ELSE category END AS category, CASE WHEN id % 4 = 0 THEN 'user' ELSE category_source END AS category_source,
  CASE WHEN id % 4 = 0 THEN 'eft' WHEN txn_type = 'other' THEN 'eft' ELSE txn_type END AS txn_type FROM c""")
 def reclassified_rows(s, d):

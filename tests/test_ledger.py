@@ -322,3 +322,69 @@ def test_json_report_sums_to_the_ledger(spark):
     l = march(spark)
     one = json.loads(report.report_json(report.category_breakdown(l), report.reconciliation(l)).first().report)
     assert sum(x["cents"] for x in one["categories"]) == one["outflow_cents"] and one["categories"][0]["category"] == "Housing"
+
+
+def _plain_rules(rows, rules):
+    """First rule of each field for each narration, every rule tried on every one."""
+    from brassledger.functions.text import clean_description, merchant_name  # noqa: F401  (names are given)
+
+    out = {}
+    for i, text, name in rows:
+        hits = []
+        for rule_id, priority, field, kind, pattern, category in rules:
+            subject, p = (name if field == "merchant" else text).lower(), pattern.lower()
+            hit = {"contains": p in subject, "exact": subject.strip(" ") == p.strip(" "), "startswith": subject.startswith(p)}[kind]
+            if hit and subject:
+                hits.append((priority, rule_id, category))
+        out[i] = min(hits)[2] if hits else "Uncategorised"
+    return out
+
+
+def test_rules_by_their_rarest_trigram(spark):
+    """All kinds of text rules at once, patterns under three characters among them."""
+    import random
+
+    rng = random.Random(4)
+    words = ["shop", "cafe", "ab", "abc", "bcd", "zz top", "pharmacy", "fuel", "a", "", "éclair", "müller", "shop cafe"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))).strip()) for i in range(300)]
+    rules = [(k, rng.randrange(5), "description", rng.choice(["contains", "exact", "startswith"]), rng.choice(words[:9] + words[10:]) + rng.choice(["", " ", " c", "x"]), f"c{k}") for k in range(120)]
+    table = spark.createDataFrame([(*r, None, None, "default") for r in rules], "rule_id long, priority int, field string, match_type string, pattern string, category string, merchant string, txn_type string, source string")
+    df = spark.createDataFrame([(i, t, -100) for i, t in rows], "id long, description_raw string, amount_cents long")
+    out = classify.classify(df, table)
+    assert {r.id: r.category for r in out.collect()} == _plain_rules([(i, t, "") for i, t in rows], rules)
+
+
+def test_a_large_rule_pack_is_not_met_by_nested_loops(spark):
+    pack = spark.range(100000).select(
+        (F.col("id") % 4 * 1000000 + F.col("id")).alias("rule_id"), F.lit(5).alias("priority"), F.lit("description").alias("field"), F.lit("contains").alias("match_type"),
+        F.concat(F.lit("vendor "), F.col("id"), F.lit(" ltd")).alias("pattern"), F.concat(F.lit("c"), F.col("id")).alias("category"),
+        F.lit(None).cast("string").alias("merchant"), F.lit(None).cast("string").alias("txn_type"), F.lit("default").alias("source"),
+    )
+    rows = spark.range(0, 200000, 997).select("id", F.concat(F.lit("Payment to VENDOR "), F.col("id"), F.lit(" LTD thanks")).alias("description_raw"), F.lit(-5).cast("long").alias("amount_cents"))
+    out = classify.classify(rows, pack)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert {r.id: r.category for r in out.collect()} == {i: f"c{i}" if i < 100000 else "Uncategorised" for i in range(0, 200000, 997)}
+
+
+def test_bad_regexes_are_listed_and_match_nothing(spark):
+    named = [(1, "regex", "(vida) E"), (2, "regex", "("), (3, "regex", "(?P<n>vida)"), (4, "contains", "shop"), (5, "regex", None), (6, "regex", "\\p{L}"), (7, "regex", "(?(1)a|b)")]
+    rules = spark.createDataFrame([(i, 1, "description", k, p, f"c{i}", None, None, "default") for i, k, p in named], dims.rules(spark).schema)
+    assert {r.rule_id for r in classify.rejected_rules(rules).collect()} == {2, 3, 6, 7}
+    rows = spark.createDataFrame([(1, "VIDA E CAFFE", -5), (2, "a shop", -5), (3, None, -5), (4, "", -5)], "id long, description_raw string, amount_cents long")
+    assert {r.id: r.category for r in classify.classify(rows, rules).collect()} == {1: "c1", 2: "c4", 3: "Uncategorised", 4: "Uncategorised"}
+
+
+def test_defaults_of_accounts_come_before_shared_ones(spark):
+    rows = spark.createDataFrame([(i, a, "QWERTY TRADING", -5) for i, a in enumerate([1, 2, 3, 1])], "id long, account_id long, description_raw string, amount_cents long")
+    key = "qwertytrading"
+    merchants = spark.createDataFrame([(1, key, "Pets"), (2, key, "Fuel"), (None, key, "Gifts"), (2, key, "Home"), (9, key, "Fees"), (1, None, "Fees")], "account_id long, canonical string, default_category string")
+    got = sorted((r.id, r.category, r.category_source) for r in classify.classify(rows, dims.rules(spark), merchants).collect())
+    assert got == [(0, "Pets", "merchant"), (1, "Fuel", "merchant"), (2, "Gifts", "merchant"), (3, "Pets", "merchant")]
+    # What a correction returns can be given back: an account's choice is its own.
+    ledger = classify.classify(rows, dims.rules(spark), merchants.where("account_id IS NULL")).withColumnRenamed("merchant", "merchant_norm")
+    change = spark.createDataFrame([(1, "Travel")], "id long, new_category string")
+    ledger, rules, known = mutate.set_category(ledger, change, dims.rules(spark), merchants.where("account_id IS NULL"))
+    assert sorted((r.account_id or 0, r.default_category) for r in known.collect()) == [(0, "Gifts"), (2, "Travel")]
+    again = classify.classify(rows, dims.rules(spark), known).collect()
+    assert sorted((r.id, r.category) for r in again) == [(0, "Gifts"), (1, "Travel"), (2, "Gifts"), (3, "Gifts")]
