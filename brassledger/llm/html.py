@@ -1,8 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. Pass one decides blocks by
-stop-word density, length and link density, and those whose markup says what
-they are; short and middling blocks stay open. In pass two an open block
+stop-word density, length and link density, and those whose markup says that they
+are no article; short and middling blocks stay open. In pass two an open block
 inherits the label of its nearest decided neighbours. Rules after Pomikalek,
 "Removing Boilerplate and Duplicate Content from Web Corpora" (2011).
 
@@ -29,16 +29,27 @@ BLOCKS = frozenset(
     "head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select".split())
+RAW = frozenset("script style noscript template textarea title iframe object svg math select button label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are no part of an article, wherever they stand; a header is none
 #: inside an article, where it holds the title.
 FURNITURE = frozenset("aside dialog footer menu nav".split())
 #: Words of class, id and role names that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement adsbygoogle sponsor sponsored promo promotion banner sidebar aside comment comments respond reply replies "
-    "disqus cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login share sharing social related recommended "
+    "disqus review reviews discussion discussions rating ratings feedback cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login share sharing social related recommended "
     "breadcrumb breadcrumbs menu nav navbar navigation pagination pager footer header masthead toolbar widget popup modal overlay disclaimer copyright skip".split()
 )
+#: Marks of what is no part of an article however long it is and whatever it holds.
+APART = frozenset(
+    "ad ads advert adverts advertisement adsbygoogle comment comments respond reply replies disqus review reviews discussion discussions rating ratings "
+    "feedback cookie cookies consent gdpr notice newsletter subscribe subscription signup login popup modal overlay".split()
+)
+#: A heading that says only this belongs to the comments below it.
+COMMENTS = re.compile(
+    r"\W*(?:\d+\s+)?(?:reader\s+|user\s+)?(?:comments?|responses|replies|discussion|kommentare?|commentaires?|comentarios?|leave a (?:comment|reply)|post a comment)"
+    r"(?:\s*\(\d+\))?\W*", re.IGNORECASE
+)
 #: Words that may stand beside a mark in one name without changing what it says.
 LAYOUT = frozenset(
     "area article bar block bottom box button buttons card cell col column container content entry feed form global group holder icon icons inner item items js left "
@@ -60,10 +71,6 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 70, 200
 LOW_STOP, HIGH_STOP = 0.15, 0.30
 MAX_LINKS = 0.33
-#: A marked element (or a form) that holds this share of a page's text, or of an
-#: article's, is a wrapper of it, and its mark counts for nothing.
-WRAPPER = 0.5
-
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL
 )
@@ -79,10 +86,23 @@ class Element:
 
     up: Element | None
     hard: bool = False  # never part of an article
-    soft: bool = False  # marked by a name, or a form
+    mark: str = ""  # "apart", "form" or "other": what its name says
     article: int = 0  # number of the article element around it, 0 if none
-    size: int = 0  # characters of text inside, links aside
-    own: int = 0  # number of the article that this element is, 0 if none
+    holds_article: bool = False
+    holds_title: bool = False  # a heading of the page's highest level
+    holds_prose: bool = False  # a long block without links
+    holds_frame: bool = False  # a page's own header, navigation or footer
+    blocks: int = 0  # of what may be article
+
+    def furniture(self, all_blocks: int) -> bool:
+        """A mark counts unless its element wraps the article: what holds the article
+        element, or the title and prose, or every block that may be article, is a
+        wrapper; length says nothing."""
+        if self.hard or self.mark == "apart":
+            return True
+        wraps = self.holds_article or self.blocks == all_blocks > 0
+        titled = self.holds_title and self.holds_prose and (self.mark != "form" or self.holds_frame)
+        return bool(self.mark) and not wraps and not titled
 
 
 @dataclass
@@ -95,25 +115,28 @@ class Block:
     article: int  # number of the article element that holds it, 0 if none
 
 
-def _marked(attrs: str) -> bool:
-    """Do class, id or role name what is not the article? Every word of a name must
-    be a mark or a word of layout, one of them a mark, and none a state."""
+def _marked(attrs: str) -> str:
+    """What class, id or role say: "apart", "other" or nothing. Every word of a name
+    must be a mark or a word of layout, one of them a mark, and none a state."""
+    said = ""
     for m in _NAMES.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").split():
             bits = {b.lower() for b in _BITS.findall(name)}
             if bits & MARKS and bits <= MARKS | LAYOUT:
-                return True
-    return False
+                if bits & APART:
+                    return "apart"
+                said = "other"
+    return said
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page, in order; broken markup is taken as it comes."""
-    found: list[tuple[str, int, bool, bool, Element]] = []
+    found: list[tuple[str, int, int, bool, Element]] = []
     root = Element(None)
     stack: list[tuple[str, Element]] = []
     names: Counter[str] = Counter()  # of the open elements
     pieces: list[str] = []
-    linked, in_link, heading, n_articles, at = 0, False, False, 0, 0
+    linked, in_link, level, n_articles, at = 0, False, 0, 0, 0
 
     def text_to(end: int) -> None:
         nonlocal linked
@@ -131,8 +154,7 @@ def blocks_of(page: str) -> list[Block]:
             text = _SPACE.sub(" ", "".join(pieces)).strip()
             if text:
                 name, element = stack[-1] if stack else ("", root)
-                element.size += max(0, len(text) - linked)
-                found.append((text, linked, heading, name == "li", element))
+                found.append((text, linked, level, name == "li", element))
             pieces.clear()
         linked = 0
 
@@ -168,53 +190,53 @@ def blocks_of(page: str) -> list[Block]:
                         names[gone] -= 1
                         if gone == name:
                             break
-                heading = False
+                level = 0
             elif name not in VOID:
                 if stack and stack[-1][0] == "p":  # a paragraph ends where a block begins
                     stack.pop()
                     names["p"] -= 1
                 element = up = stack[-1][1] if stack else root
                 attrs = m[3]
+                mark = _marked(attrs) if attrs else ""
                 if name in ("article", "main"):
                     n_articles += 1
-                    element = Element(up, article=up.article or n_articles, own=n_articles)
+                    apart = mark if mark == "apart" else ""  # a reader's comment may be an article element
+                    element = Element(up, mark=apart, article=up.article or n_articles, holds_article=not apart)
                 elif name not in ("html", "body"):
                     hidden = bool(attrs) and ("hidden" in attrs or "none" in attrs) and bool(_HIDDEN.search(attrs))
                     hard = hidden or name in FURNITURE or (name == "header" and not up.article)
-                    soft = name == "form" or (bool(attrs) and _marked(attrs))
-                    if hard or soft:
-                        element = Element(up, hard, soft, up.article)
+                    mark = "form" if name == "form" and mark != "apart" else mark
+                    if hard or mark:
+                        element = Element(up, hard, mark, up.article, holds_frame=hard and name in ("header", "nav", "footer"))
                 if element is not up:
                     elements.append(element)
                 stack.append((name, element))
                 names[name] += 1
-                heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
+                level = int(name[1]) if name in HEADINGS else 0
     close()
     return _decided(found, elements)
 
 
-def _decided(found: list[tuple[str, int, bool, bool, Element]], elements: list[Element]) -> list[Block]:
+def _decided(found: list[tuple[str, int, int, bool, Element]], elements: list[Element]) -> list[Block]:
     """The blocks, with what the markup of all elements around them says."""
+    outside = lambda e: e.hard or e.mark == "apart"
+    top = min((level for _, _, level, _, e in found if level and not outside(e)), default=0)
+    for text, linked, level, _, e in found:
+        e.holds_title |= bool(level) and level == top
+        e.holds_prose |= len(text) - linked > LONG
+        e.blocks += 1
     for e in reversed(elements):  # an element comes after the one that holds it
-        if e.up is not None and not e.hard:
-            e.up.size += e.size
-    whole = {e.own: e.size for e in elements if e.own} | {0: elements[0].size}
+        if e.up is not None:
+            e.up.holds_frame |= e.holds_frame
+            if not outside(e):
+                e.up.holds_article |= e.holds_article
+                e.up.holds_title |= e.holds_title
+                e.up.holds_prose |= e.holds_prose
+                e.up.blocks += e.blocks
     state: dict[int, bool] = {id(elements[0]): False}
     for e in elements[1:]:
-        # A mark that holds most of the article, or of a page, is that of a wrapper.
-        mark = e.soft and not (whole.get(e.article, 0) and e.size >= WRAPPER * whole[e.article])
-        state[id(e)] = state[id(e.up)] or e.hard or mark
-        if e.own and e.own == e.article:  # an article keeps out of marks of what is around it, but not of comments
-            state[id(e)] = _in_furniture(e.up, elements[0].size)
-    return [Block(t, k, h, i, state[id(e)], e.article) for t, k, h, i, e in found]
-
-
-def _in_furniture(e: Element | None, page: int) -> bool:
-    while e is not None:
-        if e.hard or (e.soft and e.size < WRAPPER * page):
-            return True
-        e = e.up
-    return False
+        state[id(e)] = state[id(e.up)] or e.furniture(elements[0].blocks)
+    return [Block(t, k, bool(h), i, state[id(e)] or (bool(h) and bool(COMMENTS.fullmatch(t))), e.article) for t, k, h, i, e in found]
 
 
 GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"

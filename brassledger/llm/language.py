@@ -201,7 +201,8 @@ def training_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     usable = docs.where((key % 3 != 1) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     spot = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     known = usable.select(F.col(lang_col).alias("lang"), spot.alias("h"))
-    top = materialize(known.groupBy("lang").count(), "languages")
+    # Distinct ids, as rows may repeat one: the first filter below looks at ids.
+    top = materialize(known.groupBy("lang").agg(F.countDistinct("h").alias("count")), "languages")
     docs_per_lang = max(1, min(docs_per_lang, TRAIN_TOTAL // max(1, top.count())))
     # About twice the wanted rows pass the first filter, however many there are;
     # only those are ranked.

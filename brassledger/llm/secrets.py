@@ -38,20 +38,18 @@ CLASSES = (
     ("alphanumeric", re.compile(r"[0-9A-Za-z]+"), 3.7),
     ("base64", re.compile(r"[0-9A-Za-z+/_=-]+"), 3.9),
 )
-#: A window holds so many digits, and so many other characters, at least.
-MIN_DIGITS = 2
-#: Candidates that are no secrets: words (joined or not) and numbers; and parts
-#: of candidates: UUIDs, and what between two marks holds one of the usual
-#: alphabets or is an example. No window reaches into such a part.
-ALLOWED = (
-    re.compile(r"[A-Za-z]+([-_/+=][A-Za-z]+)*[-_/+=]*"),
-    re.compile(r"[0-9_/+=-]+"),
-)
-ALLOWED_PARTS = re.compile(
-    r"(?i)(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])"
-    r"|[0-9a-z]*(?:0123456789abcdef|abcdefghijklmnopqrstuvwxyz|example|placeholder|changeme)[0-9a-z]*"
-)
+#: A window holds so many digits, and so many other characters, at least; or it
+#: holds so many capital and so many small letters, as joined words do not; or its
+#: bits are so many that no words of one case reach them.
+MIN_DIGITS, MIN_CASE, LETTER_BITS = 2, 6, 4.0
+#: Parts of candidates that are no secrets: UUIDs, and what between two marks holds
+#: one of the usual alphabets or is an example. No window reaches into such a part.
+UUID = re.compile(r"(?i)(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])")
+BETWEEN_MARKS = re.compile(r"[0-9A-Za-z]+")
+HARMLESS = ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "example", "placeholder", "changeme")
 _CLASS_OF = {c: k for k in reversed(range(len(CLASSES))) for c in map(chr, range(128)) if CLASSES[k][1].fullmatch(c)}
+#: 0 digits, 1 capital letters, 2 small letters, 3 marks.
+_SORT_OF = {c: 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in map(chr, range(128))}
 _NLOGN = [0.0, *(n * math.log2(n) for n in range(1, 4 * WINDOW))]
 
 
@@ -73,28 +71,47 @@ def entropy_windows(run: str, width: int = WINDOW) -> list[float]:
     return out
 
 
+def allowed_parts(run: str) -> Iterable[tuple[int, int]]:
+    """Harmless parts of a candidate, in time linear in its length."""
+    for m in UUID.finditer(run):
+        yield m.span()
+    low = run.lower()
+    if any(w in low for w in HARMLESS):
+        for m in BETWEEN_MARKS.finditer(low):
+            if any(w in m[0] for w in HARMLESS):
+                yield m.span()
+
+
 def entropy_spans(text: str) -> Iterable[tuple[int, int]]:
+    """Spans of joined windows. Counts of digits, of both cases and of each class
+    are kept up to date beside the entropy."""
     needs = [*(bits for _, _, bits in CLASSES), math.inf]
     for m in CANDIDATE.finditer(text):
         run = m[0]
-        if any(a.fullmatch(run) for a in ALLOWED):
-            continue
         kinds = [_CLASS_OF[c] for c in run]
-        for part in ALLOWED_PARTS.finditer(run):
-            kinds[part.start() : part.end()] = [len(CLASSES)] * len(part[0])
-        digits = [c.isdigit() for c in run]
-        held = [0] * len(needs)  # characters of each class in the window
-        for k in kinds[: WINDOW - 1]:
+        for a, b in allowed_parts(run):
+            kinds[a:b] = [len(CLASSES)] * (b - a)
+        sorts = [_SORT_OF[c] for c in run]
+        held, case = [0] * len(needs), [0] * 4
+        for k, t in zip(kinds[: WINDOW - 1], sorts, strict=False):
             held[k] += 1
-        inside, letters, found = sum(digits[:WINDOW]), 0, None
+            case[t] += 1
+        found = None
         for i, bits in enumerate(entropy_windows(run)):
             held[kinds[i + WINDOW - 1]] += 1
+            case[sorts[i + WINDOW - 1]] += 1
             if i:
-                inside += digits[i + WINDOW - 1] - digits[i - 1]
                 held[kinds[i - 1]] -= 1
-            letters = WINDOW - inside
+                case[sorts[i - 1]] -= 1
             need = needs[3 if held[3] else 2 if held[2] else 1 if held[1] else 0]
-            if bits >= need and inside >= MIN_DIGITS and letters >= MIN_DIGITS:
+            if bits < need:
+                continue
+            digits, large, small, _ = case
+            if digits >= MIN_DIGITS:
+                key = WINDOW - digits >= MIN_DIGITS
+            else:
+                key = bits >= LETTER_BITS or (large >= MIN_CASE and small >= MIN_CASE)
+            if key:
                 if found and i <= found[1]:
                     found = (found[0], i + WINDOW)
                 else:

@@ -656,3 +656,103 @@ def test_pipeline_stages_take_awkward_tables(spark):
     for d in (awkward(spark), empty(spark)):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, d, "").count()
+
+
+SAYING = "The house by the river is old and the people in it were happy to see us on that day."
+THREAD = "".join(f"<div><p>This is what I have to say about it, and it is a lot of text for a reader like me {i}.</p></div>" for i in range(60))
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '{a}<section id="comments">{t}</section>', '<main>{a}</main><section class="comments">{t}</section>', "<main>{a}<section class='comment-list'>{t}</section></main>",
+        '<div class="cookie-notice">{t}</div>{a}', '{a}<form class="login">{t}</form>', "{a}<form>{t}</form>", '<div class="user-reviews discussion">{t}</div>{a}',
+        '{a}<div class="ad-slot">{t}</div>', "<article>{p}<article class='comment'>{t}</article></article>", '{a}<h2>Comments (60)</h2><div class="discussion">{t}</div>',
+        "<div class='respond'><h2>Kommentare</h2>{t}</div>{a}", "{a}<button>{b}</button><label>{b}</label>", '<div class="newsletter"><h3>News for you</h3>{t}</div>{a}',
+    ],
+)
+def test_furniture_is_none_of_the_article_at_any_length(around):
+    """Comments, notices and forms ten times as long as the article."""
+    p = f"<p>{SAYING}</p>"
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{around.format(a=f'<article><h1>A title</h1>{p}</article>', p=f'<h1>A title</h1>{p}', t=THREAD, b=SAYING)}</body></html>"
+    assert html.extract(page) == f"A title\n{SAYING}"
+
+
+def test_a_page_of_a_notice_alone_is_empty():
+    assert html.extract(f'<body><div class="cookie-notice">{THREAD}</div></body>') == ""
+
+
+@pytest.mark.parametrize("wrap", ['<div class="sidebar">{}</div>', '<form id="page"><header>Site</header>{}</form>', '<div class="header">{}</div>', '<div class="page-widget">{}</div>'])
+def test_wrappers_of_title_and_prose_say_nothing(wrap):
+    page = "<body>" + wrap.format(f"<h1>A title</h1><p>{SAYING} {SAYING} {SAYING}</p>") + "</body>"
+    assert html.extract(page) == f"A title\n{SAYING} {SAYING} {SAYING}"
+
+
+def plain_entropy_spans(text):
+    """Each window by itself, no counts kept."""
+    import math
+    import uuid  # noqa: F401
+
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run, shut = m[0], set()
+        for u in re.finditer(r"(?i)(?<![0-9a-z])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-z])", run):
+            shut |= set(range(*u.span()))
+        for w in re.finditer("[0-9A-Za-z]+", run):
+            if any(x in w[0].lower() for x in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "example", "placeholder", "changeme")):
+                shut |= set(range(*w.span()))
+        hit = []
+        for i in range(len(run) - 19):
+            w = run[i : i + 20]
+            bits = -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values())
+            need = 3.0 if re.fullmatch("[0-9A-Fa-f]+", w) else 3.7 if re.fullmatch("[0-9A-Za-z]+", w) else 3.9
+            digits, large, small = (sum(c in k for c in w) for k in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+            key = 2 <= digits <= 18 or (digits < 2 and (bits >= 4.0 - 1e-9 or (large >= 6 and small >= 6)))
+            if bits >= need - 1e-9 and key and not shut & set(range(i, i + 20)):
+                hit.append((m.start() + i, m.start() + i + 20))
+        for a, b in hit:
+            if out and a <= out[-1][1] and out[-1][0] >= m.start():
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
+
+
+def test_entropy_spans_equal_plain_windows():
+    import random
+
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    kinds = ["0123456789abcdef", letters, letters.upper() + letters, letters.upper() + letters + "0123456789", letters + "-_/+=", "0123456789-"]
+    parts = ["example", "0123456789abcdef", "Placeholder", "12345678-1234-1234-1234-1234567890ab", " ", "\n", "word words ", "=", "_"]
+    for _ in range(150):
+        text = "".join(rng.choice(parts) if rng.random() < 0.3 else "".join(rng.choices(rng.choice(kinds), k=rng.randrange(1, 45))) for _ in range(8))
+        assert list(secrets.entropy_spans(text)) == plain_entropy_spans(text)
+
+
+def test_letter_keys_and_long_runs():
+    import random
+    import time
+
+    rng = random.Random(7)
+    both = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    found = sum(bool(secrets.spans_of("key " + "".join(rng.choices(both, k=32)) + " end")[1]) for _ in range(200))
+    assert found >= 190
+    for name in ("getUserNameFromIdentifierOrDefault", "some-very-long-css-class-name-with-words", "THIS_IS_A_CONSTANT_NAME_OF_PROGRAM", "Donaudampfschifffahrtsgesellschaft"):
+        assert not secrets.spans_of(name)[1]
+    times = []
+    for n in (50_000, 200_000):
+        run, began = "".join(rng.choices(both + "0123456789", k=n)) + "=example", time.perf_counter()
+        assert secrets.spans_of(run)[1]
+        times.append(time.perf_counter() - began)
+    assert times[1] < 10 * times[0] + 1  # linear: four times, and some room
+
+
+def test_a_repeated_id_teaches_its_language(spark):
+    """A language all of whose rows have one id is learned from that document."""
+    rows = [(i, f"the people of the town number {i} were here", "en") for i in range(300)] + [(7, f"die leute der stadt waren hier und dort {k}", "de") for k in range(3000)]
+    df = spark.createDataFrame([(i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string").repartition(3)
+    for one in (7, 9, 12, 13):
+        moved = df.withColumn("doc_id", F.when(F.col("lang") == "de", F.lit(one).cast("long")).otherwise(F.col("doc_id")))
+        langs = Counter(lang for _, lang in language.training_windows(moved))
+        assert langs["de"] == (0 if zlib.crc32(str(one).encode()) % 3 == 1 else 1) and langs["en"] > 100
