@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key
+from ..store import written
 
 KEEP, HOLD = 0.55, 0.90
 
@@ -36,21 +37,44 @@ def covered(rows: DataFrame, statements: DataFrame) -> DataFrame:
     return rows.join(s, (rows.account_id == s.account_id) & rows.txn_date.between(s.period_start, s.period_end), "left_semi")
 
 
+def periods(rows: DataFrame) -> DataFrame:
+    """(account_id, file, period_start, period_end) of the files of a batch."""
+    return rows.groupBy("account_id", "file").agg(F.min("txn_date").alias("period_start"), F.max("txn_date").alias("period_end"))
+
+
+def covered_in_batch(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows whose date an earlier file of the same batch covers: one of the account
+    that comes first by name. Both sides meet on account and month, a file in each
+    month of its period, so an account with many files is many keys."""
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    f = files.select(
+        F.col("account_id").alias("_a"), F.col("file").alias("_f"), "period_start", "period_end",
+        F.explode(F.sequence(month(F.col("period_start")), month(F.col("period_end")))).alias("_month"),
+    )
+    inside = (F.col("account_id") == F.col("_a")) & (month(F.col("txn_date")) == F.col("_month")) & (F.col("_f") < F.col("file"))
+    return rows.join(f, inside & F.col("txn_date").between(F.col("period_start"), F.col("period_end")), "left_semi")
+
+
 def near_duplicates(new: DataFrame, existing: DataFrame, statements: DataFrame, window_days: int = 3, name: str = "merchant_norm") -> DataFrame:
     """(new_id, existing_id, gap_days, score, verdict): pairs of equal account,
     amount and ``name`` at most ``window_days`` apart, unless two known balances
     differ. Only new rows whose date an earlier one of ``statements`` covers are
-    suspected; elsewhere the same again is another purchase. Equal-amount keys
-    carry the join; the date range is its residual."""
-    new = covered(new, statements)
+    suspected; elsewhere the same again is another purchase."""
+    return scored_pairs(covered(new, statements), existing, window_days, name)
+
+
+def scored_pairs(new: DataFrame, existing: DataFrame, window_days: int = 3, name: str = "merchant_norm", earlier_file: bool = False) -> DataFrame:
+    """The pairs of ``near_duplicates`` for rows that are known to be suspect. With
+    ``earlier_file`` the existing rows must be of a file that comes before the new
+    one's. Equal-amount keys carry the join; the date range is its residual."""
     n, e = new.alias("n"), existing.where("status <> 'duplicate'").alias("e")
     gap = F.abs(F.datediff("n.txn_date", "e.txn_date"))
-    pair = n.join(
-        e,
+    meet = (
         (F.col("n.account_id") == F.col("e.account_id"))
         & (F.col("n.amount_cents") == F.col("e.amount_cents"))
-        & F.col("e.txn_date").between(F.date_sub("n.txn_date", window_days), F.date_add("n.txn_date", window_days)),
+        & F.col("e.txn_date").between(F.date_sub("n.txn_date", window_days), F.date_add("n.txn_date", window_days))
     )
+    pair = n.join(e, meet & (F.col("e.file") < F.col("n.file")) if earlier_file else meet)
     same_name = canonical_key(F.col(f"n.{name}")) == canonical_key(F.col(f"e.{name}"))
     both = F.col("n.balance_cents").isNotNull() & F.col("e.balance_cents").isNotNull()
     score = (
@@ -66,3 +90,29 @@ def near_duplicates(new: DataFrame, existing: DataFrame, statements: DataFrame,
 def top_verdict(pairs: DataFrame) -> DataFrame:
     w = Window.partitionBy("account_id", "new_id").orderBy(F.desc("score"), "existing_id")
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def settled(pairs: DataFrame, inside: DataFrame) -> DataFrame:
+    """``pairs`` with ledger rows and those of ``inside`` pairs (rows of earlier files
+    of the batch) that count: an existing row that is itself held does not.
+
+    A row is held if a pair of at least ``HOLD`` is left to it. Whether its partner
+    in the batch is held depends on earlier files only, so repeating the rule until
+    nothing changes ends after as many rounds as files lie one behind the other;
+    only pairs inside the batch take part.
+    """
+    key = ["account_id", "new_id"]
+    by_ledger = written(pairs.where("verdict = 'held'").select(*key).distinct(), "held-by-ledger")
+    sure = written(inside.where("verdict = 'held'").select(*key, "existing_id"), "sure-pairs")
+    held, n_held = by_ledger, -1
+    while True:
+        off = held.select("account_id", F.col("new_id").alias("existing_id"))
+        now = sure.join(off, ["account_id", "existing_id"], "left_anti").select(*key).unionByName(by_ledger).distinct()
+        now = written(now, "held")
+        n_now = now.count()
+        same = n_now == n_held and now.join(held, key, "left_anti").isEmpty()
+        held, n_held = now, n_now
+        if same:
+            break
+    off = held.select("account_id", F.col("new_id").alias("existing_id"))
+    return pairs.unionByName(inside.join(off, ["account_id", "existing_id"], "left_anti"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity_key
+from ..store import written
 from . import dedupe
 from .classify import classify
 
@@ -39,10 +40,14 @@ def import_batch(
     is known, or stands earlier in the batch), ``held`` (surely a duplicate; its
     status says so), ``review`` (perhaps one) and ``imported``. All but ``exact``
     belong in the ledger. Only rows in the period of an earlier statement can be
-    held or reviewed. Rows are known by ``identity_key``, so a narration with
+    held or reviewed. Files of one batch count as imported one by one, in order of
+    their names: each sees the periods and rows of the account's earlier ones, and
+    of equal files the first counts. Rows are known by ``identity_key``, so a narration with
     another card mask or date is the same row. Ids are hashes of account and
     fingerprint, so an import that runs again gives the same rows.
     """
+    first = parsed.groupBy("account_id", "sha256").agg(F.min("file").alias("file"))
+    parsed = parsed.join(first, ["account_id", "sha256", "file"], "left_semi")
     if not force:
         parsed = parsed.join(statements.select("account_id", "sha256").distinct(), ["account_id", "sha256"], "left_anti")
     rows = flags(classify(parsed, rules, merchants).withColumnRenamed("merchant", "merchant_norm"))
@@ -54,7 +59,17 @@ def import_batch(
     rows = rows.withColumn("_exact", F.col("_known").isNotNull() | (F.col("_nth") > 1)).drop("_known", "_nth")
     rows.write.parquet(f"{path}/rows")
     rows = ledger.sparkSession.read.parquet(f"{path}/rows")
-    best = dedupe.top_verdict(dedupe.near_duplicates(rows.where("NOT _exact"), ledger, statements, name="name_key"))
+    files = written(dedupe.periods(rows), "batch-periods")
+    fresh = rows.where("NOT _exact").withColumn("status", F.lit("active"))
+    in_batch = dedupe.covered_in_batch(fresh, files)
+    suspect = dedupe.covered(fresh, statements).unionByName(in_batch).dropDuplicates(["account_id", "id"])
+    pairs = written(dedupe.scored_pairs(suspect, ledger, name="name_key"), "ledger-pairs")
+    # Files lie over each other only where one covers another's row.
+    if files.groupBy("account_id").count().where("count > 1").isEmpty():
+        counted = pairs
+    else:
+        counted = dedupe.settled(pairs, written(dedupe.scored_pairs(suspect, fresh, name="name_key", earlier_file=True), "batch-pairs"))
+    best = dedupe.top_verdict(counted)
     best = best.select("account_id", F.col("new_id").alias("id"), "verdict", F.col("existing_id").alias("_other"))
     t = rows.join(best, ["account_id", "id"], "left")
     outcome = F.when(F.col("_exact"), "exact").otherwise(F.coalesce("verdict", F.lit("imported")))

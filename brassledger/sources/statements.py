@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+import sys
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.money import parse_amount, to_cents
 from ..shipping import ship
+from ..store import written
 
 # --- fixed values: header words of each column role, most specific first ---
 ROLES = {
@@ -39,10 +48,16 @@ _C1 = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x
 _LATIN, _WINDOWS = _C1.decode("latin-1"), _C1.decode("cp1252")
 
 HEAD_LINES, HEADER_ROWS, SAMPLE_ROWS = 60, 30, 50
+#: Characters of a line that the choice of a delimiter looks at.
+HEAD_CHARS = 2000
+#: Records of one batch that leaves a Python worker.
+BATCH = 2000
+
+_RECORDS = "file string, sha256 string, line_no int, line string, cells array<string>"
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(file, sha256, line_no, line) of every line of the files under ``path``.
+    """(file, sha256, line_no, line, cells) of every record of the files under ``path``.
 
     UTF-8 with or without a mark, else Windows-1252, or ISO-8859-1 where a byte
     has no meaning there.
@@ -51,25 +66,57 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines_of(raw: DataFrame) -> DataFrame:
-    """The same for files that are read already (path, content)."""
+    """The same for files that are read already (path, content), written once, as
+    headers, layouts and rows all look at it. A record is a line, or several where
+    quotes hold line breaks; ``line`` is its text as it stands in the file."""
+    ship(raw.sparkSession)
     latin = F.decode("content", "ISO-8859-1")
     windows = F.when(latin.rlike("[\x81\x8d\x8f\x90\x9d]"), latin).otherwise(F.translate(latin, _LATIN, _WINDOWS))
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(windows)
-    lines = F.posexplode(F.split(F.regexp_replace(text, "^﻿", ""), "\r?\n"))
-    return raw.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), lines.alias("line_no", "line"))
-
-
-def grid(lines: DataFrame) -> DataFrame:
-    """Adds trimmed cells, split by each file's delimiter: the one that gives the
-    most lines the same count of at least one."""
-    head = lines.where((F.col("line_no") < HEAD_LINES) & (F.trim("line") != ""))
-    tried = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS))))
-    counts = head.select("file", "line", tried.alias("t")).select("file", "t.*", F.size(F.split("line", F.concat(F.lit("\\Q"), "t.d", F.lit("\\E")))).alias("k"))
-    best = counts.where("k > 1").groupBy("file", "i", "d", "k").count()
-    best = best.groupBy("file").agg(F.max_by("d", F.struct(F.col("count") * F.col("k"), -F.col("i"))).alias("delimiter"))
-    cut = F.split("line", F.concat(F.lit("\\Q"), F.coalesce("delimiter", F.lit(",")), F.lit('\\E(?=(?:[^"]*"[^"]*")*[^"]*$)')))
-    cells = F.transform(cut, lambda c: F.trim(F.regexp_replace(F.trim(c), '^"|"$', "")))
-    return lines.join(best, "file", "left").withColumn("cells", cells)
+    texts = raw.select(F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.regexp_replace(text, "^\ufeff", "").alias("text"))
+    return written(texts.mapInArrow(_records, _RECORDS), "statement-records")
+
+
+def delimiter_of(text: str) -> str:
+    """The delimiter that a sniffer finds in the first lines, else the one that gives
+    the most of them one count, a frequent count being worth more."""
+    head = [line[:HEAD_CHARS] for line in itertools.islice(io.StringIO(text, newline=None), HEAD_LINES)]
+    try:
+        return csv.Sniffer().sniff("".join(head), delimiters="".join(DELIMITERS)).delimiter
+    except csv.Error:
+        pass
+    scores = {}
+    for d in DELIMITERS:
+        counts = Counter(line.count(d) for line in head if line.strip())
+        usual = min(counts, key=lambda k: (-counts[k], -k), default=0)
+        scores[d] = counts[usual] * usual
+    return max(DELIMITERS, key=lambda d: scores[d])  # the first one, should none occur
+
+
+def records(text: str) -> Iterator[tuple[str, list[str]]]:
+    """(line, trimmed cells) of each record of a file, one after the other."""
+    csv.field_size_limit(sys.maxsize)
+    read: list[str] = []
+
+    def lines() -> Iterator[str]:
+        for line in io.StringIO(text, newline=""):
+            read.append(line)
+            yield line
+
+    for cells in csv.reader(lines(), delimiter=delimiter_of(text)):
+        yield "".join(read).rstrip("\r\n"), [c.strip() for c in cells]
+        read.clear()
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["file", "sha256", "line_no", "line", "cells"]
+    for batch in batches:
+        for file, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = enumerate(records(text or ""))
+            while some := list(itertools.islice(found, BATCH)):
+                columns = [[file] * len(some), [digest] * len(some), [n for n, _ in some], [r[0] for _, r in some], [r[1] for _, r in some]]
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
 def header_rows(g: DataFrame, spark: SparkSession) -> DataFrame:
@@ -203,14 +250,13 @@ def read_statements(spark: SparkSession, path: str, chosen: DataFrame | None = N
 
 
 def typed(lines: DataFrame, chosen: DataFrame | None = None, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, quarantine) of the lines of files, each with its own layout; files of
+    """(rows, quarantine) of the records of files, each with its own layout; files of
     ``chosen`` (file, profile) have that of their named profile."""
-    g = grid(lines)
     if chosen is None:
-        return typed_rows(g, layouts(g, lines.sparkSession))
-    named = profile_layouts(g, chosen, profiles)
-    found = layouts(g, lines.sparkSession).join(chosen.select("file"), "file", "left_anti")
-    return typed_rows(g, found.unionByName(named, allowMissingColumns=True).withColumn("negative_out", F.coalesce("negative_out", F.lit(True))))
+        return typed_rows(lines, layouts(lines, lines.sparkSession))
+    named = profile_layouts(lines, chosen, profiles)
+    found = layouts(lines, lines.sparkSession).join(chosen.select("file"), "file", "left_anti")
+    return typed_rows(lines, found.unionByName(named, allowMissingColumns=True).withColumn("negative_out", F.coalesce("negative_out", F.lit(True))))
 
 
 def file_report(rows: DataFrame, bad: DataFrame) -> DataFrame:

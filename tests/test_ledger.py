@@ -388,3 +388,90 @@ def test_defaults_of_accounts_come_before_shared_ones(spark):
     assert sorted((r.account_id or 0, r.default_category) for r in known.collect()) == [(0, "Gifts"), (2, "Travel")]
     again = classify.classify(rows, dims.rules(spark), known).collect()
     assert sorted((r.id, r.category) for r in again) == [(0, "Gifts"), (1, "Travel"), (2, "Gifts"), (3, "Gifts")]
+
+
+def test_files_of_one_batch_are_imported_one_by_one(spark, tmp_path):
+    """Three files an account, which lie over each other, with and without balances:
+    one batch gives what three give, chains of held rows among them."""
+    import random
+
+    rng = random.Random(11)
+    account = F.regexp_extract("file", r"account_id=(\d+)", 1).cast("long")
+    for a in range(12):
+        for k in range(3):
+            balances = rng.random() < 0.5
+            lines = ["Date,Description,Amount" + (",Balance" if balances else "")]
+            total = 5000
+            for day in sorted(rng.randrange(1, 9) for _ in range(rng.randrange(2, 8))):
+                cents = rng.choice([1000, 1000, 2500])
+                total -= cents
+                lines.append(f"{day + 12}/03/2025,{rng.choice(['Engen', 'Engen', 'Shoprite'])},-{cents / 100:.2f}" + (f",{total / 100:.2f}" if balances else ""))
+            for root in ("all", f"one{k}"):
+                folder = tmp_path / root / f"account_id={a}"
+                folder.mkdir(parents=True, exist_ok=True)
+                (folder / f"{k}.csv").write_text("\n".join(lines) + "\n")
+
+    def tagged(root, ledger, seen):
+        rows = files.read_statements(spark, f"{tmp_path}/{root}/account_id=*")[0].withColumn("account_id", account)
+        return imports.import_batch(rows, ledger, seen, dims.rules(spark), str(tmp_path / f"work-{root}"))
+
+    shown = lambda df: sorted((r.account_id, r.file.rsplit("/", 1)[1], r.row_ordinal, r.outcome, r.status, r.duplicate_of or 0) for r in df.collect())
+    ledger, seen, want = imports.empty_ledger(spark), imports.empty_statements(spark), []
+    for k in range(3):
+        one = tagged(f"one{k}", ledger, seen)
+        want += shown(one)
+        ledger, seen = ledger.unionByName(imports.additions(one)), seen.unionByName(imports.statements_of(one).select(*seen.columns))
+    got = shown(tagged("all", imports.empty_ledger(spark), imports.empty_statements(spark)))
+    assert got == sorted(want)
+    assert {"exact", "held", "review", "imported"} == {r[3] for r in got}
+
+
+def test_equal_files_of_a_batch_count_once(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("Date,Description,Amount\n13/03/2025,Engen,-10.00\n14/03/2025,Engen,-10.00\n")
+    rows = files.read_statements(spark, str(tmp_path / "*.csv"))[0].withColumn("account_id", F.lit(1).cast("long"))
+    tagged = imports.import_batch(rows, imports.empty_ledger(spark), imports.empty_statements(spark), dims.rules(spark), str(tmp_path / "w"))
+    assert [(r.file[-5:], r.outcome) for r in tagged.collect()] == [("a.csv", "imported")] * 2
+
+
+def test_held_rows_hold_no_others(spark):
+    """settled: b is held by a; c is near b only, so c stays; d is held by c."""
+    pair = "account_id long, new_id long, existing_id long, gap_days int, score double, verdict string"
+    ledger = spark.createDataFrame([], pair)
+    inside = spark.createDataFrame([(1, 2, 1, 0, 0.93, "held"), (1, 3, 2, 0, 0.93, "held"), (1, 4, 3, 0, 0.93, "held"), (1, 5, 2, 1, 0.72, "review"), (1, 5, 3, 1, 0.72, "review")], pair)
+    assert sorted((r.new_id, r.existing_id) for r in dedupe.settled(ledger, inside).collect()) == [(2, 1), (4, 3), (5, 3)]
+
+
+def test_records_equal_those_of_a_csv_reader(spark, tmp_path):
+    """Line breaks, delimiters and doubled quotes inside quotes, quotes inside plain
+    cells, an open quote at the end, lines of 100000 quotes, CR and CRLF."""
+    import csv
+    import io
+
+    texts = {
+        "a": 'Date,Description,Amount\n13/03/2025,"Shop\nround the ""corner""\r\n, upstairs",-5.00\n14/03/2025,12" pipe,-6.00\n\n15/03/2025," x ",-7.00\n',
+        "b": "Date;Text;Amount\r\n1/1/2025;'a;1,5\r\n\r\n2/1/2025;\"b;c\";2,5\r\n3/1/2025;\"open;3,5\n4/1/2025;d;4,5",
+        "c": "Date,Description,Amount\n1/1/2025," + '""' * 50000 + ",1\n2/1/2025," + '"' * 100001 + ",2\n3/1/2025,plain,3\n",
+        "d": "Date|Text|Amount\r1/1/2025|x|1\r2/1/2025|y|2\r", "e": "", "f": "\n\n", "g": "one cell\nanother\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    got = {}
+    for r in files.scan(spark, str(tmp_path / "*.csv")).orderBy("file", "line_no").collect():
+        got.setdefault(r.file[-5:-4], []).append(r.cells)
+    for name, text in texts.items():
+        want = [[c.strip() for c in row] for row in csv.reader(io.StringIO(text, newline=""), delimiter={"b": ";", "d": "|"}.get(name, ","))]
+        assert got.get(name, []) == want, name
+
+
+def test_a_quoted_line_break_loses_no_row(spark, tmp_path):
+    text = 'Date,Description,Amount,Balance\n13/03/2025,"Checkers\nHyper ""Four\nways""",-350.00,650.00\nnonsense,"a\nb",,\n14/03/2025,ATM,-100.00,550.00\n'
+    (tmp_path / "q.csv").write_text(text)
+    rows, bad = files.read_statements(spark, str(tmp_path / "q.csv"))
+    assert [(r.description_raw, r.amount_cents, r.line_no) for r in rows.orderBy("line_no").collect()] == [('Checkers Hyper "Four ways"', -35000, 1), ("ATM", -10000, 3)]
+    assert [(r.line_no, r.reason, r.raw) for r in bad.collect()] == [(2, "unparseable date", 'nonsense,"a\nb",,')]
+
+
+def test_delimiters():
+    assert files.delimiter_of("a;b;c\n1;2,5;4\n5;6,5;8\n") == ";" and files.delimiter_of("x\ty\n1\t2\n") == "\t"
+    assert files.delimiter_of("") == "," == files.delimiter_of("word\nmore words\n")
