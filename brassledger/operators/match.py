@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity
@@ -60,62 +59,59 @@ def cash_candidates(receipts: DataFrame, ledger: DataFrame, look_back: int = 21)
     return e.select("account_id", "receipt_id", "receipt_date", "total_cents", "withdrawal_id", "withdrawn", F.datediff("receipt_date", "txn_date").alias("days_before"))
 
 
-_LINKS = "account_id long, receipt_id long, txn_id long, withdrawal_id long, score double, amount_cents long"
+def _mark(c: DataFrame, d: DataFrame) -> tuple:
+    """What a round decided and left free, as sums: equal rounds have equal ones."""
+    of = lambda df, *k: tuple(df.agg(F.sum(F.xxhash64(*k).cast("decimal(38,0)"))).first())
+    return of(c, "receipt_id", "txn_id", "holder", "picked"), of(d, "receipt_id", "withdrawal_id", "cap", "amount_cents")
 
 
 def assign(cards: DataFrame, cash: DataFrame, tenders: DataFrame) -> DataFrame:
-    """Ledger rows and withdrawals for receipts, taken by (date, id), null dates first.
+    """Ledger rows and withdrawals for receipts, taken by (date, id), null dates first:
+    (account_id, receipt_id, txn_id, withdrawal_id, score, amount_cents).
 
     A cash receipt draws on earlier withdrawals, nearest first, and looks for a
     card row if there is nothing to draw; one of unknown or voucher tender does
     it the other way round; all others take card rows only. A row is taken once
-    and a withdrawal never beyond its amount, so each account's scored edges are
-    walked in order; only edges reach this step, no ledger rows.
+    and a withdrawal never beyond its amount.
+
+    Nobody walks an account. In each round every receipt takes what it would take
+    if earlier receipts took what they did in the round before: its best row that
+    no earlier one has, and of each withdrawal what earlier ones leave. A receipt
+    is right as soon as the earlier ones that it competes with are, so rounds end
+    when nothing changes, after as many as the longest chain of competitors; what
+    is unlike the walk before that is put right by then. Only edges take part, by
+    receipt, row and withdrawal, never by account.
     """
-
-    def walk(key: tuple, card: pd.DataFrame, draw: pd.DataFrame) -> pd.DataFrame:
-        draw = draw.rename(columns=lambda c: c.removeprefix("c_"))
-        rows, slips, who, left, out = {}, {}, {}, {}, []
-        when = lambda e: "" if pd.isna(e.receipt_date) else str(e.receipt_date)
-        for e in card.sort_values(["receipt_id", "score", "txn_id"], ascending=[True, False, True]).itertuples():
-            rows.setdefault(e.receipt_id, []).append((e.txn_id, e.score))
-            who[e.receipt_id] = (when(e), e.tender_type)
-        for e in draw.sort_values(["receipt_id", "days_before", "withdrawal_id"]).itertuples():
-            slips.setdefault(e.receipt_id, []).append((e.withdrawal_id, e.total_cents))
-            left[e.withdrawal_id] = e.withdrawn
-            who[e.receipt_id] = (when(e), e.tender_type)
-        taken = set()
-
-        def by_card(r: int) -> bool:
-            for txn, score in rows.get(r, ()):
-                if txn not in taken:
-                    taken.add(txn)
-                    out.append((key[0], r, txn, None, score, None))
-                    return True
-            return False
-
-        def by_cash(r: int) -> bool:
-            need, before = slips.get(r, [(0, 0)])[0][1], len(out)
-            for withdrawal, _ in slips.get(r, ()):
-                n = min(left[withdrawal], need)
-                if n > 0:
-                    left[withdrawal] -= n
-                    need -= n
-                    out.append((key[0], r, None, withdrawal, None, n))
-            return len(out) > before
-
-        for r in sorted(who, key=lambda r: (who[r][0], r)):
-            tender = who[r][1]
-            if tender == "cash":
-                by_cash(r) or by_card(r)
-            else:
-                by_card(r) or (tender in ("unknown", "voucher") and by_cash(r))
-        found = pd.DataFrame(out, columns=["account_id", "receipt_id", "txn_id", "withdrawal_id", "score", "amount_cents"])
-        return found.astype({"txn_id": "Int64", "withdrawal_id": "Int64", "amount_cents": "Int64", "score": "float64"})
-
-    draws = cash.join(tenders.select("receipt_id", "tender_type"), "receipt_id")
-    draws = draws.select(*(F.col(c).alias(f"c_{c}") for c in draws.columns))
-    return cards.groupBy("account_id").cogroup(draws.groupBy("c_account_id")).applyInPandas(walk, _LINKS)
+    place = F.struct(F.coalesce(F.col("receipt_date").cast("string"), F.lit("")).alias("day"), F.col("receipt_id").alias("r"))
+    c = cards.select("account_id", "receipt_id", place.alias("place"), F.coalesce("tender_type", F.lit("")).alias("tender"), "txn_id", "score")
+    t = tenders.select("receipt_id", F.coalesce("tender_type", F.lit("")).alias("tender"))
+    d = cash.join(t, "receipt_id").select("account_id", "receipt_id", place.alias("place"), "tender", "withdrawal_id", "total_cents", "withdrawn", "days_before")
+    c = c.withColumn("holder", F.lit(None).cast("struct<day:string,r:bigint>")).withColumn("picked", F.lit(False))
+    c = written(c, "card-round")
+    d = written(d.withColumn("cap", F.col("withdrawn")).withColumn("amount_cents", F.lit(0).cast("long")), "cash-round")
+    before = lambda by, *order: Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    mark, last = None, ()
+    while mark != last:
+        last = mark
+        drawn = d.where("amount_cents > 0").select("receipt_id", F.lit(True).alias("drawn")).distinct()
+        may = ((F.col("tender") != "cash") | F.col("drawn").isNull()) & (F.col("holder").isNull() | (F.col("place") <= F.col("holder")))
+        first = F.row_number().over(Window.partitionBy("receipt_id").orderBy(F.desc("may"), F.desc("score"), "txn_id")) == 1
+        asked = c.join(drawn, "receipt_id", "left").withColumn("may", may).withColumn("picked", first & F.col("may"))
+        holder = F.min(F.when(F.col("picked"), F.col("place"))).over(Window.partitionBy("txn_id"))
+        c = written(asked.withColumn("holder", holder).select(*c.columns), "card-round")
+        carded = c.where("picked").select("receipt_id", F.lit(True).alias("carded"))
+        draws = (F.col("tender") == "cash") | (F.col("tender").isin("unknown", "voucher") & F.col("carded").isNull())
+        earlier = F.coalesce(F.sum("cap").over(before("receipt_id", "days_before", "withdrawal_id")), F.lit(0))
+        take = F.when(F.col("draws"), F.greatest(F.lit(0), F.least(F.col("cap"), F.col("total_cents") - F.col("earlier")))).otherwise(0)
+        taken = d.join(carded, "receipt_id", "left").withColumn("draws", draws).withColumn("earlier", earlier).withColumn("amount_cents", take)
+        # What earlier receipts leave of each withdrawal, also for those that do not draw now.
+        gone = F.coalesce(F.sum("amount_cents").over(before("withdrawal_id", "place")), F.lit(0))
+        d = written(taken.withColumn("cap", F.greatest(F.lit(0), F.col("withdrawn") - gone)).select(*d.columns), "cash-round")
+        mark = _mark(c, d)
+    none = lambda kind: F.lit(None).cast(kind)
+    by_card = c.where("picked").select("account_id", "receipt_id", "txn_id", none("long").alias("withdrawal_id"), "score", none("long").alias("amount_cents"))
+    by_cash = d.where("amount_cents > 0").select("account_id", "receipt_id", none("long").alias("txn_id"), "withdrawal_id", none("double").alias("score"), "amount_cents")
+    return by_card.unionByName(by_cash)
 
 
 def link_receipts(receipts: DataFrame, ledger: DataFrame, claimed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from brassledger.functions import dates, money, text
 from brassledger.operators import advice, classify, dedupe, dims, imports, match, mutate, recurring, report
 from brassledger.sources import receipts as receipt_sources
@@ -475,3 +476,58 @@ def test_a_quoted_line_break_loses_no_row(spark, tmp_path):
 def test_delimiters():
     assert files.delimiter_of("a;b;c\n1;2,5;4\n5;6,5;8\n") == ";" and files.delimiter_of("x\ty\n1\t2\n") == "\t"
     assert files.delimiter_of("") == "," == files.delimiter_of("word\nmore words\n")
+
+
+def _walked(cards, draws, tenders):
+    """The same receipt by receipt, in plain Python."""
+    rows, slips, who, left, out, taken = {}, {}, {}, {}, [], set()
+    for a, r, day, tender, txn, score in sorted(cards, key=lambda e: (e[1], -e[5], e[4])):
+        rows.setdefault(r, []).append((a, txn, score))
+        who[r] = (day or "", r)
+    for a, r, day, total, w, withdrawn, gap in sorted(draws, key=lambda e: (e[1], e[6], e[4])):
+        slips.setdefault(r, []).append((a, w, total))
+        left[w] = withdrawn
+        who[r] = (day or "", r)
+
+    def by_card(r):
+        for a, txn, score in rows.get(r, ()):
+            if txn not in taken:
+                taken.add(txn)
+                out.append((a, r, txn, None, score, None))
+                return True
+        return False
+
+    def by_cash(r):
+        n, need = len(out), slips.get(r, [(0, 0, 0)])[0][2]
+        for a, w, _ in slips.get(r, ()):
+            take = min(left[w], need)
+            if take > 0:
+                left[w] -= take
+                need -= take
+                out.append((a, r, None, w, None, take))
+        return len(out) > n
+
+    for r in sorted(who, key=who.get):
+        if tenders[r] == "cash":
+            by_cash(r) or by_card(r)
+        else:
+            by_card(r) or (tenders[r] in ("unknown", "voucher") and by_cash(r))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rounds_of_claims_equal_a_walk(spark, seed):
+    """One busy account: chains of competitors for rows and withdrawals, ties, all tenders, undated receipts."""
+    import random
+
+    rng = random.Random(seed)
+    tenders = {r: rng.choice(["cash", "cash", "card", "unknown", "voucher", ""]) for r in range(120)}
+    days = {r: None if rng.random() < 0.1 else f"2025-03-{1 + r % 28:02d}" for r in tenders}
+    totals, withdrawn = {r: rng.randrange(1, 60) for r in tenders}, {w: rng.randrange(1, 90) for w in range(900, 930)}
+    cards = [(1, r, days[r], tenders[r], 500 + t, rng.choice([0.7, 0.8, 0.9])) for r in tenders for t in rng.sample(range(60), rng.randrange(0, 4))]
+    draws = [(1, r, days[r], totals[r], w, withdrawn[w], rng.randrange(3)) for r in tenders if tenders[r] in ("cash", "unknown", "voucher") for w in rng.sample(sorted(withdrawn), rng.randrange(0, 4))]
+    c = spark.createDataFrame(cards, "account_id long, receipt_id long, day string, tender_type string, txn_id long, score double").withColumn("receipt_date", F.to_date("day"))
+    d = spark.createDataFrame(draws, "account_id long, receipt_id long, day string, total_cents long, withdrawal_id long, withdrawn long, days_before int").withColumn("receipt_date", F.to_date("day"))
+    t = spark.createDataFrame(list(tenders.items()), "receipt_id long, tender_type string")
+    got = match.assign(c.drop("day"), d.drop("day"), t).collect()
+    assert sorted((tuple(r) for r in got), key=str) == _walked(cards, draws, tenders)
