@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,12 +81,13 @@ def _in_order(place: str) -> Column:
     return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(place, "category"))), lambda x: x["category"]))  # an account's few subscriptions
 
 
-def wants(ledger: DataFrame) -> DataFrame:
-    """What each finding would like to save a month; independent of one another."""
-    m = monthly_by_category(ledger)
+def wants(ledger: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
+    """What each finding would like to save a month; independent of one another.
+    ``monthly`` is what ``monthly_by_category`` gives, if it is there already."""
+    m = monthly_by_category(ledger) if monthly is None else monthly
     months = ledger.groupBy("account_id").agg(((F.datediff(F.max("txn_date"), F.min("txn_date")) + 1) / 30.44).alias("months"))
     own = F.array("category")
-    found = recurring(ledger).where("active")
+    found = written(recurring(ledger).where("active"), "advice-recurring")
     subs = with_category_facts(found.where("subscription"))
     services = service_groups(ledger.sparkSession)
     over = subs.join(F.broadcast(services), F.contains(F.lower("merchant_norm"), F.col("word")))  # some 25 words
@@ -121,8 +121,8 @@ def wants(ledger: DataFrame) -> DataFrame:
     return out
 
 
-def headroom(ledger: DataFrame) -> DataFrame:
-    m = monthly_by_category(ledger)
+def headroom(ledger: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
+    m = monthly_by_category(ledger) if monthly is None else monthly
     return m.select("account_id", "category", (F.col("monthly") * F.col("reducible")).cast("long").alias("ceiling"), "kind", "frivolity", "monthly")
 
 
@@ -136,39 +136,65 @@ def granted(single: DataFrame, ceilings: DataFrame) -> DataFrame:
     return j.select("account_id", "category", "seq", "key", "want", grant.alias("granted"))
 
 
-def advice(ledger: DataFrame, max_habits: int = 6, max_spikes: int = 3, max_trims: int = 5) -> DataFrame:
+def _after(state: Column, claim: Column, limits: dict[int, int]) -> Column:
+    """The state (room, used, out) after a claim: what its categories still have goes
+    to it, one after the other; a finding counts against its cap if it gets something."""
+    room = F.aggregate(
+        claim["categories"],
+        F.struct(state["room"].alias("room"), claim["want"].alias("want")),
+        lambda t, name: F.struct(
+            F.transform_values(t["room"], lambda k, v: F.when(k == name, v - F.greatest(F.lit(0), F.least(t["want"], v))).otherwise(v)).alias("room"),
+            (t["want"] - F.greatest(F.lit(0), F.least(t["want"], F.coalesce(F.try_element_at(t["room"], name), F.lit(0))))).alias("want"),
+        ),
+    )
+    given = lambda r: claim["want"] - r["want"]
+    found = lambda r: F.array(F.struct(claim["seq"].alias("seq"), claim["key"].alias("key"), given(r).alias("saving")))
+    one = lambda r: F.struct(
+        r["room"].alias("room"),
+        F.transform_values(state["used"], lambda k, v: v + F.when((k == claim["seq"]) & (given(r) > 0), 1).otherwise(0)).alias("used"),
+        F.when(given(r) > 0, F.concat(state["out"], found(r))).otherwise(state["out"]).alias("out"),
+    )
+    caps = F.create_map(*(F.lit(x) for pair in limits.items() for x in pair))
+    full = F.coalesce(F.try_element_at(state["used"], claim["seq"]) >= F.try_element_at(caps, claim["seq"]), F.lit(False))
+    # One array of one element, so that the grant is computed once.
+    return F.when(full, state).otherwise(F.element_at(F.transform(F.array(room), one), 1))
+
+
+def walked(claims: DataFrame, room: DataFrame, max_habits: int = 6, max_spikes: int = 3, max_trims: int = 5) -> DataFrame:
+    """(account_id, seq, key, saving): the claims of each account granted one after
+    the other, by seq, then want, then key, and the closing trims of what is left.
+
+    A fold over an account's claims, which are findings and not rows (a few dozen),
+    with the room of its categories as state; it runs inside the JVM."""
+    limits = {5: max_habits, 9: max_spikes}
+    c = claims.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("seq", (-F.col("want")).alias("less"), "key", "want", "categories"))).alias("claims"))
+    may = F.col("kind").isin("discretionary", "cash") & (F.col("frivolity") >= 2) & (F.col("monthly") >= 10000)
+    r = room.groupBy("account_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("category", "ceiling"))).alias("room"), F.collect_list(F.when(may, F.col("category"))).alias("trims")
+    )
+    zero = F.struct(
+        F.col("room").alias("room"), F.create_map(*(x for k in limits for x in (F.lit(k), F.lit(0)))).alias("used"),
+        F.array().cast("array<struct<seq:int,key:string,saving:bigint>>").alias("out"),
+    )
+    none = F.array().cast("array<struct<seq:int,less:bigint,key:string,want:bigint,categories:array<string>>>")
+    end = F.aggregate(F.coalesce("claims", none), zero, lambda s, x: _after(s, x, limits))
+    done = r.join(c, "account_id", "left").select("account_id", "trims", end.alias("end"))
+    left = lambda n: F.coalesce(F.try_element_at(F.col("end.room"), n), F.lit(0))
+    rest = F.array_sort(F.transform(F.filter("trims", lambda n: left(n) >= 5000), lambda n: F.struct((-left(n)).alias("less"), n.alias("key"))))
+    trims = F.transform(F.slice(rest, 1, max_trims), lambda t: F.struct(F.lit(10).alias("seq"), t["key"].alias("key"), (-t["less"]).alias("saving")))
+    return done.select("account_id", F.explode(F.concat("end.out", trims)).alias("f")).select("account_id", "f.*")
+
+
+def advice(ledger: DataFrame, **limits) -> DataFrame:
     """(account_id, seq, key, saving) of findings that get something.
 
     Claims that spill over several categories, caps that count granted findings
-    only and the closing trim depend on what is left, so an account's few dozen
-    claims are walked in order.
+    only and the closing trim depend on what is left, so an account's claims are
+    granted in order.
     """
-    limits = {5: max_habits, 9: max_spikes}
     ledger = written(ledger.select("account_id", "id", "txn_date", "merchant_norm", "category", "status", "amount_cents"), "advice-ledger")  # a dozen claims are drawn from it
-
-    def walk(key: tuple, claims: pd.DataFrame, room: pd.DataFrame) -> pd.DataFrame:
-        left = dict(zip(room.category, room.ceiling, strict=True))
-        used, out = dict.fromkeys(limits, 0), []
-        for c in claims.sort_values(["seq", "want", "key"], ascending=[True, False, True]).itertuples():
-            if c.seq in limits and used[c.seq] >= limits[c.seq]:
-                continue
-            want = c.want
-            for name in c.categories:
-                part = max(0, min(want, left.get(name, 0)))
-                left[name] = left.get(name, 0) - part
-                want -= part
-            if want < c.want:
-                out.append((key[0], c.seq, c.key, c.want - want))
-                if c.seq in used:
-                    used[c.seq] += 1
-        trims = room[room.kind.isin(["discretionary", "cash"]) & (room.frivolity >= 2) & (room.monthly >= 10000)]
-        rest = sorted(((left[n], n) for n in trims.category if left[n] >= 5000), key=lambda x: (-x[0], x[1]))
-        out += [(key[0], 10, n, cents) for cents, n in rest[:max_trims]]
-        return pd.DataFrame(out, columns=["account_id", "seq", "key", "saving"])
-
-    room = headroom(ledger).withColumnRenamed("account_id", "room_account")
-    a, b = wants(ledger).groupBy("account_id"), room.groupBy("room_account")
-    return a.cogroup(b).applyInPandas(walk, "account_id long, seq int, key string, saving long")
+    monthly = written(monthly_by_category(ledger), "advice-monthly")
+    return walked(written(wants(ledger, monthly), "advice-claims"), headroom(ledger, monthly), **limits)
 
 
 # --- fixed values: kind of finding | severity | how hard it is ---

@@ -29,7 +29,6 @@ def recurring(ledger: DataFrame, min_count: int = 3) -> DataFrame:
     l = active.where("amount_cents < 0 AND merchant_norm IS NOT NULL").withColumn("cents", -F.col("amount_cents"))
     part = Window.partitionBy("account_id", "merchant_norm")
     l = l.withColumn("gap", F.datediff("txn_date", F.lag("txn_date").over(part.orderBy("txn_date", "id"))))
-    l = l.withColumn("k", F.row_number().over(part.orderBy("cents"))).withColumn("m", F.count("*").over(part))
     g = l.groupBy("account_id", "merchant_norm").agg(
         F.count("*").alias("n"),
         F.sum("cents").alias("total_cents"),
@@ -37,7 +36,7 @@ def recurring(ledger: DataFrame, min_count: int = 3) -> DataFrame:
         F.max("txn_date").alias("last_date"),
         F.count(F.when(F.col("gap") > 0, 1)).alias("n_gaps"),
         F.median(F.when(F.col("gap") > 0, F.col("gap"))).alias("gap"),
-        F.max(F.when(F.col("k") == F.floor(F.col("m") / 2) + 1, F.col("cents"))).alias("typical_cents"),
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY cents DESC)").cast("long").alias("typical_cents"),  # the upper median
         (F.max("cents") - F.min("cents")).alias("range_cents"),
         F.coalesce(F.min_by("category", F.struct("txn_date", "id")), F.lit("Uncategorised")).alias("category"),
     )

@@ -531,3 +531,45 @@ def test_rounds_of_claims_equal_a_walk(spark, seed):
     t = spark.createDataFrame(list(tenders.items()), "receipt_id long, tender_type string")
     got = match.assign(c.drop("day"), d.drop("day"), t).collect()
     assert sorted((tuple(r) for r in got), key=str) == _walked(cards, draws, tenders)
+
+
+def test_claims_are_granted_in_order(spark):
+    """The fold against a walk in plain Python: spills, caps of granted findings, trims, categories without room."""
+    import random
+
+    rng = random.Random(21)
+    names = [f"c{k}" for k in range(9)]
+    claims, rooms = [], []
+    for account in range(25):
+        for n in rng.sample(names, rng.randrange(0, 9)):
+            rooms.append((account, n, rng.choice([0, 4000, 5000, 30000, rng.randrange(60000)]), rng.choice(["discretionary", "cash", "essential"]), rng.randrange(4), rng.choice([5000, 10000, 90000])))
+        for _ in range(rng.randrange(0, 40)):
+            claims.append((account, rng.randrange(1, 10), f"k{rng.randrange(30)}", rng.sample(names, rng.randrange(1, 4)), rng.randrange(1, 9000)))
+    claims = list({(a, s, k, w): (a, s, k, c, w) for a, s, k, c, w in claims}.values())
+
+    def walk(account):
+        room = {n: (c, kind, f, m) for a, n, c, kind, f, m in rooms if a == account}
+        left, used, out = {n: v[0] for n, v in room.items()}, {5: 0, 9: 0}, []
+        for _, seq, key, categories, want in sorted((c for c in claims if c[0] == account), key=lambda c: (c[1], -c[4], c[2])):
+            if used.get(seq, -1) >= {5: 6, 9: 3}.get(seq, 0):
+                continue
+            saving = 0
+            for n in categories:
+                part = max(0, min(want - saving, left.get(n, 0)))
+                saving += part
+                if n in left:
+                    left[n] -= part
+            if saving:
+                out.append((account, seq, key, saving))
+                if seq in used:
+                    used[seq] += 1
+        rest = sorted((-left[n], n) for n, (_, kind, f, m) in room.items() if kind in ("discretionary", "cash") and f >= 2 and m >= 10000 and left[n] >= 5000)
+        return out + [(account, 10, n, -x) for x, n in rest[:5]]
+
+    c = spark.createDataFrame(claims, "account_id long, seq int, key string, categories array<string>, want long").repartition(3)
+    r = spark.createDataFrame(rooms, "account_id long, category string, ceiling long, kind string, frivolity int, monthly long").repartition(3)
+    out = advice.walked(c, r)
+    assert not [w for w in ("Python", "Pandas", "Arrow") if w in out._jdf.queryExecution().optimizedPlan().toString()]
+    # Accounts without a category have no room, so nothing is granted to them.
+    want = [f for a in range(25) if any(x[0] == a for x in rooms) for f in walk(a)]
+    assert sorted(tuple(x) for x in out.collect()) == sorted(want)
