@@ -327,8 +327,6 @@ def test_json_report_sums_to_the_ledger(spark):
 
 def _plain_rules(rows, rules):
     """First rule of each field for each narration, every rule tried on every one."""
-    from brassledger.functions.text import clean_description, merchant_name  # noqa: F401  (names are given)
-
     out = {}
     for i, text, name in rows:
         hits = []
@@ -573,3 +571,124 @@ def test_claims_are_granted_in_order(spark):
     # Accounts without a category have no room, so nothing is granted to them.
     want = [f for a in range(25) if any(x[0] == a for x in rooms) for f in walk(a)]
     assert sorted(tuple(x) for x in out.collect()) == sorted(want)
+
+
+def _plain_wants(rows, facts, groups, hints):
+    """What each of the ten kinds of finding but the trim asks for, row by row in plain Python."""
+    out = set()
+    for account in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == account]
+        days = (max(r[2] for r in mine) - min(r[2] for r in mine)).days + 1
+        months = days / 30.44
+        spent = [(i, d, m or "Unknown", c or "Uncategorised", -x, m) for i, _, d, m, c, s, x in mine if s == "active" and x < 0]
+        by_cat, by_merchant = {}, {}
+        for i, d, m, c, x, raw in spent:
+            by_cat[c] = by_cat.get(c, 0) + x
+            by_merchant.setdefault(raw, []).append((d, i, x, c))
+        monthly = {c: int(x / months) for c, x in by_cat.items()}
+        fact = lambda c: facts.get(c, ("discretionary", 1))
+        wanted = lambda c: fact(c)[0] not in ("excluded", "income") and fact(c)[1] >= 2
+
+        def add(seq, key, categories, want):
+            if int(want) > 0:
+                out.add((account, seq, key, tuple(categories), int(want)))
+
+        for c in ("Fines & Penalties", "Interest & Penalties"):
+            add(1, c, [c], monthly.get(c, 0) * 0.9)
+        if monthly.get("Bank Fees", 0) >= 2000:
+            add(2, "bank fees", ["Bank Fees"], monthly["Bank Fees"] * 0.45)
+        add(6, "gambling", ["Gambling & Betting"], monthly.get("Gambling & Betting", 0) * 0.95)
+        # habits
+        groups_of = {}
+        for _, _, m, c, x, _ in spent:
+            groups_of.setdefault((m, c), []).append(x)
+        for (m, c), xs in groups_of.items():
+            if len(xs) >= 6 and sum(xs) / len(xs) <= 20000 and wanted(c) and len(xs) / months >= 4:
+                add(5, m, [c], sum(xs) / months * 0.5)
+        # deliveries
+        orders = {}
+        for _, _, m, _, x, raw in spent:
+            if raw and any(w in raw.lower() for w in hints):
+                orders.setdefault(m, []).append(x)
+        cents = sum(sum(xs) for xs in orders.values() if len(xs) >= 3)
+        add(4, "delivery", ["Delivery Fees & Convenience", "Eating Out & Takeaways", "Groceries"], cents / months * 0.25)
+        # recurring charges
+        newest, subs = max(r[2] for r in mine if r[5] == "active"), []
+        for m, xs in by_merchant.items():
+            if m is None or len(xs) < 3:
+                continue
+            xs.sort()
+            gaps = sorted(g for a, b in zip(xs, xs[1:]) if (g := (b[0] - a[0]).days) > 0)
+            if len(gaps) < 2:
+                continue
+            gap = (gaps[len(gaps) // 2] + gaps[(len(gaps) - 1) // 2]) / 2
+            cadence = next((k for k in recurring.CADENCES if k[1] <= gap <= k[2]), None)
+            if not cadence or (newest - xs[-1][0]).days / gap > 1.6:
+                continue
+            amounts = sorted(x[2] for x in xs)
+            typical = amounts[len(amounts) // 2]
+            varies = (amounts[-1] - amounts[0]) / typical > (0.35 if cadence[0] in ("monthly", "quarterly") else 0.6)
+            annual = typical * cadence[3]
+            if cadence[0] in ("monthly", "quarterly", "annual") and not varies:
+                subs.append((-annual, m, xs[0][3], annual // 12))
+        subs.sort()
+        for service in {g for g, _ in groups}:
+            hit = sorted((-s[3], s[1], s[2]) for s in subs if any(w in s[1].lower() for g, w in groups if g == service))
+            if len(hit) > 1:
+                add(3, service, list(dict.fromkeys(c for _, _, c in hit[1:])), sum(-x for x, _, _ in hit[1:]))
+        small = [s for s in subs if s[3] <= 30000 and wanted(s[2])]
+        if len(small) >= 3:
+            add(7, "small subscriptions", list(dict.fromkeys(s[2] for s in small)), sum(s[3] for s in small) * 0.4)
+        rises, crept = 0, []
+        for _, m, c, _ in subs:
+            xs = by_merchant[m]
+            half = len(xs) // 2
+            if len(xs) >= 4:
+                old, new = sum(x[2] for x in xs[:half]) / half, sum(x[2] for x in xs[half:]) / (len(xs) - half)
+                if (new - old) / old >= 0.1 and new - old >= 1000:
+                    rises += int(new) - int(old)
+                    crept.append(c)
+        add(8, "price creep", list(dict.fromkeys(crept)), rises)
+        # spikes
+        months_of = {}
+        for _, d, _, c, x, _ in spent:
+            months_of.setdefault(c, {}).setdefault(d.year * 12 + d.month, []).append(x)
+        if spent:
+            last = max(max(v) for v in months_of.values())
+            for c, v in months_of.items():
+                v = {k: sum(x) for k, x in v.items() if k > last - 6}
+                if v and last - min(v) >= 2 and wanted(c):
+                    earlier = [v.get(k, 0) for k in range(min(v), last)]
+                    mean, now = sum(earlier) / len(earlier), v.get(last, 0)
+                    if mean > 0 and now > 1.4 * mean and now - mean >= 20000:
+                        add(9, c, [c], (now - round(mean, 4)) * 0.6)
+    return out
+
+
+def test_every_kind_of_finding_against_plain_python(spark):
+    import random
+
+    rng = random.Random(5)
+    facts = {r.category: (r.kind, r.frivolity) for r in dims.categories(spark).collect()}
+    groups = [(r.service, r.word) for r in dims.service_groups(spark).collect()]
+    words = sorted({w for _, w in groups})
+    cats = ["Fines & Penalties", "Interest & Penalties", "Bank Fees", "Gambling & Betting", "Subscriptions & Streaming", "Coffee & Snacks", "Eating Out & Takeaways", "Groceries", None, "Transfers"]
+    rows, start = [], dt.date(2025, 1, 3)
+    for account in range(1, 13):
+        subs = [(rng.choice(words).title() + f" {k}", rng.choice([4, 8]), rng.choice(cats[4:7]), rng.randrange(900, 29000), rng.random() < 0.4) for k in range(rng.randrange(2, 7))]
+        for name, _, c, price, creeps in subs:
+            for k in range(6):
+                rows.append((account, start + dt.timedelta(30 * k + rng.randrange(2)), name, c, "active", -(price + (5000 if creeps and k > 2 else 0))))
+        for k in range(40 if account % 3 == 0 else 0):
+            rows.append((account, start + dt.timedelta(4 * k), "Daily Cup", "Coffee & Snacks", "active", -rng.randrange(2000, 5000)))
+        for _ in range(120):
+            c = rng.choice(cats)
+            name = rng.choice(["Vida Cafe", "Uber Eats", "Mr D Food", "Shop A", "Shop B", None, ""]) if c != "Bank Fees" else "Bank"
+            when = start + dt.timedelta(rng.randrange(170) if rng.random() < 0.7 else 150 + rng.randrange(20))
+            rows.append((account, when, name, c, rng.choice(["active"] * 9 + ["duplicate"]), rng.choice([-1, -1, -1, 1]) * rng.randrange(500, 20000)))
+    rows = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id long, account_id long, txn_date date, merchant_norm string, category string, status string, amount_cents long")
+    got = {(r.account_id, r.seq, r.key, tuple(r.categories), r.want) for r in advice.wants(df).collect()}
+    want = _plain_wants(rows, facts, groups, [w.lower() for w in dims.DELIVERY_WORDS])
+    assert got == want
+    assert {r[1] for r in got} == set(range(1, 10))
