@@ -11,7 +11,7 @@ from ..shipping import ship
 from ..sources import receipts as receipt_sources
 from ..sources import statements as statement_files
 from ..sources.fixtures import sql_views, view
-from ..streaming import jobs
+from ..streaming import batches, jobs
 from .ledger_queries import _PAIRS, ORACLE_SQL, OUT, L, _pairs, _work, query, with_categories
 
 _RULED = ORACLE_SQL["rule_classification"]
@@ -126,7 +126,26 @@ def streamed_import(s, d):
         _write_files(s, d, batch, f"{work}/files-{batch}")
         for run in range(1 + (batch == "b")):
             jobs.import_files(s, f"{work}/files-{batch}/account_id=*", f"{work}/ledger", f"{work}/{batch}{run}", dims.rules(s), _account()).awaitTermination()
-    return s.read.parquet(f"{work}/ledger").groupBy("account_id", "txn_date").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"))
+    return batches.table(s, f"{work}/ledger", "ledger").groupBy("account_id", "txn_date").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"))
+
+
+@query(f"""{_FILES}, n AS (SELECT account_id, count(DISTINCT ({_KEY})) AS first_rows FROM a GROUP BY 1), m AS (SELECT account_id, count(DISTINCT ({_KEY})) AS rows FROM (SELECT {_KEY}, account_id FROM a UNION ALL SELECT {_KEY}, account_id FROM b) GROUP BY 1),
+s AS (SELECT account_id, 'a' AS batch, min(txn_date) AS x, max(txn_date) AS y FROM a GROUP BY 1 UNION ALL SELECT account_id, 'b', min(txn_date), max(txn_date) FROM b GROUP BY 1)
+SELECT s.account_id, batch, x AS period_start, y AS period_end, CASE WHEN batch = 'a' THEN first_rows WHEN n.account_id IS NULL THEN m.rows ELSE m.rows - first_rows END AS added, 1::BIGINT AS log_lines FROM s LEFT JOIN n USING (account_id) LEFT JOIN m USING (account_id)""")
+def streamed_tables(s, d):
+    """Ledger, log and statements after both batches have come through a stream and
+    been put together: each file's period, the rows that it added and its log line."""
+    ship(s)
+    work = _work(s, "stream-tables")
+    for batch in ("a", "b"):
+        _write_files(s, d, batch, f"{work}/files-{batch}")
+        jobs.import_files(s, f"{work}/files-{batch}/account_id=*", f"{work}/store", f"{work}/{batch}", dims.rules(s), _account()).awaitTermination()
+    batches.compacted(s, f"{work}/store", jobs.BY)
+    ledger, log, seen = (batches.table(s, f"{work}/store", t) for t in ("ledger", "log", "statements"))
+    added = ledger.groupBy("account_id", "sha256").agg(F.count("*").alias("added"))
+    lines = log.groupBy(F.col("ref").alias("file")).agg(F.count("*").alias("log_lines"))
+    out = seen.join(added, ["account_id", "sha256"], "left").join(lines, "file", "left").withColumn("batch", F.regexp_extract("file", "files-([ab])/", 1))
+    return out.select("account_id", "batch", "period_start", "period_end", F.coalesce("added", F.lit(0)).alias("added"), "log_lines")
 
 
 @query(f"""{_FILES} SELECT account_id, count(*) AS n, sum(amount_cents)::BIGINT AS cents, min(txn_date) AS first, max(txn_date) AS last FROM b GROUP BY 1""")

@@ -692,3 +692,56 @@ def test_every_kind_of_finding_against_plain_python(spark):
     want = _plain_wants(rows, facts, groups, [w.lower() for w in dims.DELIVERY_WORDS])
     assert got == want
     assert {r[1] for r in got} == set(range(1, 10))
+
+
+@pytest.mark.parametrize("after", range(5))
+def test_a_batch_that_fails_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch, after):
+    """The stream dies after so many writes (4: behind the commit, 3: before it) and runs again."""
+    from brassledger.streaming import batches
+
+    folder = tmp_path / "in" / "account_id=1"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("Date,Description,Amount\n13/03/2025,Engen,-10.00\n14/04/2025,Vida,-20.00\n")
+    root, left = str(tmp_path / "store"), [after]
+    real_write, real_commit = batches._write, batches._commit
+
+    def tripped(real, late):
+        def run(*a):
+            if left[0] == 0 and not late:
+                left[0] = -1
+                raise OSError("lost")
+            done = real(*a)
+            left[0] -= left[0] > 0
+            if left[0] == 0 and late:
+                left[0] = -1
+                raise OSError("lost behind the commit")
+            return done
+
+        return run
+
+    monkeypatch.setattr(batches, "_write", tripped(real_write, False))
+    monkeypatch.setattr(batches, "_commit", tripped(real_commit, after == 4))
+    run = lambda: jobs.import_files(spark, str(tmp_path / "in" / "account_id=*"), root, str(tmp_path / "work"), dims.rules(spark), F.lit(1).cast("long")).awaitTermination()
+    with pytest.raises(Exception, match="lost"):
+        run()
+    visible = {t: batches.table(spark, root, t, spark.range(0)).count() for t in ("ledger", "log", "statements")}
+    assert set(visible.values()) == ({0} if after < 4 else {1, 2})
+    monkeypatch.undo()
+    run()
+    run()
+    assert {t: batches.table(spark, root, t).count() for t in ("ledger", "log", "statements")} == {"ledger": 2, "log": 1, "statements": 1}
+    assert [r.outcome for r in batches.table(spark, root, "log").collect()] == ["imported"]
+
+
+def test_compaction_replaces_batches_in_one_step(spark, tmp_path):
+    from brassledger.streaming import batches
+
+    root, by = str(tmp_path), {"t": ("m",)}
+    rows = lambda k: spark.createDataFrame([(k, "x"), (k, "y")], "k int, m string")
+    assert [batches.publish(spark, root, f"b{k}", {"t": rows(k), "u": rows(k)}, by) for k in (1, 2, 1)] == [True, True, False]
+    old = batches.table(spark, root, "t")
+    batches.compacted(spark, root, by)
+    assert sorted(tuple(r) for r in batches.table(spark, root, "t").select("k", "m").collect()) == sorted(tuple(r) for r in old.select("k", "m").collect()) == [(1, "x"), (1, "y"), (2, "x"), (2, "y")]
+    assert len(batches._records(spark, root)) == 1 and not batches.publish(spark, root, "b2", {"t": rows(2)}, by)
+    batches.publish(spark, root, "b3", {"t": rows(3)}, by)
+    assert batches.table(spark, root, "t").where("m = 'x'").count() == 3 and batches.table(spark, root, "u").count() == 4
