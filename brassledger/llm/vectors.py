@@ -167,9 +167,11 @@ def near_vectors(
         .agg(F.collect_list(F.struct("cls", "copies", "v")).alias("rows"))  # a block's rows are bounded
     )
     blocks = materialize(blocks, "vector-blocks")
-    left = blocks.select("label", "dim", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"), "block", F.col("rows").alias("x"))
-    right = blocks.select("label", "dim", F.col("block").alias("other"), F.col("rows").alias("y"))
-    tiles = left.join(right, ["label", "dim", "other"]).select((F.col("block") == F.col("other")).alias("own"), "x", "y")
+    # A pair of blocks is a key of its own, so that no key carries more than two blocks.
+    own, every = F.col("block"), F.col("blocks")
+    left = blocks.select("label", "dim", own.alias("i"), F.explode(F.sequence(own, every - 1)).alias("j"), F.col("rows").alias("x"))
+    right = blocks.select("label", "dim", F.explode(F.sequence(F.lit(0), own)).alias("i"), own.alias("j"), F.col("rows").alias("y"))
+    tiles = left.join(right, ["label", "dim", "i", "j"]).select((F.col("i") == F.col("j")).alias("own"), "x", "y")
     with arrow_rows(vectors.sparkSession, 2):  # a row is two blocks
         found = materialize(tiles.mapInArrow(_tiles(threshold), "a long, b long, n long"), "vector-links")
     counts = found.where("b = -1").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
