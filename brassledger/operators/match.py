@@ -147,3 +147,59 @@ def same_slips(receipts: DataFrame, least: float = 0.6) -> DataFrame:
     b = r.select("account_id", "receipt_date", "total_cents", F.col("receipt_id").alias("second_id"), F.col("merchant_norm").alias("_b"))
     p = a.join(b, ["account_id", "receipt_date", "total_cents"]).where("first_id < second_id")
     return p.where(similarity(F.col("_a"), F.col("_b")) >= least).drop("_a", "_b")
+
+
+#: How near the best row came, by the number of its rank: what keeps it from being linked.
+MISSES = ("nothing_near", "amount", "date", "name", "claimed")
+
+
+def near_misses(linked: DataFrame, ledger: DataFrame, window: int = 4, tolerance: int = 200, reach: int = 31) -> DataFrame:
+    """(receipt_id, reason, txn_id, off_cents, gap_days): why receipts stayed unmatched.
+
+    ``linked`` holds all receipts with their link_status and txn_id. A receipt
+    without a total has the reason ``no_total``. For each other one the best row
+    that failed tells which test it failed: ``claimed`` (it would do, but another
+    receipt has it), ``name`` (amount and date fit, but the names differ or the
+    score stays too low), ``date`` (amount and name fit, up to ``reach`` days away),
+    ``amount`` (the same name on a fitting day); else ``nothing_near``. Of several
+    rows the nearest in amount, then in date, counts. Rows are found by account,
+    amount bucket and month-long span, or by account, week and name, so that busy
+    accounts split.
+    """
+    claimed = linked.where("link_status = 'matched' AND txn_id IS NOT NULL").select("txn_id", F.lit(True).alias("taken")).distinct()
+    l = ledger.where("status = 'active' AND amount_cents < 0 AND is_cash_withdrawal = 0")
+    l = l.select("account_id", F.col("id").alias("txn_id"), "txn_date", F.coalesce("merchant_norm", F.lit("")).alias("l_name"), (-F.col("amount_cents")).alias("cents"))
+    l = l.join(claimed, "txn_id", "left")
+    open_ = linked.where("link_status = 'unmatched'").select("account_id", "receipt_id", "receipt_date", "total_cents", F.coalesce("merchant_norm", F.lit("")).alias("r_name"))
+    r = open_.where("total_cents > 0")
+    bucket = lambda c: F.floor(F.ln(F.col(c) + _SHIFT) / _STEP)
+    span = lambda c: F.floor(F.unix_date(c) / reach)
+    week = lambda c: F.floor(F.unix_date(c) / 7)
+    near = r.withColumn("b", F.explode(F.sequence(bucket("total_cents") - 1, bucket("total_cents") + 1)))
+    rows = l.withColumn("b", bucket("cents"))
+    spans = F.sequence(span(F.date_sub("receipt_date", reach)), span(F.date_add("receipt_date", reach)))
+    dated = near.where("receipt_date IS NOT NULL").withColumn("s", F.explode(spans)).join(rows.withColumn("s", span("txn_date")), ["account_id", "b", "s"])
+    undated = near.where("receipt_date IS NULL").join(rows, ["account_id", "b"])
+    weeks = F.sequence(week(F.date_sub("receipt_date", 2)), week(F.date_add("receipt_date", window)))
+    named = r.where("receipt_date IS NOT NULL AND r_name <> ''").withColumn("w", F.explode(weeks))
+    named = named.join(l.withColumn("w", week("txn_date")).withColumn("r_name", F.col("l_name")), ["account_id", "w", "r_name"])
+    columns = ["receipt_id", "receipt_date", "total_cents", "r_name", "txn_id", "txn_date", "l_name", "cents", "taken"]
+    e = dated.select(columns).unionByName(undated.select(columns)).unionByName(named.select(columns))
+    gap, off = F.datediff("txn_date", "receipt_date"), F.abs(F.col("cents") - F.col("total_cents"))
+    e = e.withColumn("gap_days", gap).withColumn("off_cents", off)
+    amount_fits = F.col("off_cents") <= F.greatest(F.lit(tolerance), 0.05 * F.col("total_cents"))
+    date_fits = F.col("gap_days").isNull() | F.col("gap_days").between(-2, window)
+    name_fits = (F.col("r_name") == "") | (F.col("l_name") == "") | (similarity(F.col("r_name"), F.col("l_name")) >= 0.25)
+    e = e.withColumn("a", amount_fits).withColumn("d", date_fits).withColumn("n", name_fits)
+    rank = (
+        F.when(F.col("a") & F.col("d") & F.col("n") & F.coalesce("taken", F.lit(False)), 4)
+        .when(F.col("a") & F.col("d"), 3)
+        .when(F.col("a") & F.col("n") & (F.abs("gap_days") <= reach), 2)
+        .when(F.col("d") & (F.col("r_name") == F.col("l_name")) & (F.col("r_name") != ""), 1)
+    )
+    e = e.withColumn("rank", rank).where("rank IS NOT NULL")
+    better = F.struct("rank", -F.col("off_cents"), -F.coalesce(F.abs("gap_days"), F.lit(reach)), -F.col("txn_id"))
+    best = e.groupBy("receipt_id").agg(F.max_by(F.struct("rank", "txn_id", "off_cents", "gap_days"), better).alias("m"))
+    code = F.element_at(F.array(*map(F.lit, MISSES)), F.coalesce("m.rank", F.lit(0)) + 1)
+    reason = F.when(F.col("total_cents").isNull() | (F.col("total_cents") <= 0), "no_total").otherwise(code)
+    return open_.join(best, "receipt_id", "left").select("receipt_id", reason.alias("reason"), "m.txn_id", F.col("m.off_cents"), F.col("m.gap_days"))

@@ -9,6 +9,8 @@ from ..functions.dates import parse_date
 from ..functions.money import parse_amount, to_cents
 from ..functions.text import canonical_key
 from ..operators.match import same_slips
+from ..operators.mutate import upsert_merchants
+from ..store import written
 
 PAYLOAD = (
     "merchant string, date string, time string, total string, vat string, tender_type string, card_last4 string, confidence string, "
@@ -106,3 +108,19 @@ def stored(new: DataFrame, known: DataFrame, merchants: DataFrame) -> DataFrame:
         F.when(F.col("_twice"), "same_slip"),
     )
     return fresh.join(twice, "receipt_id", "left").withColumn("warnings", codes).drop("_twice", "canonical")
+
+
+def items_of(receipts: DataFrame) -> DataFrame:
+    """The receipts' lines as a table of their own, numbered from 0."""
+    lines = receipts.select("receipt_id", F.posexplode("items").alias("line_no", "i"))
+    return lines.select("receipt_id", "line_no", "i.description", "i.quantity", "i.unit_price_cents", "i.line_total_cents")
+
+
+def store(new: DataFrame, known: DataFrame, merchants: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(receipts, their items, merchants) that a batch of ``new`` ones leaves behind:
+    what ``stored`` keeps, and the merchants (canonical, merchant, default_category)
+    with the names that are new; a known merchant stays as it is."""
+    kept = written(stored(new, known, merchants), "stored-receipts")
+    named = kept.where("merchant IS NOT NULL").select(canonical_key(F.col("merchant")).alias("canonical"), "merchant", "receipt_id").where("canonical <> ''")
+    named = named.groupBy("canonical").agg(F.min_by("merchant", "receipt_id").alias("merchant")).withColumn("default_category", F.lit(None).cast("string"))
+    return kept, items_of(kept), upsert_merchants(merchants, named)

@@ -745,3 +745,29 @@ def test_compaction_replaces_batches_in_one_step(spark, tmp_path):
     assert len(batches._records(spark, root)) == 1 and not batches.publish(spark, root, "b2", {"t": rows(2)}, by)
     batches.publish(spark, root, "b3", {"t": rows(3)}, by)
     assert batches.table(spark, root, "t").where("m = 'x'").count() == 3 and batches.table(spark, root, "u").count() == 4
+
+
+def test_stored_receipts_bring_their_merchants_and_items(spark):
+    body = '{"merchant": "%s", "date": "13/03/2025", "total": "10.00", "items": [{"description": " a ", "line_total": "4"}, {"description": " "}, {"description": "b", "line_total": "6"}]}'
+    rows = [(1, 1, body % "Corner Shop"), (1, 2, body % "corner SHOP!"), (1, 3, body % "Engen"), (1, 4, body % ""), (1, 3, body % "Engen")]
+    new = receipt_sources.from_payload(spark.createDataFrame(rows, "account_id long, receipt_id long, payload string")).withColumn("sha256", F.sha2("payload", 256))
+    merchants = spark.createDataFrame([("engen", "Engen Garage", "Fuel")], "canonical string, merchant string, default_category string")
+    kept, items, known = receipt_sources.store(new, new.limit(0), merchants)
+    assert sorted(r.receipt_id for r in kept.collect()) == [1, 2, 3, 4]
+    assert sorted((r.receipt_id, r.line_no, r.description, r.line_total_cents) for r in items.collect())[:2] == [(1, 0, "a", 400), (1, 1, "b", 600)]
+    assert sorted(tuple(r) for r in known.collect()) == [("cornershop", "Corner Shop", None), ("engen", "Engen Garage", "Fuel")]
+
+
+def test_near_misses(spark):
+    day = dt.date(2025, 3, 13)
+    ledger = [(10, 1, day, "Engen", -10000), (11, 1, day, "Shoprite", -5000), (12, 1, dt.date(2025, 3, 30), "Vida", -700), (13, 1, day, "Pharmacy", -4000), (14, 2, day, "Engen", -10000)]
+    l = spark.createDataFrame([(i, a, d, m, None, 0, "active", c, None) for i, a, d, m, c in ledger], LEDGER)
+    slips = [
+        (1, 1, day, "Engen", 10000, "matched", 10), (2, 1, day, "Engen", 10050, "unmatched", None), (3, 1, day, "Zz", 5000, "unmatched", None), (4, 1, day, "Vida", 700, "unmatched", None),
+        (5, 1, day, "Pharmacy", 9000, "unmatched", None), (6, 1, day, "Zz", 1, "unmatched", None), (7, 1, day, "Engen", None, "unmatched", None), (8, 1, None, None, 5100, "unmatched", None), (9, 3, day, "Engen", 10000, "unmatched", None),
+    ]
+    r = spark.createDataFrame(slips, "receipt_id long, account_id long, receipt_date date, merchant_norm string, total_cents long, link_status string, txn_id long")
+    got = {x.receipt_id: (x.reason, x.txn_id) for x in match.near_misses(r, l).collect()}
+    assert got == {
+        2: ("claimed", 10), 3: ("name", 11), 4: ("date", 12), 5: ("amount", 13), 6: ("nothing_near", None), 7: ("no_total", None), 8: ("name", 11), 9: ("nothing_near", None),
+    }
