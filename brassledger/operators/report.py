@@ -231,6 +231,13 @@ def receipt_details(receipts: DataFrame, allocations: DataFrame, ledger: DataFra
     return receipts.join(paid, "txn_id", "left").join(drawn, "receipt_id", "left")
 
 
+def relative(found: DataFrame, value: str, by: str = "account_id") -> DataFrame:
+    """Adds ``relative``: a row's value as a share of the largest one beside it, as
+    bars of a chart show it; 0 where nothing is above 0."""
+    most = F.max(value).over(Window.partitionBy(by))
+    return found.withColumn("relative", F.when(most > 0, F.round(F.greatest(F.col(value), F.lit(0)) / most, 6)).otherwise(0.0))
+
+
 def store_status(ledger: DataFrame, statements: DataFrame, receipts: DataFrame, pending: DataFrame) -> DataFrame:
     """One row an account: statements and their extent, rows by status, receipts,
     and suspected duplicates that wait for a decision."""

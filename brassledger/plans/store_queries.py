@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import advice, classify, dedupe, dims, imports, match, mutate, report
+from ..operators import advice, classify, dedupe, dims, imports, match, mutate, recurring, report
 from ..shipping import ship
 from ..sources import receipts as receipt_sources
 from ..sources import statements as statement_files
@@ -159,7 +159,9 @@ def profiled_files(s, d):
     path = _work(s, "profiled-files")
     parts = int(s.conf.get("spark.sql.shuffle.partitions"))
     l.repartition(parts, "account_id").sortWithinPartitions("account_id", "ts", "id").select("account_id", line.alias("value")).write.partitionBy("account_id").text(path)
-    profiles = s.createDataFrame([("reversed", 3, None, 2, None, None, 1, None, None, [0], False, False)], statement_files.PROFILE)
+    book = F.lit('{"profiles": {"reversed": {"txn_date": 3, "amount": 2, "balance": 1, "description": [0], "outflow_is_negative": false, "dayfirst": false}}}')
+    s.range(1).select(book.alias("value")).write.text(f"{path}-profiles")
+    profiles = statement_files.load_profiles(s, f"{path}-profiles")
     lines = statement_files.scan(s, f"{path}/account_id=*")
     chosen = lines.select("file").distinct().withColumn("profile", F.lit("reversed"))
     rows = statement_files.typed(lines, chosen, profiles)[0].withColumn("account_id", _account())
@@ -493,3 +495,24 @@ def receipt_items(s, d):
     p = receipt_sources.from_payload(view(s, d, "receipts").select("account_id", "receipt_id", body.alias("payload"))).withColumn("sha256", F.sha2("payload", 256))
     merchants = s.range(0).select(F.lit("").alias("canonical"), F.lit("").alias("merchant"), F.lit("").alias("default_category"))
     return receipt_sources.store(p, p.where("receipt_id % 2 = 0"), merchants)[1]
+
+
+_BARS = "coalesce(CASE WHEN max(cents) OVER (PARTITION BY account_id) > 0 THEN round(greatest(cents, 0) / max(cents) OVER (PARTITION BY account_id), 6) END, 0)::DOUBLE AS relative"
+
+
+@query(f"""WITH m AS ({ORACLE_SQL['top_merchants']}), t AS ({ORACLE_SQL['monthly_trend']}), r AS ({ORACLE_SQL['recurring_charges']})
+SELECT kind, account_id, key, cents, relative FROM (
+ SELECT 'merchant' AS kind, account_id, merchant AS key, cents, {_BARS} FROM m
+ UNION ALL SELECT 'month', account_id, strftime(month, '%Y-%m'), outflow_cents, relative FROM (SELECT *, {_BARS} FROM (SELECT *, outflow_cents AS cents FROM t))
+ UNION ALL SELECT 'recurring', account_id, merchant_norm, annual_cents, relative FROM (SELECT *, {_BARS} FROM (SELECT *, annual_cents AS cents FROM r)))""")
+def relative_bars(s, d):
+    """Merchants, months and recurring charges, each beside the largest of its account."""
+    parts = []
+    for kind, found, key, value in (
+        ("merchant", report.top_merchants(L(s, d)), F.col("merchant"), "cents"),
+        ("month", report.monthly_trend(L(s, d)), F.date_format("month", "yyyy-MM"), "outflow_cents"),
+        ("recurring", recurring.recurring(view(s, d, "series")), F.col("merchant_norm"), "annual_cents"),
+    ):
+        shown = report.relative(found, value)
+        parts.append(shown.select(F.lit(kind).alias("kind"), "account_id", key.alias("key"), F.col(value).alias("cents"), "relative"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

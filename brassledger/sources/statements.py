@@ -48,6 +48,8 @@ _C1 = bytes(b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x
 _LATIN, _WINDOWS = _C1.decode("latin-1"), _C1.decode("cp1252")
 
 HEAD_LINES, HEADER_ROWS, SAMPLE_ROWS = 60, 30, 50
+#: Rows of a file whose dates tell whether the day comes first.
+DATE_ROWS = 200
 #: Characters of a line that the choice of a delimiter looks at.
 HEAD_CHARS = 2000
 #: Records of one batch that leaves a Python worker.
@@ -192,6 +194,20 @@ PROFILE = (
 )
 
 
+def load_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Named profiles (``PROFILE``) from a JSON file: an object of profiles by name,
+    alone or under ``profiles``. What is not JSON holds none."""
+    whole = spark.read.text(path, wholetext=True)
+    outer = F.from_json("value", "map<string,string>")
+    inner = F.from_json(F.coalesce(F.try_element_at(outer, F.lit("profiles")), F.col("value")), "map<string,map<string,string>>")
+    p = whole.select(F.explode(inner).alias("profile", "p")).where("p IS NOT NULL")
+    at = lambda key: F.try_element_at("p", F.lit(key))
+    columns = F.transform(F.regexp_extract_all(F.coalesce(at("description"), F.lit("")), F.lit(r"\d+"), F.lit(0)), lambda d: d.cast("int"))
+    flag = lambda key: F.coalesce(at(key).try_cast("boolean"), F.lit(True)).alias(key)
+    roles = ("txn_date", "posted_date", "amount", "debit", "credit", "balance", "direction", "card_last4")
+    return p.select("profile", *(at(c).try_cast("int").alias(c) for c in roles), columns.alias("description"), flag("outflow_is_negative"), flag("dayfirst"))
+
+
 def profile_layouts(g: DataFrame, chosen: DataFrame, profiles: DataFrame) -> DataFrame:
     """Layouts of files (file, profile) by named profiles (``PROFILE``): columns by
     position from 0, whether an outflow is negative, whether dates are day-first.
@@ -216,7 +232,9 @@ def typed_rows(g: DataFrame, layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = Window.partitionBy("file")
     if "day_first_set" not in layout.columns:
         r = r.withColumn("day_first_set", F.lit(None).cast("boolean")).withColumn("negative_out", F.lit(True))
-    votes = F.count_if(parts(2) > 12).over(whole) <= F.count_if(parts(1) > 12).over(whole)
+    early = F.row_number().over(whole.orderBy("line_no")) <= DATE_ROWS
+    r = r.withColumn("_early", early)
+    votes = F.count_if((parts(2) > 12) & F.col("_early")).over(whole) <= F.count_if((parts(1) > 12) & F.col("_early")).over(whole)
     amount = parse_amount(cell("amount"))
     sign = F.lower(F.trim(cell("direction")))
     signed = F.when(sign.isin(*OUT_WORDS), -F.abs(amount)).when(sign.isin(*IN_WORDS), F.abs(amount)).otherwise(F.when(F.col("negative_out"), amount).otherwise(-amount))

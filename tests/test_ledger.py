@@ -771,3 +771,19 @@ def test_near_misses(spark):
     assert got == {
         2: ("claimed", 10), 3: ("name", 11), 4: ("date", 12), 5: ("amount", 13), 6: ("nothing_near", None), 7: ("no_total", None), 8: ("name", 11), 9: ("nothing_near", None),
     }
+
+
+def test_profiles_of_a_file(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"one": {"txn_date": 0, "debit": "3", "description": 2, "name": "x"}, "two": {"description": [1, 4], "dayfirst": false}}')
+    got = {r.profile: r for r in files.load_profiles(spark, str(tmp_path / "p.json")).collect()}
+    assert (got["one"].txn_date, got["one"].debit, got["one"].description, got["one"].dayfirst, got["one"].amount) == (0, 3, [2], True, None)
+    assert got["two"].description == [1, 4] and not got["two"].dayfirst and got["two"].outflow_is_negative
+    (tmp_path / "bad.json").write_text("no json")
+    assert files.load_profiles(spark, str(tmp_path / "bad.json")).count() == 0
+
+
+def test_the_first_dates_of_a_file_decide_the_order(spark, tmp_path):
+    lines = ["Date,Description,Amount", *(["03/25/2025,Shop,-1.00"] + ["03/04/2025,Shop,-1.00"] * 199), *["25/03/2025,Shop,-1.00"] * 5]
+    (tmp_path / "d.csv").write_text("\n".join(lines) + "\n")
+    rows, bad = files.read_statements(spark, str(tmp_path / "d.csv"))
+    assert {str(r.txn_date) for r in rows.collect()} == {"2025-03-25", "2025-03-04"} and bad.count() == 0
