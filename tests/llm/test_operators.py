@@ -455,15 +455,17 @@ def test_spans_by_brute_force(spark):
         hit = set()
         for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
             run = m[0]
-            if re.fullmatch(r"[A-Za-z]+([-_/+=][A-Za-z]+)*[-_/+=]*", run) or re.fullmatch(r"[0-9_/+=-]+", run):
-                continue
             off = {i for p in allowed_part.finditer(run) for i in range(*p.span())}
             for i in range(len(run) - 19):
                 w = run[i : i + 20]
-                if off & set(range(i, i + 20)) or not 2 <= sum(c.isdigit() for c in w) <= 18:
+                entropy = -sum(n / 20 * np.log2(n / 20) for n in Counter(w).values())
+                digits, large, small = sum(c.isdigit() for c in w), sum(c.isupper() for c in w), sum(c.islower() for c in w)
+                # Letters alone are a key in mixed case, or at four bits.
+                key = digits <= 18 if digits >= 2 else entropy >= 4.0 - 1e-12 or (large >= 6 and small >= 6)
+                if off & set(range(i, i + 20)) or not key:
                     continue
                 kind = "hex" if re.fullmatch("[0-9A-Fa-f]+", w) else "alphanumeric" if w.isalnum() else "base64"
-                if -sum(n / 20 * np.log2(n / 20) for n in Counter(w).values()) >= bits[kind] - 1e-12:
+                if entropy >= bits[kind] - 1e-12:
                     hit |= {(m.start(), m.start() + i + k) for k in range(20)}
         spans, marked = [], sorted(hit)
         for run, at in marked:
