@@ -15,7 +15,7 @@ from ..sources import receipts as receipt_sources
 from ..sources import statements as statement_files
 from ..sources.fixtures import sql_views, view
 from ..store import work_path
-from ..streaming import jobs
+from ..streaming import jobs, late
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -488,3 +488,26 @@ def streamed_daily_outflow(s, d):
     q = jobs.daily_outflow(rows).writeStream.foreachBatch(keep).option("checkpointLocation", where).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return s.read.parquet(out)
+
+
+_ARRIVALS = "CASE WHEN EXTRACT(DAY FROM txn_date) <= 10 THEN 1 WHEN EXTRACT(DAY FROM txn_date) <= 20 THEN 2 ELSE 3 END + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 11 = 0 THEN 2 ELSE 0 END"
+
+
+@query(f"""{sql_views('ledger')}, r AS (SELECT account_id, txn_date AS day, coalesce(category, 'Uncategorised') AS category, ts, -amount_cents AS cents, least(3, {_ARRIVALS}) AS k FROM ledger WHERE {OUT}),
+h AS (SELECT k, (max(newest) OVER (ORDER BY k) - INTERVAL 3 DAY)::DATE AS horizon FROM (SELECT k, max(ts) AS newest FROM r GROUP BY 1)),
+t AS (SELECT r.*, coalesce(day < (SELECT max(horizon) FROM h WHERE h.k < r.k), false) AS late FROM r)
+SELECT account_id, day, category, sum(cents)::BIGINT AS cents, count(*) AS n, count(*) FILTER (WHERE late) AS n_late FROM t WHERE day < (SELECT max(horizon) FROM h) GROUP BY 1, 2, 3""")
+def streamed_late_rows(s, d):
+    """Three arrivals, some rows one or two of them too late: days closed once, rows
+    behind the horizon on the side and merged by two settlements."""
+    work = _work(s, "stream-late")
+    l = L(s, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.expr(f"least(3, {_ARRIVALS})"))
+    l.write.partitionBy("k").parquet(f"{work}/all")
+    schema = l.drop("k").schema
+    for k in (1, 2, 3):
+        s.read.schema(schema).parquet(f"{work}/all/k={k}").write.mode("append").parquet(f"{work}/arrived")
+        rows = s.readStream.schema(schema).parquet(f"{work}/arrived")
+        late.daily_closed(s, rows, f"{work}/store", f"{work}/stream").awaitTermination()
+        if k > 1:
+            late.settle(s, f"{work}/store")
+    return late.totals(s, f"{work}/store")

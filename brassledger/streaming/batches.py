@@ -39,12 +39,14 @@ def committed(spark: SparkSession, root: str, batch: str) -> bool:
     return store.exists(at)
 
 
-def table(spark: SparkSession, root: str, name: str, empty: DataFrame | None = None) -> DataFrame:
-    """The committed rows of a table; ``empty`` where no batch has any."""
+def table(spark: SparkSession, root: str, name: str, empty: DataFrame | None = None, schema: str | None = None) -> DataFrame:
+    """The committed rows of a table; ``empty`` where no batch has any. With a
+    ``schema`` those columns are read, also where no batch has a row."""
     paths = [r["parts"][name] for r in _records(spark, root).values() if name in r["parts"]]
-    if not paths and empty is not None:
-        return empty
-    return spark.read.option("basePath", f"{root}/{name}").parquet(*paths).drop("in_batch")
+    if not paths and (empty is not None or schema):
+        return empty if empty is not None else spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.option("basePath", f"{root}/{name}").parquet(*paths).drop("in_batch")
 
 
 def _write(df: DataFrame, path: str, by: tuple[str, ...]) -> None:
