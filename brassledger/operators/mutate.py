@@ -1,8 +1,8 @@
 """Changes to tables, each as a new version of the table.
 
 Plain Parquet has no MERGE: an update is a join with ``when``, a delete an
-anti-join, an upsert an anti-join and a union. Callers write the new version to
-a new path and swap.
+anti-join, an upsert an anti-join and a union. ``versions`` keeps tables by month
+and applies these changes to the months that they touch.
 """
 
 from __future__ import annotations

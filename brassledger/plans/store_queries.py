@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import versions
 from ..functions import money, text
 from ..operators import advice, classify, dedupe, dims, imports, match, mutate, recurring, report
 from ..shipping import ship
@@ -516,3 +517,33 @@ def relative_bars(s, d):
         shown = report.relative(found, value)
         parts.append(shown.select(F.lit(kind).alias("kind"), "account_id", key.alias("key"), F.col(value).alias("cents"), "relative"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""{sql_views('ledger')}, b AS (SELECT *, date_trunc('week', txn_date)::DATE::VARCHAR AS week, category IS NULL AND EXTRACT(DAY FROM txn_date) BETWEEN 8 AND 14 AS chosen,
+ status = 'duplicate' AND EXTRACT(DAY FROM txn_date) BETWEEN 22 AND 28 AS freed FROM ledger), v AS (SELECT unnest([1, 2, 3, 4]) AS version)
+SELECT version, week, count(*) AS n, count(*) FILTER (WHERE version BETWEEN 2 AND 3 AND chosen) AS n_user, count(*) FILTER (WHERE status = 'active' OR (version = 3 AND freed)) AS n_active,
+ coalesce(sum(-amount_cents) FILTER (WHERE category = 'Groceries' OR (version BETWEEN 2 AND 3 AND chosen)), 0)::BIGINT AS groceries_cents,
+ version = 1 OR (version = 2 AND bool_or(chosen)) OR (version = 3 AND bool_or(freed)) OR (version = 4 AND (bool_or(chosen) OR bool_or(freed))) AS changed FROM b CROSS JOIN v GROUP BY 1, 2""")
+def versioned_ledger(s, d):
+    """A ledger in folders by week: categories chosen in the second week, duplicates
+    freed in the fourth, then all taken back. What each version shows, and which of
+    its folders are other ones than the version before had."""
+    root = _work(s, "versions")
+    l = L(s, d).withColumn("week", F.date_trunc("week", "txn_date").cast("date").cast("string")).withColumn("category_source", F.lit("default"))
+    held = [versions.commit(s, root, {"ledger": versions.Change(l, "week"), "rules": versions.Change(dims.rules(s))}, versions.Version())]
+    chosen = L(s, d).where("category IS NULL AND dayofmonth(txn_date) BETWEEN 8 AND 14").select("id", F.lit("Groceries").alias("new_category"))
+    held.append(versions.set_category(s, root, chosen))
+    freed = L(s, d).where("status = 'duplicate' AND dayofmonth(txn_date) BETWEEN 22 AND 28").select("id", F.lit("distinct").alias("resolution"))
+    held.append(versions.resolve(s, root, freed))
+    held.append(versions.revert(s, root, 1))
+    folders = [{}, *(v.tables["ledger"]["folders"] for v in held)]
+    changed = [(v.number, week, path != folders[k].get(week)) for k, v in enumerate(held) for week, path in folders[k + 1].items()]
+    rows = None
+    for v in held:
+        t = versions.read(s, root, "ledger", v).withColumn("version", F.lit(v.number))
+        rows = t if rows is None else rows.unionByName(t)
+    out = rows.groupBy("version", "week").agg(
+        F.count("*").alias("n"), F.count_if(F.col("category_source") == "user").alias("n_user"), F.count_if(F.col("status") == "active").alias("n_active"),
+        F.coalesce(F.sum(F.when(F.col("category") == "Groceries", -F.col("amount_cents"))), F.lit(0)).alias("groceries_cents"),
+    )
+    return out.join(s.createDataFrame(changed, "version int, week string, changed boolean"), ["version", "week"])
