@@ -16,6 +16,7 @@ from ..sources import statements as statement_files
 from ..sources.fixtures import sql_views, view
 from ..store import work_path
 from ..streaming import jobs, late
+from . import links_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,7 +73,12 @@ def reconciliation(s, d):
     return report.reconciliation(L(s, d))
 
 
-@query()
+_REPORT = {"outflow_cents": "", "inflow_cents": "", "net_cents": "", "n_rows": "", "excluded_cents": "", "spend_cents": "", "essential_cents": "", "discretionary_cents": "", "cash_cents": "", "unexplained_cash_cents": "",
+           "uncategorised_cents": "", "n_held": "", "held_cents": "", "residual_cents": "", "explained_share": links_sql.number("explained_share"), "warnings": "'\"' || warnings || '\"'"}
+
+
+@query(f"""WITH r AS ({ORACLE_SQL['reconciliation']}), c AS ({ORACLE_SQL['category_breakdown']}), j AS (SELECT account_id, '[' || string_agg('{{"category":"' || category || '","kind":"' || kind || '","cents":' || cents || ',"n":' || n || ',"share":' || {links_sql.number('share')} || '}}', ',' ORDER BY cents DESC, category) || ']' AS lines FROM c GROUP BY 1)
+SELECT account_id, '{{"account_id":' || account_id || {" || ".join(f"""',"{k}":' || {v or k}""" for k, v in _REPORT.items())} || coalesce(',"categories":' || lines, '') || '}}' AS report FROM r LEFT JOIN j USING (account_id)""")
 def account_reports(s, d):
     return report.report_json(report.category_breakdown(L(s, d)), report.reconciliation(L(s, d)))
 
@@ -369,12 +375,12 @@ def incoming_covered(s, d):
 
 # --- receipts ---
 
+LINKED = links_sql.with_links(sql_views("ledger", "receipts"))
+#: What was bought, by the shop's number.
+_BOUGHT = "CASE CAST(split_part(merchant_norm, '-', 2) AS INT) % 3 WHEN 0 THEN 'Coffee & Snacks' WHEN 1 THEN 'Groceries' END"
+
 
-@query(f"""{sql_views('ledger', 'receipts')}, e AS (SELECT r.account_id, receipt_id, receipt_date, tender_type, l.id AS txn_id, l.txn_date - receipt_date AS g, abs(-amount_cents - total_cents) AS o, total_cents, r.merchant_norm AS a, l.merchant_norm AS b
- FROM receipts r JOIN ledger l ON r.account_id = l.account_id AND status='active' AND amount_cents < 0 AND is_cash_withdrawal = 0 AND l.txn_date BETWEEN receipt_date - 2 AND receipt_date + 4),
-n AS (SELECT *, (CASE WHEN a = b THEN 1.0 WHEN split_part(a, '-', 1) = split_part(b, '-', 1) THEN 0.8 ELSE 0.0 END)::DOUBLE AS s FROM e),
-w AS (SELECT *, (CASE WHEN o = 0 THEN 0.55 WHEN o <= 100 THEN 0.45 WHEN o <= greatest(200, 0.05 * total_cents) THEN 0.3 END)::DOUBLE AS x, (CASE WHEN g = 0 THEN 0.3 WHEN g > 0 THEN 0.24 - 0.03 * g ELSE 0.12 END)::DOUBLE AS y FROM n WHERE s > 0)
-SELECT account_id, receipt_id, receipt_date, tender_type, txn_id, round(least(1.0, x + y + 0.3 * s), 6) AS score FROM w WHERE x IS NOT NULL AND round(least(1.0, x + y + 0.3 * s), 6) >= 0.62""")
+@query(f"{sql_views('ledger', 'receipts')}, {links_sql.cards()}")
 def receipt_candidates(s, d):
     """Names of one kind are alike to 0.8, as one word of their one is the same."""
     return match.card_candidates(view(s, d, "receipts"), L(s, d))
@@ -385,19 +391,23 @@ def cash_candidates(s, d):
     return match.cash_candidates(view(s, d, "receipts"), L(s, d))
 
 
-@query()
+@query(f"{LINKED} SELECT * FROM links")
 def receipt_links(s, d):
     ship(s)
     return match.link_receipts(view(s, d, "receipts"), L(s, d))[0]
 
 
-@query()
+@query(f"{LINKED} SELECT link_status, count(*) AS n, sum(total_cents)::BIGINT AS cents FROM links GROUP BY 1")
 def receipts_by_status(s, d):
     ship(s)
     return match.link_receipts(view(s, d, "receipts"), L(s, d))[0].groupBy("link_status").agg(F.count("*").alias("n"), F.sum("total_cents").alias("cents"))
 
 
-@query()
+@query(f"""{LINKED}, v AS (SELECT c.account_id, coalesce({_BOUGHT}, 'Uncategorised') AS category, sum(amount_cents)::BIGINT AS cents FROM cash c JOIN receipts USING (receipt_id) GROUP BY 1, 2),
+t AS (SELECT account_id, coalesce(category, 'Uncategorised') AS category, sum(-amount_cents)::BIGINT AS cents FROM ledger WHERE {OUT} GROUP BY 1, 2),
+m AS (SELECT v.account_id, v.category, floor(v.cents * least(1.0::DOUBLE, t.cents / (sum(v.cents) OVER (PARTITION BY v.account_id))::BIGINT))::BIGINT AS moved FROM v JOIN t ON t.account_id = v.account_id AND t.category = 'Cash Withdrawals'),
+u AS (SELECT * FROM t UNION ALL SELECT * FROM m UNION ALL SELECT account_id, 'Cash Withdrawals', -moved FROM m)
+SELECT account_id, category, sum(cents)::BIGINT AS cents FROM u GROUP BY 1, 2 HAVING NOT (category = 'Cash Withdrawals' AND sum(cents) <= 0)""")
 def cash_reclassified(s, d):
     ship(s)
     receipts = with_categories(view(s, d, "receipts"))

@@ -13,7 +13,8 @@ from ..sources import receipts as receipt_sources
 from ..sources import statements as statement_files
 from ..sources.fixtures import sql_views, view
 from ..streaming import batches, jobs
-from .ledger_queries import _PAIRS, ORACLE_SQL, OUT, L, _pairs, _work, query, with_categories
+from . import links_sql
+from .ledger_queries import _BOUGHT, _PAIRS, LINKED, ORACLE_SQL, OUT, L, _pairs, _work, query, with_categories
 
 _RULED = ORACLE_SQL["rule_classification"]
 
@@ -412,7 +413,7 @@ def receipt_detail(s, d):
     )
 
 
-@query()
+@query(f"{LINKED} SELECT l.*, txn_date, -amount_cents AS paid_cents, t.merchant_norm AS paid_to FROM links l LEFT JOIN ledger t ON t.id = l.txn_id")
 def receipt_overview(s, d):
     """Every receipt with its link and the ledger row behind it."""
     ship(s)
@@ -421,7 +422,13 @@ def receipt_overview(s, d):
     return linked.join(rows, "txn_id", "left")
 
 
-@query()
+_EARLIER = "early AS (SELECT * FROM ledger WHERE EXTRACT(DAY FROM txn_date) <= 15)"
+_AGAIN = "again AS (SELECT account_id, receipt_id, receipt_date, merchant_norm, total_cents, tender_type FROM links_first WHERE link_status <> 'matched')"
+
+
+@query(f"""{sql_views('ledger', 'receipts').replace('WITH', 'WITH RECURSIVE', 1)}, {_EARLIER}, {links_sql.walk('_first', 'early')}, {_AGAIN},
+{links_sql.walk('_again', 'ledger', 'again', "SELECT txn_id FROM links_first WHERE link_status = 'matched'")}
+SELECT link_status, count(*) AS n FROM (SELECT link_status FROM links_first WHERE link_status = 'matched' UNION ALL SELECT link_status FROM links_again) GROUP BY 1""")
 def receipts_rematched(s, d):
     """Counts by status after the unmatched are tried again against a later ledger."""
     ship(s)
@@ -431,7 +438,8 @@ def receipts_rematched(s, d):
     return match.rematch(s.read.parquet(path), L(s, d)).groupBy("link_status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{LINKED}, c AS (SELECT txn_id AS id, {_BOUGHT} AS bought FROM links WHERE link_status = 'matched')
+SELECT CASE WHEN coalesce(category, 'Uncategorised') = 'Uncategorised' THEN coalesce(bought, category) ELSE category END AS category, count(*) AS n, sum(amount_cents)::BIGINT AS cents FROM ledger LEFT JOIN c USING (id) GROUP BY 1""")
 def enriched_ledger(s, d):
     """The ledger with what matched receipts know; amounts stay."""
     ship(s)
@@ -439,7 +447,15 @@ def enriched_ledger(s, d):
     return mutate.enrich(L(s, d), with_categories(linked)).groupBy("category").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"))
 
 
-@query()
+@query(f"""{LINKED}, r AS ({ORACLE_SQL['reconciliation']}), b AS ({ORACLE_SQL['balance_check']}), d AS ({ORACLE_SQL['statement_coverage']}), p AS ({_PAIRS} SELECT account_id, count(*) AS n_pending FROM pairs WHERE verdict = 'review' GROUP BY 1),
+x AS (SELECT account_id, sum(amount_cents)::BIGINT AS explained FROM cash GROUP BY 1),
+s AS (SELECT account_id, count(*) FILTER (WHERE link_status = 'matched') AS n_matched, count(*) FILTER (WHERE link_status = 'cash_allocated') AS n_cash, count(*) FILTER (WHERE link_status = 'unmatched') AS n_unmatched FROM links GROUP BY 1),
+t AS (SELECT r.*, greatest(0, cash_cents - coalesce(explained, 0)) AS open_cents, agrees, coalesce(covered_days, 0) AS covered_days, total_days, coalesce(n_gaps, 0) AS n_gaps, coalesce(n_matched, 0) AS n_matched, coalesce(n_cash, 0) AS n_cash,
+ coalesce(n_unmatched, 0) AS n_unmatched, coalesce(n_pending, 0) AS n_pending FROM r LEFT JOIN b USING (account_id) LEFT JOIN d USING (account_id) LEFT JOIN p USING (account_id) LEFT JOIN x USING (account_id) LEFT JOIN s USING (account_id))
+SELECT account_id, residual_cents = 0 AS reconciles, agrees AS balances_agree, covered_days, total_days, cash_cents, cash_cents - open_cents AS cash_explained_cents, n_matched, n_cash, n_unmatched, n_pending,
+ round(CASE WHEN outflow_cents > 0 THEN greatest(0.0, 1 - (open_cents + uncategorised_cents) / outflow_cents) ELSE 1.0 END, 6) AS explained_share,
+ concat_ws(',', CASE WHEN residual_cents <> 0 THEN 'residual' END, CASE WHEN open_cents > 0 THEN 'unexplained_cash' END, CASE WHEN uncategorised_cents > 0.05 * outflow_cents THEN 'uncategorised' END,
+  CASE WHEN n_gaps > 0 OR total_days IS NULL THEN 'coverage_gaps' END, CASE WHEN NOT agrees THEN 'balances' END, CASE WHEN n_pending > 0 THEN 'pending_duplicates' END, CASE WHEN n_unmatched > 0 THEN 'unmatched_receipts' END) AS warnings FROM t""")
 def completeness(s, d):
     ship(s)
     linked, cash = match.link_receipts(view(s, d, "receipts"), L(s, d))
