@@ -109,23 +109,27 @@ def decode_record(data: bytes) -> dict:
 
 
 def _decisions(pages: DataFrame) -> DataFrame:
-    """(id, tie, n, refers_to, lead) per page: sizes, and whom a revisit refers to.
+    """(id, tie, n, lead, heads) per page: sizes, whom a revisit refers to, and
+    whether the page is the response itself.
 
     Of equal payloads the one with the largest id is the response. Where rows
-    repeat that id and payload, only the first of them is.
+    repeat that id and payload, only the first of them by tie is.
     """
     facts = materialize(
         pages.select("id", "tie", F.octet_length("body").cast("long").alias("n"), F.sha2("body", 256).alias("sha")), "warc-facts"
     )
     shared = (
-        facts.where(F.col("n") >= REVISIT_BYTES).groupBy("sha").agg(F.max("id").alias("lead"), F.count("*").alias("k")).where("k > 1 and lead is not null")
+        facts.where(F.col("n") >= REVISIT_BYTES).groupBy("sha")
+        .agg(F.max(F.struct("id", F.bitwise_not("tie").alias("back"))).alias("top"), F.count("*").alias("k"))
+        .where("k > 1 and top.id is not null")
     )
-    shared = materialize(shared.select("sha", "lead", "k"), "warc-shared")
+    shared = materialize(shared.select("sha", F.col("top.id").alias("lead"), F.bitwise_not("top.back").alias("lead_tie"), "k"), "warc-shared")
     # Small bodies never join; equal ones, however many, do not meet in one task.
-    repeated = join_hot(facts.where(F.col("n") >= REVISIT_BYTES), shared, "sha", "k").select("id", "tie", "n", "sha", "lead")
+    heads = F.col("id").eqNullSafe(F.col("lead")) & (F.col("tie") == F.col("lead_tie"))
+    repeated = join_hot(facts.where(F.col("n") >= REVISIT_BYTES), shared, "sha", "k").select("id", "tie", "n", "sha", "lead", heads.alias("heads"))
     single = facts.where(F.col("n") >= REVISIT_BYTES).join(shared, "sha", "left_anti")
-    rest = single.unionByName(facts.where(F.col("n") < REVISIT_BYTES)).withColumn("lead", F.lit(None).cast("long"))
-    return repeated.unionByName(rest.select(repeated.columns)).select("id", "tie", "n", "lead")
+    rest = single.unionByName(facts.where(F.col("n") < REVISIT_BYTES)).withColumn("lead", F.lit(None).cast("long")).withColumn("heads", F.lit(False))
+    return repeated.unionByName(rest.select(repeated.columns)).select("id", "tie", "n", "lead", "heads")
 
 
 def write_warc(
@@ -142,8 +146,9 @@ def write_warc(
 
     Null html is an empty payload, a null url has no target field, white space
     in a url is percent-encoded. Null ids come first and never lead a group of
-    equal payloads. Rows that repeat an id are all written, in the order of a
-    hash of url and html. An empty table writes an empty manifest. Extra
+    equal payloads. Rows that repeat an id, or have none, are all written, in the
+    order of a hash of url and html, and spread over shards like others; only rows
+    equal in all three stay in one shard. An empty table writes an empty manifest. Extra
     columns are ignored. Equal input gives equal files, however partitioned.
     """
     spark = pages.sparkSession
@@ -154,31 +159,43 @@ def write_warc(
     p = p.withColumn("tie", F.xxhash64("url", "body"))
     facts = materialize(_decisions(p), "warc-decisions")
 
-    # Shard bounds: prefix sums of payload bytes in id order.
+    # Shard bounds: prefix sums of payload bytes in the order of (id, tie).
     total = facts.agg(F.sum("n")).first()[0] or 0
     step = max(shard_bytes, -(-total // MAX_SHARDS))
-    parts = materialize(ordered_parts(facts.select("id", "n"), "id").withColumn("part", F.spark_partition_id()), "warc-order")
+    parts = materialize(ordered_parts(facts.select("id", "tie", "n"), "id", "tie").withColumn("part", F.spark_partition_id()), "warc-order")
     bases = part_bases(parts.groupBy("part").agg(F.sum("n").alias("n")), "n")
-    running = F.sum("n").over(Window.partitionBy("part").orderBy("id"))
-    ends = parts.select("part", "id", running.alias("end")).join(F.broadcast(bases), "part").select("id", (F.col("end") + F.col("base_n")).alias("end"))
-    bounds = ends.where("id is not null").groupBy(F.ceil(F.col("end") / step).alias("s")).agg(F.max("id").alias("last"))
-    last = np.array(sorted(r["last"] for r in bounds.select("last").collect()), np.int64)  # at most MAX_SHARDS
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("id", "tie"))
+    ends = parts.select("part", "id", "tie", running.alias("end")).join(F.broadcast(bases), "part")
+    bounds = ends.groupBy(F.ceil((F.col("end") + F.col("base_n")) / step).alias("s")).agg(F.max(F.struct("id", "tie")).alias("last"))
+    found = {(r["last"]["id"], r["last"]["tie"]) for r in bounds.select("last").collect()}  # at most MAX_SHARDS
+    last = sorted(found, key=lambda b: (b[0] is not None, b[0] or 0, b[1]))
+    n_null = sum(b[0] is None for b in last)
+    last_ids, last_ties = np.array([b[0] for b in last[n_null:]], np.int64), np.array([b[1] for b in last], np.int64)
 
     @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(last, ids.fillna(np.iinfo(np.int64).min).astype(np.int64)).astype(np.int32))
-
-    def place(df: DataFrame, kind: int, url: Column, body: Column, lead: Column) -> DataFrame:
-        return df.select(shard_of("id").alias("shard"), "id", "tie", F.lit(kind).alias("kind"), url.alias("url"), body.alias("body"), lead.alias("lead"))
+    def shard_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        """How many bounds lie before (id, tie), null ids first."""
+        null, wanted, tie = ids.isna().to_numpy(), ids.fillna(0).to_numpy(np.int64), ties.to_numpy(np.int64)
+        low = np.where(null, 0, n_null + np.searchsorted(last_ids, wanted, "left"))
+        high = np.where(null, n_null, n_null + np.searchsorted(last_ids, wanted, "right"))
+        for span in set(zip(low[low < high].tolist(), high[low < high].tolist(), strict=True)):
+            of = (low == span[0]) & (high == span[1])
+            low[of] = span[0] + np.searchsorted(last_ties[slice(*span)], tie[of], "left")
+        return pd.Series(low.astype(np.int32))
+
+    def place(df: DataFrame, kind: int, url: Column, body: Column, lead: Column, heads: Column) -> DataFrame:
+        return df.select(
+            shard_of("id", "tie").alias("shard"), "id", "tie", F.lit(kind).alias("kind"), url.alias("url"), body.alias("body"), lead.alias("lead"), heads.alias("heads")
+        )
 
     # One shuffle: each page follows its own decision in the sort order.
     none = F.lit(None)
-    rows = place(facts, 0, none.cast("string"), none.cast("binary"), F.col("lead")).union(
-        place(p, 1, F.col("url"), F.col("body"), none.cast("long"))
+    rows = place(facts, 0, none.cast("string"), none.cast("binary"), F.col("lead"), F.col("heads")).union(
+        place(p, 1, F.col("url"), F.col("body"), none.cast("long"), none.cast("boolean"))
     )
     order = ["shard", "id", "tie", "kind"]
     # A task a shard: partition ids are the shard numbers themselves.
-    rows = rows.repartitionById(len(last) + 1, F.col("shard")).sortWithinPartitions(*order).select("shard", "id", "url", "body", "lead", "kind")
+    rows = rows.repartitionById(len(last) + 1, F.col("shard")).sortWithinPartitions(*order).select("shard", "id", "url", "body", "lead", "heads", "kind")
     rows.mapInArrow(_writer(uri, file_bytes, date), _MANIFEST).write.parquet(f"{uri}/manifest")
     return f"{uri}/manifest"
 
@@ -186,7 +203,7 @@ def write_warc(
 def _writer(uri: str, file_bytes: int, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, roll, out, n, digest, done = None, 0, None, 0, None, []
-        lead, led = None, None  # of the latest decision; the page that is already a response
+        lead, heads, led = None, False, None  # of the latest decision; the page that is already a response
 
         def close() -> None:
             nonlocal out
@@ -196,10 +213,10 @@ def _writer(uri: str, file_bytes: int, date: str):
                 out = None
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for at, page, url, body, to, kind in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for at, page, url, body, to, first, kind in zip(*columns, strict=True):
                 if kind == 0:
-                    lead = to
+                    lead, heads = to, first
                     continue
                 if at != shard:
                     close()
@@ -207,7 +224,7 @@ def _writer(uri: str, file_bytes: int, date: str):
                 if out is None:
                     out, n, digest = Committed(uri, f"shard-{shard:06d}-{roll:05d}.warc.gz"), 0, hashlib.sha256()
                 key = (page, hashlib.sha1(body).digest())
-                refers = lead if lead is not None and (page != lead or led == key) else None
+                refers = lead if lead is not None and (not heads or led == key) else None
                 if lead is not None and refers is None:
                     led = key
                 data = encode_record(page, url, body, refers, date)

@@ -256,6 +256,24 @@ def test_warc_of_one_hot_payload_and_long_ones(spark):
     assert got == want | {200: ("revisit", 201, len(long)), 201: ("response", None, len(long))}
 
 
+def test_warc_of_null_and_repeated_ids_spreads(spark):
+    """Shards are bounded within an id too, and a payload has one response across them."""
+    body = lambda k: f"<p>{k}" + "w" * 1500
+    rows = [(None, f"n{k}", body(k)) for k in range(40)] + [(7, f"u{k}", body(k % 3)) for k in range(40)] + [(9, "same", body(99))] * 5 + [(8, "", body(0)), (6, None, body(5))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sums, uri = [], f"{spark.conf.get('spark.checkpoint.dir')}/warc-spread"
+    for n in (2, 6):
+        warc.write_warc(df.repartition(n), f"{uri}-{n}", shard_bytes=10_000)
+        sums.append(sorted(map(tuple, spark.read.parquet(f"{uri}-{n}/manifest").collect())))
+    assert sums[0] == sums[1] and len(sums[0]) > 10 and max(s[2] for s in sums[0]) <= 8
+    got = warc.read_warc(spark, f"{uri}-2").collect()
+    assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows)
+    heads = Counter(r.page_id for r in got if r.record_type == "response")
+    # Payload 0: led by id 8; 1 and 2: by one row of id 7 each; 5: by 6; 99: by one of five equal rows; the others of null ids stand alone.
+    assert heads == Counter({None: 40 - 4, 7: 2, 8: 1, 9: 1, 6: 1})
+    assert Counter(r.refers_to for r in got if r.record_type == "revisit") == Counter({8: 15, 7: 12 + 12 + 2 + 1 - 1, 9: 4, 6: 1})
+
+
 def test_damaged_record_is_noticed():
     data = zlib.decompress(warc.encode_record(1, "u", b"payload", None), 31)
     with pytest.raises(ValueError):
