@@ -74,6 +74,8 @@ def daily_closed(spark: SparkSession, rows: DataFrame, root: str, work: str, del
             "closed": _summed(earlier.where(closing).unionByName(partial.where(closing))),
             "marks": spark.createDataFrame([(horizon,)], MARKS),
         }
+        # A day's rows come together, so that a batch leaves few files a day; a large day is split.
+        parts = {k: df.hint("rebalance", *BY[k]) if k in BY else df for k, df in parts.items()}
         batches.publish(spark, root, name, parts, BY)
 
     return rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
