@@ -1,10 +1,16 @@
-"""Near-duplicates by Jaccard similarity of word shingles, every link verified.
+"""Near-duplicates by SimHash, every link verified by Jaccard similarity of word shingles.
 
-Texts meet where one of ``BANDS`` groups of ``ROWS`` min-hashes is equal (Broder,
+Texts are searched for by the generalised pigeonhole of ``simhash``: fingerprints
+of the sets of shingles that differ in ``NEAR_BITS`` or fewer bits. A link counts
+only if the two whole sets are similar enough.
+
+At similarity 0.8 fingerprints differ in about 10 bits and in up to 20, more than
+a pigeonhole over 64 bits can search without comparing nearly all pairs. So texts
+that are similar but farther apart in bits, and that no link of fingerprints has
+joined, meet where one of ``BANDS`` groups of ``ROWS`` min-hashes is equal (Broder,
 "On the Resemblance and Containment of Documents", 1997; Leskovec et al., "Mining
 of Massive Datasets", ch. 3). Two texts of similarity s share none with
-probability (1 - s**ROWS) ** BANDS: 3e-6 at 0.8, 1e-8 at 0.85. Where they share
-one, a link counts only if the two whole sets are that similar. No pair that
+probability (1 - s**ROWS) ** BANDS: 3e-6 at 0.8, 1e-8 at 0.85. No pair that
 shares a key is left out: it is joined to what is one component already, or compared.
 """
 
@@ -23,9 +29,22 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, discard, join_hot, keep_least, materialize, row_hash, short_batches, small_or_shuffled
 from .components import connected_components
+from .simhash import links_within, majority
 
 #: Words in a shingle, and the least similarity of a link.
 WIDTH, SIMILARITY = 5, 0.8
+#: Bits in which the fingerprints of a pair may differ. Nine take at most 64 keys a
+#: text; from ten on the plan needs hundreds where there are millions of texts.
+NEAR_BITS = 9
+#: Fingerprints in a bucket that is dealt out again by more bits, once.
+NEAR_ROWS = 1 << 14
+#: Fingerprints up to which a group in a bucket gives all its pairs. A larger one
+#: gives a spanning tree; where a link of it is not similar, min-hashes find others.
+NEAR_GROUP = 64
+#: Texts of one fingerprint up to which each takes part in all its pairs.
+NEAR_EQUAL = 8
+#: Rows in an Arrow batch of keys, which are two longs.
+KEY_ROWS = 1 << 13
 #: Keys of a text, and min-hashes that each is made of.
 BANDS, ROWS = 32, 5
 #: Rounds in which a key's texts are compared with one of them.
@@ -139,22 +158,44 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: s
         return materialize(found.mapInArrow(check, "a long, b long"), "jaccard-links")
 
 
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of texts, nodes of ``classes`` (node, size, fp), within
+    ``NEAR_BITS``: all of small groups, a spanning tree of those over ``NEAR_GROUP``.
+    Where more than ``NEAR_EQUAL`` texts have one fingerprint, the least of them
+    stands for it and the others are tied to it."""
+    own = classes.where("size > 0").select("node", "fp")
+    lead = own.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n"), (F.count("*") <= NEAR_EQUAL).alias("few"))
+    lead = materialize(lead, "jaccard-fingerprints")
+    with arrow_rows(classes.sparkSession, KEY_ROWS):
+        near = materialize(links_within(lead.select("fp"), NEAR_BITS, NEAR_ROWS, levels=1, whole=NEAR_GROUP).distinct(), "jaccard-near")
+    led = join_hot(own, lead, "fp", "n")
+    named = materialize(led.where("few OR node = lead").select("fp", "node"), "jaccard-named")
+    x, y = (named.select(F.col("fp").alias(k), F.col("node").alias(f"n{k}")) for k in "ab")
+    near = near.union(lead.where("few AND n > 1").select("fp", "fp"))
+    across = near.join(x, "a").join(y, "b").where("na <> nb").select("na", "nb")
+    tied = led.where("NOT few AND node <> lead").select("node", "lead")
+    return across.union(tied).select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b")).distinct()
+
+
 def components_of(docs: DataFrame, slim: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
     """(node, component) of each node that has links.
 
-    ``slim`` has tie, node, size, bands and bits of each row of ``docs``.
+    ``slim`` has tie, node, size, fp, bands and bits of each row of ``docs``.
     """
     classes = slim.groupBy("node").agg(
-        F.min("tie").alias("tie"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("bits").alias("bits"),
+        F.min("tie").alias("tie"), *(F.first(c).alias(c) for c in ("size", "fp", "bands", "bits")),
     )
     repeated = not slim.groupBy("tie").count().where("count > 1").isEmpty()  # rows equal in every column
     classes = materialize(classes, "jaccard-classes")
+    comp = connected_components(_verified(by_fingerprint(classes), classes, docs, text_col, width, similarity, repeated))
+    # What is similar but farther apart in bits meets by min-hashes.
     keys = classes.select("node", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     shared = materialize(keys.join(shared.select("key"), "key", "left_semi"), "jaccard-keys")
+    open_ = _still_open(shared, comp)
+    discard(shared)
     # First a key's texts against one of them, so that a large group costs a fixed
     # number of pairs a row. What such a round joins needs no comparing later.
-    comp, open_ = None, shared.withColumn("c", F.col("node"))
     for turn in range(STARS):
         # One order for all keys, so that those of a large group mostly choose the same text.
         by, who = F.xxhash64("node", F.lit(turn)), F.struct("node", "c")
@@ -162,16 +203,15 @@ def components_of(docs: DataFrame, slim: DataFrame, text_col: str, width: int, s
         pairs = open_.join(lead, "key").where("c <> d").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
         comp = _joined(comp, _verified(pairs, classes, docs, text_col, width, similarity, repeated))
         before, open_ = open_, _still_open(open_, comp)
-        if turn:
-            discard(before)
+        discard(before)
     # Then all that a key still has in different components.
     pairs = _across(open_, classes, similarity)
     return _joined(comp, _verified(pairs, classes, docs, text_col, width, similarity, repeated))
 
 
-def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
     """The components with more links. What is known of them stands in for the links that led to it."""
-    return connected_components(links if comp is None else links.union(comp.select("node", "component")))
+    return connected_components(links.union(comp.select("node", "component")))
 
 
 def _still_open(keys: DataFrame, comp: DataFrame) -> DataFrame:
@@ -237,20 +277,21 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """The rows of ``docs`` less all but one of each group of near-duplicates.
 
     Groups are connected by links of texts whose sets of ``width``-word shingles
-    (ASCII lower case) have at least this Jaccard similarity. Null and wordless
-    texts are one group. Which row stays, and repeated rows, are as in
-    ``simhash.keep_one``; all columns are returned.
+    (ASCII lower case) have at least this Jaccard similarity, found by their
+    fingerprints and, beyond the bits that these can differ in, by min-hashes. Null
+    and wordless texts are one group. Which row stays, and repeated rows, are as
+    in ``simhash.keep_one``; all columns are returned.
     """
     short_batches(docs.sparkSession)
 
-    @F.pandas_udf("node long, size int, bands array<long>, bits binary")
+    @F.pandas_udf("node long, size int, fp long, bands array<long>, bits binary")
     def of(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
             x = shingles_of(t, width)
-            node = np.uint64(xxhash.xxh64_intdigest(x.tobytes())).view(np.int64)
-            rows.append((node, len(x), bands_of(x), _bits(x)))
-        return pd.DataFrame(rows, columns=["node", "size", "bands", "bits"])
+            node, fp = (np.uint64(i).view(np.int64) for i in (xxhash.xxh64_intdigest(x.tobytes()), majority(x)))
+            rows.append((node, len(x), fp, bands_of(x), _bits(x)))
+        return pd.DataFrame(rows, columns=["node", "size", "fp", "bands", "bits"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), row_hash(docs).alias("tie"), of(F.col(text_col)).alias("s"))
     slim = materialize(slim.select("doc_id", "tie", "s.*"), "jaccard")

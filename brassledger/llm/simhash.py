@@ -51,9 +51,11 @@ def fingerprint_of(text: str | None) -> int:
     starts = [0, *(x + 1 for x in ends[:-1])]
     k = min(SHINGLE, len(words))
     hashed = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (hashed(line[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64
-    )
+    return majority(np.fromiter((hashed(line[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes, as an unsigned integer; 0 for none."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -182,11 +184,13 @@ def _masks(groups: list[tuple[list[int], int]]) -> list[tuple[int, int]]:
 # --- probe and verify -----------------------------------------------------
 
 
-def _tree(group: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that join all of a bucket that is connected: at most one a row."""
+def _tree(group: np.ndarray, max_bits: int, whole: int = 0) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links that join all of a bucket that is connected: at most one a row, but
+    all links of what is connected and has up to ``whole`` rows."""
     a, b, open_ = [], [], group
     while open_.size > 1:
-        front, open_ = [open_[0]], open_[1:]
+        front, open_, tree = [open_[0]], open_[1:], len(b)
+        first = np.array(front, np.uint64)
         while front and open_.size:
             x = front.pop()
             near = np.bitwise_count(open_ ^ x) <= max_bits
@@ -195,10 +199,13 @@ def _tree(group: np.ndarray, max_bits: int) -> tuple[list[np.ndarray], list[np.n
                 a.append(np.full(found.size, x, np.uint64))
                 b.append(found)
                 front.extend(found)
+        if b[tree:] and (rows := np.concatenate([first, *b[tree:]])).size <= whole:
+            i, j = np.nonzero(np.triu(np.bitwise_count(rows[:, None] ^ rows[None, :]) <= max_bits, 1))
+            a[tree:], b[tree:] = [rows[i]], [rows[j]]
     return a, b
 
 
-def _verify(max_bits: int):
+def _verify(max_bits: int, whole: int = 0):
     def links(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(np.diff(keys)) + 1
         starts = np.concatenate([[0], edge])
@@ -212,7 +219,7 @@ def _verify(max_bits: int):
                 a.append(fps[i])
                 b.append(fps[i + s])
         for k in np.flatnonzero(sizes > 8):
-            x, y = _tree(fps[starts[k] : starts[k] + sizes[k]], max_bits)
+            x, y = _tree(fps[starts[k] : starts[k] + sizes[k]], max_bits, whole)
             a += x
             b += y
         a, b = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (a, b))
@@ -236,14 +243,17 @@ def _verify(max_bits: int):
     return run
 
 
-def _submask(fixed: int) -> list[int]:
+def _submask(fixed: int, max_bits: int = MAX_BITS) -> list[int]:
     free = [b for b in range(BITS) if not (fixed >> b) & 1]
-    return [sum(1 << b for b in free[i :: MAX_BITS + 1]) for i in range(MAX_BITS + 1)]
+    return [sum(1 << b for b in free[i :: max_bits + 1]) for i in range(max_bits + 1)]
 
 
-def links_within(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def links_within(
+    fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS, levels: int = LEVELS, whole: int = 0
+) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints ``fps`` (fp) as all pairs
-    within ``max_bits`` do. A bucket gives a spanning tree, not all its pairs.
+    within ``max_bits`` do. A bucket gives a spanning tree, not all its pairs,
+    but all pairs of a group of up to ``whole``.
     """
     n, both = _joint_counts(fps)
     kinds = _masks(plan(n, both, max_bits))
@@ -255,19 +265,19 @@ def links_within(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BU
     )
     spark, done = fps.sparkSession, []
     masks = {m for _, m in kinds}
-    for _ in range(LEVELS):
-        # Buckets too large for one task: dealt out again by four more sets of
-        # bits, one of which any two that link must share in full.
+    for _ in range(levels):
+        # Buckets too large for one task: dealt out again by max_bits + 1 more
+        # sets of bits, one of which any two that link must share in full.
         hot = keys.groupBy("key").count().where(F.col("count") > bucket_rows).select("key")
         hot = materialize(hot, "hot-buckets")
         if hot.isEmpty():
             break
         done.append(keys.join(hot, "key", "left_anti").select("key", "fp"))
-        subs = {m: [_signed(s) for s in _submask(m & (2**64 - 1))] for m in masks}
+        subs = {m: [_signed(s) for s in _submask(m & (2**64 - 1), max_bits)] for m in masks}
         table = spark.createDataFrame(
             [(m, i, s, _signed((m | s) & (2**64 - 1))) for m, ss in subs.items() for i, s in enumerate(ss)],
             "fixed long, sub int, more long, next long",
-        )  # at most 4 rows for each mask, and 4 masks from each a level
+        )  # at most max_bits + 1 rows for each mask, and as many masks from each a level
         keys = (
             keys.join(hot, "key", "left_semi")
             .join(F.broadcast(table), "fixed")
@@ -277,7 +287,7 @@ def links_within(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BU
     done.append(keys.select("key", "fp"))
     out = None
     for part in done:
-        found = part.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(max_bits), "a long, b long")
+        found = part.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(max_bits, whole), "a long, b long")
         out = found if out is None else out.union(found)
     return out
 

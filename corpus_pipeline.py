@@ -20,7 +20,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group with 5-word Jaccard similarity of 0.8 or
-    more, that with the least id. Wordless texts are one group."""
+    more, that with the least id: SimHash search, each link verified, min-hashes
+    for similar texts with distant fingerprints. Wordless texts are one group."""
     return jaccard.keep_one(docs)
 
 

@@ -165,6 +165,60 @@ def test_near_dedup_stage_equals_brute_force_jaccard(spark, sf_dir):
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted(map(min, groups.values()))
 
 
+def naive_set_fingerprint(text):
+    w = (text or "").lower().split()
+    h = [xxhash.xxh64_intdigest(g) for g in {" ".join(w[i : i + 5]).encode() for i in range(max(1, len(w) - 4))}] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_wide_distances_split_exactly(spark):
+    from brassledger.llm.components import connected_components
+
+    rng = np.random.default_rng(7)
+    fps = {int(b) for b in rng.integers(0, 2**63, 8)}
+    for x in list(fps):
+        for _ in range(40):
+            x ^= sum(1 << int(k) for k in rng.choice(64, rng.integers(6, 10), replace=False))
+            fps.add(x)
+    fps = sorted(x - 2**64 if x >= 2**63 else x for x in fps)
+    u = np.array(fps, np.int64).view(np.uint64)
+    near = np.bitwise_count(u[:, None] ^ u[None, :]) <= 9
+    reach = near
+    while (wider := (reach.astype(np.float32) @ near.astype(np.float32)) > 0).sum() > reach.sum():
+        reach = wider
+    want = [fps[int(np.flatnonzero(r)[0])] for r in reach]
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for rows, levels in ((4096, 3), (8, 3), (8, 1)):
+        comp = {r.node: r.component for r in connected_components(simhash.links_within(df, 9, rows, levels)).collect()}
+        assert [comp.get(x, x) for x in fps] == want
+
+
+def test_near_dedup_stage_links_by_fingerprints(spark, sf_dir, monkeypatch):
+    """With min-hashes off, all pairs within 9 bits of similarity 0.8 are joined; with them, those farther apart too."""
+    rng = np.random.default_rng(3)
+    texts = ["", None, "one two"]
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(300)]
+        texts.append(" ".join(base))
+        for k in range(6):
+            at = rng.choice(60, 1 + k, replace=False) * 5
+            texts.append(" ".join(f"x{k}y{i}" if i in at else w for i, w in enumerate(base)))
+    d = spark.createDataFrame([(i, t, "en", "a", 0, "x", 1, "y", 2, "z") for i, t in enumerate(texts)], DOCS).repartition(3)
+    sets, bits = [jaccard.shingles_of(t) for t in texts], [naive_set_fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard.similar(sets[i], sets[j]) and (bits[i] ^ bits[j]).bit_count() <= 9 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if k == old else k for k in label]
+    whole = jaccard_groups(texts)
+    assert len(set(whole)) < len(set(label)) < len(texts) - 1
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, sf_dir).collect()) == sorted(set(whole))
+    monkeypatch.setattr(jaccard, "STARS", 0)
+    monkeypatch.setattr(jaccard, "_across", lambda keys, *_: keys.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, d, sf_dir).collect()) == sorted(set(label))
+
+
 # --- 2 ---
 
 
