@@ -13,7 +13,7 @@ from ..operators import advice, classify, dedupe, dims, match, mutate, recurring
 from ..shipping import ship
 from ..sources import receipts as receipt_sources
 from ..sources import statements as statement_files
-from ..sources.fixtures import sql_views, view
+from ..sources.fixtures import sql_views, view, write_files
 from ..store import work_path
 from ..streaming import jobs, late
 from . import links_sql
@@ -478,11 +478,8 @@ def statement_files_parsed(s, d):
     amount = F.when(F.col("account_id") % 2 == 0, -F.col("amount_cents")).otherwise(F.col("amount_cents"))
     shown = lambda c: (c.cast("decimal(20,2)") / 100).cast("decimal(20,2)").cast("string")
     line = F.concat_ws(",", F.date_format("txn_date", "dd/MM/yyyy"), "merchant_norm", shown(amount), shown(F.col("balance_cents")))
-    rows = l.select("account_id", line.alias("value"), F.lit(1).alias("k"), "ts", "id")
-    head = l.select("account_id").distinct().select("account_id", F.lit("Date,Description,Amount,Balance").alias("value"), F.lit(0).alias("k"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("id"))
     path = _work(s, "statement-files")
-    parts = max(1, int(s.conf.get("spark.sql.shuffle.partitions")))
-    rows.union(head).repartition(parts, "account_id").sortWithinPartitions("account_id", "k", "ts", "id").select("account_id", "value").write.partitionBy("account_id").text(path)
+    write_files(l, line, path, "Date,Description,Amount,Balance")
     read = statement_files.read_statements(s, f"{path}/account_id=*")[0]
     return read.withColumn("account_id", F.regexp_extract("file", r"account_id=(\d+)", 1).cast("long")).drop("file", "sha256")
 

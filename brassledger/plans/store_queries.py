@@ -11,7 +11,7 @@ from ..operators import advice, classify, dedupe, dims, imports, match, mutate,
 from ..shipping import ship
 from ..sources import receipts as receipt_sources
 from ..sources import statements as statement_files
-from ..sources.fixtures import sql_views, view
+from ..sources.fixtures import sql_views, view, write_files
 from ..streaming import batches, jobs
 from . import links_sql
 from .ledger_queries import _BOUGHT, _PAIRS, LINKED, ORACLE_SQL, OUT, L, _pairs, _work, query, with_categories
@@ -34,12 +34,7 @@ def _write_files(s: SparkSession, d: str, batch: str, base: str) -> str:
     shown = lambda c: (F.col(c).cast("decimal(20,2)") / 100).cast("decimal(20,2)").cast("string")
     name = F.when(F.col("id") % 3 == 0, F.concat(F.lit('"'), "merchant_norm", F.lit('\n"'))).otherwise(F.col("merchant_norm"))  # some break the line inside quotes
     line = F.concat_ws(",", F.date_format("txn_date", "dd/MM/yyyy"), name, shown("amount_cents"), shown("balance_cents"))
-    rows = l.select("account_id", line.alias("value"), F.lit(1).alias("k"), "ts", "id")
-    head = l.select("account_id").distinct().select("account_id", F.lit("Date,Description,Amount,Balance").alias("value"), F.lit(0).alias("k"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(0).cast("long").alias("id"))
-    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
-    foot = head.select("account_id", F.lit("Closing balance,,,0.00").alias("value"), F.lit(2).alias("k"), "ts", "id")  # no row of the account
-    rows = rows.union(head).union(foot).repartition(parts, "account_id").sortWithinPartitions("account_id", "k", "ts", "id")
-    rows.select("account_id", "value").write.mode("append").partitionBy("account_id").text(base)
+    write_files(l, line, base, "Date,Description,Amount,Balance", "Closing balance,,,0.00")  # the last line is no row of the account
     return f"{base}/account_id=*"
 
 
@@ -159,8 +154,7 @@ def profiled_files(s, d):
     shown = lambda c: (c.cast("decimal(20,2)") / 100).cast("decimal(20,2)").cast("string")
     line = F.concat_ws(";", "merchant_norm", shown(F.col("balance_cents")), shown(-F.col("amount_cents")), F.date_format("txn_date", "MM/dd/yyyy"))
     path = _work(s, "profiled-files")
-    parts = int(s.conf.get("spark.sql.shuffle.partitions"))
-    l.repartition(parts, "account_id").sortWithinPartitions("account_id", "ts", "id").select("account_id", line.alias("value")).write.partitionBy("account_id").text(path)
+    write_files(l, line, path)
     book = F.lit('{"profiles": {"reversed": {"txn_date": 3, "amount": 2, "balance": 1, "description": [0], "outflow_is_negative": false, "dayfirst": false}}}')
     s.range(1).select(book.alias("value")).write.text(f"{path}-profiles")
     profiles = statement_files.load_profiles(s, f"{path}-profiles")

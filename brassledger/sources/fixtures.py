@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _WORDS = (
     "'CHECKERS HYPER FOURWAYS ZA', 'WOOLWORTHS FOOD SANDTON', 'VIDA E CAFFE', 'UBER EATS ZA', 'HOLLYWOODBETS ONLINE', 'ENGEN FOURWAYS', "
@@ -75,6 +76,25 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **sources)
 
 
+def write_files(rows: DataFrame, line: Column, path: str, head: str = "", foot: str = "") -> None:
+    """A text file for each account, in a folder of its own under ``path``: a line for
+    each row in the order of ts and id, after ``head`` and before ``foot``.
+
+    The first and the last row bring these lines with them. As rows of a union they
+    could stand in another task, and so in another file, than their account: Spark
+    drops a repartition of two sides that are dealt out alike, and then puts together
+    partitions of each side on its own."""
+    spark = rows.sparkSession
+    parts = 4 * spark.sparkContext.defaultParallelism  # a file's cost is not its bytes
+    w = Window.partitionBy("account_id").orderBy("ts", "id")
+    one = lambda text, there: F.when(there, F.lit(text)).otherwise(F.lit(""))
+    before = one(f"{head}\n" if head else "", F.row_number().over(w) == 1)
+    after = one(f"\n{foot}" if foot else "", F.lead(F.lit(1)).over(w).isNull())
+    lines = rows.select("account_id", "ts", "id", line.alias("line")).repartition(parts, "account_id")
+    lines = lines.select("account_id", "ts", "id", F.concat(before, "line", after).alias("value")).sortWithinPartitions("account_id", "ts", "id")
+    lines.select("account_id", "value").write.mode("append").partitionBy("account_id").text(path)
+
+
 def sql_views(*names: str) -> str:
     """The views as the start of a WITH clause in DuckDB."""
     order = [n for n in _VIEWS if n in names or any(_NEEDS.get(x) == n for x in names)]

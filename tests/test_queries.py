@@ -26,6 +26,20 @@ def test_partition_count_does_not_matter(spark, sf_dir, name):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("name", ["statement_files_parsed", "file_reports"])
+def test_a_header_stands_in_its_rows_file(spark, sf_dir, duck, name):
+    """Adaptive execution may put the partitions of rows and of headers together in different ways."""
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = QUERIES[name](spark, sf_dir).toPandas()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert rows_of(got) == rows_of(duck.sql(ORACLE_SQL[name]).df())
+
+
 def test_entry_imports_without_llm(monkeypatch):
     import importlib
     import sys
