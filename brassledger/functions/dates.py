@@ -15,16 +15,31 @@ NAMED = (
 TIMED = ("yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm", "dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss")
 
 
+def _looks(s: Column, fmt: str) -> Column:
+    """Whether a text may be of a format, told by its marks and where they stand.
+    Trying a format that does not fit costs an exception, many times a match."""
+    if fmt == "yyyyMMdd":
+        return s.rlike("^[+-]?[0-9]+$")
+    if fmt[:4] == "yyyy":
+        return s.rlike(f"^[+-]?[0-9]{{4,}}{fmt[4]}")
+    if fmt[:2] in ("dd", "MM") and fmt[:3] != "MMM":
+        return s.rlike(rf"^[0-9]{{2}}\{fmt[2]}")
+    found = F.lit(True)
+    for mark in sorted(set(fmt) & set("-/,: ")):
+        found = found & F.contains(s, F.lit(mark))
+    return found
+
+
 def parse_date(text: Column, day_first: Column) -> Column:
     """The date, or null. ``day_first`` decides the order of formats per row."""
     s = F.trim(text)
-    read = lambda formats: [F.try_to_timestamp(s, F.lit(f)).cast("date") for f in formats]
+    read = lambda formats: [F.when(_looks(s, f), F.try_to_timestamp(s, F.lit(f)).cast("date")) for f in formats]
     day, month = F.coalesce(*read(DAY_FIRST)), F.coalesce(*read(MONTH_FIRST))
     numeric = F.when(day_first, F.coalesce(day, month)).otherwise(F.coalesce(month, day))
     # Digits alone cannot be a named month, and only a colon makes a time.
     named = F.when(s.rlike("[A-Za-z]{3}"), F.coalesce(*read(NAMED)))
     timed = F.when(F.contains(s, F.lit(":")), F.coalesce(*read(TIMED)))
-    return F.when(F.length(s) >= 6, F.coalesce(*read(SHARED), numeric, named, timed))
+    return F.when((F.length(s) >= 6) & s.rlike("[0-9]"), F.coalesce(*read(SHARED), numeric, named, timed))
 
 
 def month_periods(extents: DataFrame) -> DataFrame:

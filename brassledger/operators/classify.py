@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_key, clean_description, merchant_name
-from ..store import written
+from ..store import beside, written
 from .dims import INCOME_WORDS
 
 GRAM = 3
@@ -154,7 +154,7 @@ def classify(rows: DataFrame, rules: DataFrame, merchants: DataFrame | None = No
         F.when(F.col("inflow") & F.col("r_category").isNull(), "credit").otherwise(F.coalesce("r_txn_type", F.lit("other"))).alias("txn_type"),
     )
     given = [c for c in rows.columns if c not in (*_FIELDS, "category_source", "inflow")]
-    a, b = rows.withColumn("inflow", F.col("amount_cents") > 0).alias("a"), m.alias("b")
+    a, b = rows.withColumn("inflow", F.col("amount_cents") > 0).alias("a"), beside(m).alias("b")
     out = a.join(b, F.col("a.description_raw").eqNullSafe(F.col("b.description_raw")) & (F.col("a.inflow") == F.col("b.inflow")))
     default = F.col("b.shared_default")
     if own_defaults is not None and "account_id" in rows.columns:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity_key
-from ..store import written
+from ..store import beside, written
 from . import dedupe
 from .classify import classify
 
@@ -51,7 +51,8 @@ def import_batch(
     if not force:
         parsed = parsed.join(statements.select("account_id", "sha256").distinct(), ["account_id", "sha256"], "left_anti")
     rows = flags(classify(parsed, rules, merchants).withColumnRenamed("merchant", "merchant_norm"))
-    rows = rows.withColumn("name_key", identity_key(F.col("description_raw")))
+    keys = beside(parsed.select(F.col("description_raw").alias("_text")).distinct().withColumn("name_key", identity_key(F.col("_text"))))
+    rows = rows.join(keys, F.col("description_raw").eqNullSafe(F.col("_text"))).drop("_text")
     rows = dedupe.fingerprinted(rows, "file", name="name_key", order="row_ordinal").withColumn("id", F.xxhash64("account_id", "fingerprint"))
     nth = F.row_number().over(Window.partitionBy("account_id", "fingerprint").orderBy("file", "row_ordinal"))
     known = ledger.select("account_id", "fingerprint").distinct().withColumn("_known", F.lit(True))

@@ -12,6 +12,7 @@ from ..shipping import ship
 from ..sources import receipts as receipt_sources
 from ..sources import statements as statement_files
 from ..sources.fixtures import sql_views, view, write_files
+from ..store import written
 from ..streaming import batches, jobs
 from . import links_sql
 from .ledger_queries import _BOUGHT, _PAIRS, LINKED, ORACLE_SQL, OUT, L, _pairs, _work, query, with_categories
@@ -59,12 +60,11 @@ SELECT batch, account_id, count(*) AS n_rows, min(txn_date) AS period_start, max
 def file_reports(s, d):
     """Reports on the files of both batches; each has a line that is no row."""
     ship(s)
-    out = None
+    work = _work(s, "statement-files")
     for batch in _BATCHES:
-        rows, bad = statement_files.read_statements(s, _write_files(s, d, batch, _work(s, f"statement-files-{batch}")))
-        one = statement_files.file_report(rows, bad).withColumn("account_id", _account()).withColumn("batch", F.lit(batch)).drop("file")
-        out = one if out is None else out.unionByName(one)
-    return out
+        _write_files(s, d, batch, f"{work}/batch={batch}")
+    report = statement_files.file_report(*statement_files.read_statements(s, f"{work}/batch=*/account_id=*"))
+    return report.withColumn("account_id", _account()).withColumn("batch", F.regexp_extract("file", "/batch=([ab])/", 1)).drop("file")
 
 
 _IMPORTED = f"""{_FILES}, u AS (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY ts, id) AS nth FROM b), old AS (SELECT DISTINCT {_KEY} FROM a), seen AS (SELECT account_id, min(txn_date) AS x, max(txn_date) AS y FROM a GROUP BY 1),
@@ -82,7 +82,8 @@ def _imported(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     known, seen = imports.empty_ledger(s), imports.empty_statements(s)
     for batch in _BATCHES:
         rows, bad = statement_files.read_statements(s, _write_files(s, d, batch, f"{work}/files-{batch}"))
-        tagged = imports.import_batch(rows.withColumn("account_id", _account()), known, seen, rules, f"{work}/{batch}")
+        parsed = written(rows.withColumn("account_id", _account()), "parsed")
+        tagged = imports.import_batch(parsed, known, seen, rules, f"{work}/{batch}")
         known, seen = imports.additions(tagged), imports.statements_of(tagged)
     return tagged, bad.withColumn("account_id", _account())
 
@@ -102,7 +103,8 @@ def one_batch_report(s, d):
     for batch in _BATCHES:
         _write_files(s, d, batch, f"{work}/files/{batch}")
     rows, bad = statement_files.read_statements(s, f"{work}/files/*/account_id=*")
-    tagged = imports.import_batch(rows.withColumn("account_id", _account()), imports.empty_ledger(s), imports.empty_statements(s), dims.rules(s), f"{work}/tagged")
+    parsed = written(rows.withColumn("account_id", _account()), "parsed")
+    tagged = imports.import_batch(parsed, imports.empty_ledger(s), imports.empty_statements(s), dims.rules(s), f"{work}/tagged")
     second = F.contains("file", F.lit("/files/b/"))
     return imports.counters(tagged.where(second), bad.where(second).withColumn("account_id", _account()))
 

@@ -9,7 +9,6 @@ import sys
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date
 from ..functions.money import parse_amount, to_cents
 from ..shipping import ship
-from ..store import written
+from ..store import beside, many_files, written
 
 # --- fixed values: header words of each column role, most specific first ---
 ROLES = {
@@ -64,7 +63,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     UTF-8 with or without a mark, else Windows-1252, or ISO-8859-1 where a byte
     has no meaning there.
     """
-    return lines_of(spark.read.format("binaryFile").load(path))
+    with many_files(spark):
+        return lines_of(spark.read.format("binaryFile").load(path))
 
 
 def lines_of(raw: DataFrame) -> DataFrame:
@@ -111,36 +111,45 @@ def records(text: str) -> Iterator[tuple[str, list[str]]]:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["file", "sha256", "line_no", "line", "cells"]
-    for batch in batches:
-        for file, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = enumerate(records(text or ""))
-            while some := list(itertools.islice(found, BATCH)):
-                columns = [[file] * len(some), [digest] * len(some), [n for n, _ in some], [r[0] for _, r in some], [r[1] for _, r in some]]
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+    kinds = pa.schema({"file": pa.string(), "sha256": pa.string(), "line_no": pa.int32(), "line": pa.string(), "cells": pa.list_(pa.string())}.items())
+    # Files are short, and a batch costs as much as many records: one holds those of many files.
+    found = (
+        (file, digest, n, line, cells)
+        for batch in batches
+        for file, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for n, (line, cells) in enumerate(records(text or ""))
+    )
+    while some := list(itertools.islice(found, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds.types, strict=True)], schema=kinds)
 
 
 def header_rows(g: DataFrame, spark: SparkSession) -> DataFrame:
     """(file, header_line): the best-scoring of a file's first rows, if it scores."""
     words = spark.createDataFrame([(r, w) for r, ws in (*ROLES.items(), ("fees", FEES)) for w in ws], "role string, word string")
-    cells = g.where((F.col("line_no") < HEADER_ROWS) & (F.size("cells") >= 2)).select("file", "line_no", F.posexplode("cells").alias("pos", "cell"))
-    cells = cells.withColumn("key", F.regexp_replace(F.lower("cell"), "[^a-z0-9]", ""))
-    hit = cells.join(F.broadcast(words), (F.col("key") == F.col("word")) | ((F.length("word") > 3) & F.contains("key", F.col("word"))), "left")
-    by_cell = hit.groupBy("file", "line_no", "pos", "cell").agg(
-        F.max(F.when(F.col("key") == F.col("word"), 2).when(F.col("word").isNotNull(), 1).otherwise(0)).alias("points"),
+    lines = g.where((F.col("line_no") < HEADER_ROWS) & (F.size("cells") >= 2)).select("file", "line_no", "cells")
+    cells = lines.select("file", "line_no", F.explode(F.transform("cells", lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", ""))).alias("key"))
+    # Each key with a letter, as every word has one, meets the words once, however many cells hold it.
+    cells = cells.where(F.col("key").rlike("[a-z]"))
+    hit = cells.select("key").distinct().join(F.broadcast(words), (F.col("key") == F.col("word")) | ((F.length("word") > 3) & F.contains("key", F.col("word"))))
+    by_key = hit.groupBy("key").agg(
+        F.max(F.when(F.col("key") == F.col("word"), 2).otherwise(1)).alias("points"),
         F.max((F.col("role") == "txn_date").cast("int")).alias("date"),
         F.max(F.col("role").isin("amount", "debit", "credit").cast("int")).alias("money"),
     )
-    number = parse_amount(F.col("cell")).isNotNull() & ~F.col("cell").rlike("[A-Za-z]")
-    score = F.sum(F.col("points") - F.when(number, 1.5).otherwise(0.0)) - 3 * (1 - F.coalesce(F.max("date"), F.lit(0))) - 3 * (1 - F.coalesce(F.max("money"), F.lit(0)))
-    rows = by_cell.groupBy("file", "line_no").agg(score.alias("score")).where("score > 0.5")
-    return rows.groupBy("file").agg(F.max_by("line_no", F.struct("score", -F.col("line_no"))).alias("header_line"))
+    # A line without a word cannot score.
+    by_line = cells.join(beside(by_key), "key").groupBy("file", "line_no").agg(F.sum("points").alias("points"), F.max("date").alias("date"), F.max("money").alias("money"))
+    number = lambda c: ~c.rlike("[A-Za-z]") & parse_amount(c).isNotNull()
+    score = F.col("points") - 1.5 * F.size(F.filter("cells", number)) - 3 * (1 - F.col("date")) - 3 * (1 - F.col("money"))
+    rows = lines.join(by_line, ["file", "line_no"]).select("file", "line_no", score.alias("score")).where("score > 0.5")
+    return written(rows.groupBy("file").agg(F.max_by("line_no", F.struct("score", -F.col("line_no"))).alias("header_line")), "header-lines")
+
+
+_ROLE_COLUMNS = tuple(r for r in ROLES if r != "description")
 
 
-def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
+def _assign(keys: list[str]) -> dict:
     """Roles claim columns of one header in a fixed order, exact words first."""
-    cells = {p: k for p, k in zip(pdf.pos, pdf.key, strict=True) if k}
+    cells = {p: k for p, k in enumerate(keys) if k}
     taken, got = set(), {}
     for role, words in ROLES.items():
         for exact in (True, False):
@@ -151,22 +160,28 @@ def _assign(pdf: pd.DataFrame) -> pd.DataFrame:
                 if found and (role == "description" or role not in got):
                     got.setdefault(role, []).extend(found if role == "description" else found[:1])
                     taken.update(got[role])
-    row = {"file": pdf.file.iloc[0], "descriptions": sorted(got.get("description", []))}
-    row |= {r: got[r][0] if r in got else None for r in ROLES if r != "description"}
-    row["confidence"] = min(1.0, len(got.keys() & {"txn_date", "amount", "debit", "credit", "balance", "description"}) / 4)
-    return pd.DataFrame([row]).astype({r: "Int64" for r in ROLES if r != "description"})
+    row = {"descriptions": sorted(got.get("description", []))} | {r: got[r][0] if r in got else None for r in _ROLE_COLUMNS}
+    return row | {"confidence": min(1.0, len(got.keys() & {"txn_date", "amount", "debit", "credit", "balance", "description"}) / 4)}
 
 
-_LAYOUT = "file string, descriptions array<int>, " + ", ".join(f"{r} int" for r in ROLES if r != "description") + ", confidence double"
+_LAYOUT = "file string, descriptions array<int>, " + ", ".join(f"{r} int" for r in _ROLE_COLUMNS) + ", confidence double, header_line int"
+
+
+def _assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The layout of each header (file, header_line, keys)."""
+    kinds = {"file": pa.string(), "descriptions": pa.list_(pa.int32())} | dict.fromkeys(_ROLE_COLUMNS, pa.int32()) | {"confidence": pa.float64(), "header_line": pa.int32()}
+    for batch in batches:
+        rows = [{"file": r["file"], "header_line": r["header_line"]} | _assign(r["keys"]) for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema(list(kinds.items())))
 
 
 def layouts(g: DataFrame, spark: SparkSession) -> DataFrame:
     """Column roles per file, from its header or, without one, from its values."""
     ship(spark)
     heads = header_rows(g, spark)
-    cells = g.join(heads, "file").where("line_no = header_line").select("file", F.posexplode("cells").alias("pos", "cell"))
-    cells = cells.select("file", "pos", F.regexp_replace(F.lower("cell"), "[^a-z0-9]", "").alias("key"))
-    found = cells.groupBy("file").applyInPandas(_assign, _LAYOUT).join(heads, "file")  # a header's few cells
+    top = g.where(F.col("line_no") < HEADER_ROWS).select("file", F.col("line_no").alias("header_line"), "cells").join(heads, ["file", "header_line"])
+    keys = F.transform("cells", lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", ""))
+    found = top.select("file", "header_line", keys.alias("keys")).mapInArrow(_assigned, _LAYOUT)
     bare = g.join(heads, "file", "left_anti").where((F.col("line_no") < SAMPLE_ROWS) & (F.size("cells") >= 2))
     v = bare.select("file", F.posexplode("cells").alias("pos", "cell"))
     date, number = parse_date(F.col("cell"), F.lit(True)).isNotNull(), parse_amount(F.col("cell")).isNotNull() & ~F.col("cell").rlike("[A-Za-z]")
@@ -227,6 +242,8 @@ def typed_rows(g: DataFrame, layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     amounts without balances is all outflow."""
     cell = lambda role: F.try_element_at("cells", F.col(role) + 1)
     r = g.join(layout, "file").where((F.col("line_no") > F.col("header_line")) & (F.trim("line") != ""))
+    # Reading a row is far more work than its bytes tell, so its partitions are not put together by size.
+    r = r.repartition(int(g.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
     r = r.withColumn("date_text", cell("txn_date"))
     parts = lambda i: F.regexp_extract("date_text", r"^(\d{1,2})[/.-](\d{1,2})[/.-]", i).try_cast("int")
     whole = Window.partitionBy("file")
@@ -235,19 +252,22 @@ def typed_rows(g: DataFrame, layout: DataFrame) -> tuple[DataFrame, DataFrame]:
     early = F.row_number().over(whole.orderBy("line_no")) <= DATE_ROWS
     r = r.withColumn("_early", early)
     votes = F.count_if((parts(2) > 12) & F.col("_early")).over(whole) <= F.count_if((parts(1) > 12) & F.col("_early")).over(whole)
-    amount = parse_amount(cell("amount"))
+    # Inside arrays, as generated code of so many expressions is too long to be compiled to machine code.
+    r = r.withColumn("amounts", F.transform(F.array(*(cell(c) for c in ("amount", "debit", "credit", "balance"))), parse_amount))
+    amount, debit, credit, balance = (F.col("amounts")[i] for i in range(4))
     sign = F.lower(F.trim(cell("direction")))
     signed = F.when(sign.isin(*OUT_WORDS), -F.abs(amount)).when(sign.isin(*IN_WORDS), F.abs(amount)).otherwise(F.when(F.col("negative_out"), amount).otherwise(-amount))
-    debit, credit = (F.nullif(F.abs(parse_amount(cell(c))), F.lit(0).cast("decimal(18,6)")) for c in ("debit", "credit"))
-    r = r.withColumn("day_first", F.coalesce("day_first_set", votes)).withColumn("txn_date_", parse_date(F.col("date_text"), F.col("day_first")))
-    r = r.withColumn("amount_cents", to_cents(F.coalesce(-debit, credit, signed))).withColumn("balance_cents", to_cents(parse_amount(cell("balance"))))
+    debit, credit = (F.nullif(F.abs(x), F.lit(0).cast("decimal(18,6)")) for x in (debit, credit))
+    r = r.withColumn("day_first", F.coalesce("day_first_set", votes))
+    r = r.withColumn("dates", F.transform(F.array("date_text", cell("posted_date")), lambda t: parse_date(t, F.col("day_first")))).withColumn("txn_date_", F.col("dates")[0])
+    r = r.withColumn("amount_cents", to_cents(F.coalesce(-debit, credit, signed))).withColumn("balance_cents", to_cents(balance))
     words = F.transform("descriptions", lambda p: F.coalesce(F.try_element_at("cells", p + 1), F.lit("")))
     r = r.withColumn("description_raw", F.trim(F.regexp_replace(F.array_join(words, " "), r"\s+", " ")))
     reason = F.when(F.col("txn_date_").isNull(), "unparseable date").when(F.col("amount_cents").isNull(), "no amount value")
     r = r.withColumn("reason", reason)
     bad = r.where("reason IS NOT NULL").select("file", "line_no", "reason", F.substring("line", 1, 300).alias("raw"))
     r = r.where("reason IS NULL").select(
-        "file", "sha256", "line_no", F.col("txn_date_").alias("txn_date"), parse_date(cell("posted_date"), F.col("day_first")).alias("posted_date"), "description_raw", "amount_cents", "balance_cents", "day_first", "confidence",
+        "file", "sha256", "line_no", F.col("txn_date_").alias("txn_date"), F.col("dates")[1].alias("posted_date"), "description_raw", "amount_cents", "balance_cents", "day_first", "confidence",
         (F.col("debit").isNull() & F.col("credit").isNull()).alias("single"), F.right(F.regexp_replace(F.coalesce(cell("card"), F.lit("")), r"\D", ""), F.lit(4)).alias("card_last4"),
     )
     order = Window.partitionBy("file").orderBy("line_no")
@@ -270,11 +290,11 @@ def read_statements(spark: SparkSession, path: str, chosen: DataFrame | None = N
 def typed(lines: DataFrame, chosen: DataFrame | None = None, profiles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, quarantine) of the records of files, each with its own layout; files of
     ``chosen`` (file, profile) have that of their named profile."""
-    if chosen is None:
-        return typed_rows(lines, layouts(lines, lines.sparkSession))
-    named = profile_layouts(lines, chosen, profiles)
-    found = layouts(lines, lines.sparkSession).join(chosen.select("file"), "file", "left_anti")
-    return typed_rows(lines, found.unionByName(named, allowMissingColumns=True).withColumn("negative_out", F.coalesce("negative_out", F.lit(True))))
+    found = layouts(lines, lines.sparkSession)
+    if chosen is not None:
+        named = profile_layouts(lines, chosen, profiles)
+        found = found.join(chosen.select("file"), "file", "left_anti").unionByName(named, allowMissingColumns=True).withColumn("negative_out", F.coalesce("negative_out", F.lit(True)))
+    return typed_rows(lines, written(found, "layouts"))  # rows and quarantine both need them
 
 
 def file_report(rows: DataFrame, bad: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 
@@ -28,3 +31,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that are broadcast at once.
+AT_ONCE = 5000
+
+
+def beside(table: DataFrame) -> DataFrame:
+    """A table of distinct keys, written and counted, for a join with many more rows:
+    broadcast if it is small, else merged. Left to the sizes of its inputs, Spark may
+    broadcast the rows instead, and then one task does the work on all of them."""
+    table = written(table, "keys")
+    return F.broadcast(table) if table.count() <= AT_ONCE else table.hint("merge")
+
+
+@contextlib.contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """Settings for reading many small files: folders are listed by a few tasks, and
+    a few hundred files are read by one. Spark's own choice is a task for each folder,
+    up to 10000, and one for 32 files, and a task costs more than these."""
+    conf = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(4 * spark.sparkContext.defaultParallelism), "spark.sql.files.openCostInBytes": "512k"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
